@@ -58,6 +58,13 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arclake.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("node")
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arclake.llm.exactdedup import exact_dedup
