@@ -15,10 +15,12 @@ columns are ignored.  A very long text gives as many full pieces as it needs.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,28 +36,68 @@ END_ID = 1
 BROADCAST_RANGES = 200_000
 
 
+#: The runs into which the tokenizer splits a word of ASCII characters, in lower case.
+RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+
 class WordIds(dict):
-    """Token ids of a word as little-endian unsigned 32-bit bytes, kept per worker and emptied when full.
+    """Token ids of a word as little-endian unsigned 32-bit bytes, kept per worker in two generations.
 
     White space is dropped by this tokenizer and separates its words, so a text's ids are its words' ids in a row.
+    Unknown words are encoded many at a time; each of their letter or sign runs ends with an end-of-word token, which
+    is how the ids are dealt back to the words.  Words of other shapes are encoded one at a time.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.path, self.most, self.tokenizer = path, most, Tokenizer.from_file(path)
+        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        value = b"".join(i.to_bytes(4, "little") for i in ids)
+        value = self.old.get(word)
+        if value is None:
+            value = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
             self[word] = value
         return value
 
+    def learn(self, words: set[bytes]) -> None:
+        """Encode the unknown words of plain shape, together."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        plain, runs = [], []
+        for word in words:
+            if word not in self and word not in self.old and len(word) <= 64:
+                text = word.decode("utf-8", "replace")
+                if text.isalpha():
+                    plain.append(word)
+                    runs.append(1)
+                elif text[:-1].isalpha() and text[-1] in ".,;:!?":
+                    plain.append(word)
+                    runs.append(2)
+                elif text.isascii() and b"<|" not in word:
+                    plain.append(word)
+                    runs.append(len(RUNS.findall(text.lower())))
+        for at in range(0, len(plain), 1000):
+            own, last = plain[at : at + 1000], np.cumsum(runs[at : at + 1000])
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(own).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == last[-1] and ends[-1] == len(ids):  # else they are encoded one at a time
+                data, begin = ids.tobytes(), 0
+                for word, end in zip(own, (4 * ends[last - 1]).tolist(), strict=True):
+                    self[word] = data[begin:end]
+                    begin = end
+
+    def split(self, text: bytes | None) -> list[bytes]:
+        """Words in lower case, as the tokenizer has them, unless the text may hold its special tokens."""
+        return (text if b"<|" in text else text.lower()).split() if text else []
+
 
 _WORDS: dict[str, WordIds] = {}
 
@@ -64,12 +106,14 @@ def _pieces(path: str, capacity: int):
     end = END_ID.to_bytes(4, "little")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORDS.get(path) or _WORDS.setdefault(path, WordIds(path))
+        known = _WORDS.get(path) or _WORDS.setdefault(path, WordIds(path))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 ids, seeds, numbers, starts, lengths, crcs = [], [], [], [], [], []
-                for doc, h, text in zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist(), as_bytes(part.column("text")), strict=True):
-                    data = b"".join(map(words.__getitem__, text.split())) + end if text else end
+                texts = [known.split(text) for text in as_bytes(part.column("text"))]
+                known.learn(set().union(*texts))
+                for doc, h, words in zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist(), texts, strict=True):
+                    data = b"".join(map(known.__getitem__, words)) + end
                     for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                         own = data[at : at + 4 * capacity]
                         ids.append(doc)
