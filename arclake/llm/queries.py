@@ -31,6 +31,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_owner_specific", "n_widely_copied")
 
 
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from arclake.llm.substring import remove_repeats
+
+    kept = remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return kept.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"), F.size("spans").alias("n_spans"))
+
+
 @query
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
