@@ -53,6 +53,17 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op7_top_k"] = topk.ORACLE
 
 
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from arclake.llm.warc import capture_histories, read_warc, write_warc
+
+    folder, files = write_warc(table(spark, sf_dir, "pages"), captured=F.pmod(F.col("page_id"), F.lit(1_000_000_000)))
+    histories = capture_histories(read_warc(spark, folder, files))
+    return histories.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arclake.llm.mixing import mix_sources
