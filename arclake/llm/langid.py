@@ -31,54 +31,96 @@ MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 
 
-def word_grams(word: bytes) -> np.ndarray:
-    """Codes of a word's n-grams: 21 bits a letter, a blank (1) on either side of each run of letters."""
-    out: list[int] = []
-    for run in "".join(c if c.isalpha() else " " for c in word.decode("utf-8", "replace").lower()).split():
-        c = [1, *map(ord, run), 1]
-        out += c[1:-1]
-        out += [a | b << 21 for a, b in zip(c, c[1:], strict=False)]
-        out += [a | b << 21 | d << 42 for a, b, d in zip(c, c[1:], c[2:], strict=False)]
-    return np.array(out, np.int64)
-
-
-class WordGrams(dict):
-    """Kept per worker, emptied when it holds ``most`` words."""
-
-    def __init__(self, most: int = 200_000) -> None:
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> np.ndarray:
-        grams = word_grams(word)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = grams
-        return grams
-
-
-_GRAMS = WordGrams()
+class Grams:
+    """Counts n-grams of whole texts by table look-ups; its tables do not grow with the input.
+
+    The first ``LETTERS`` letters that a worker meets get small numbers, so that an n-gram is a place in a table of
+    fixed size, and the n-grams met get the places of a list.  A text with further letters is counted by sorting.
+    A code holds 21 bits a letter, with a blank (1) on either side of each run of letters.
+    """
+
+    LETTERS = 127
+
+    def __init__(self) -> None:
+        self.small = np.full(0x110000, -1, np.int16)  # 0: no letter, LETTERS + 1: beyond the table
+        self.points = np.ones(self.LETTERS + 1, np.int64)
+        self.known = 1
+        base = self.LETTERS + 1
+        self.offsets = (0, base, base + base**2)
+        self.place = np.full(base + base**2 + base**3, -1, np.int32)
+        self.codes = np.zeros(1024, np.int64)
+        self.met = 0
+
+    def _learn(self, points: np.ndarray) -> None:
+        for p in np.unique(points[self.small[points] < 0]).tolist():
+            if not chr(p).isalpha():
+                self.small[p] = 0
+            elif self.known <= self.LETTERS:
+                self.points[self.known] = p
+                self.small[p] = self.known
+                self.known += 1
+            else:
+                self.small[p] = self.LETTERS + 1
+
+    def _add(self, index: np.ndarray) -> None:
+        base = self.LETTERS + 1
+        for i in np.unique(index[self.place[index] < 0]).tolist():
+            if self.met == len(self.codes):
+                self.codes = np.concatenate((self.codes, np.zeros_like(self.codes)))
+            n = 3 - (i < self.offsets[2]) - (i < self.offsets[1])
+            rest, code = i - self.offsets[n - 1], 0
+            for k in range(n):
+                code |= int(self.points[rest % base]) << (21 * k)
+                rest //= base
+            self.codes[self.met] = code
+            self.place[i] = self.met
+            self.met += 1
+
+    def count(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-gram codes of a whole text and how often each occurs, in no order."""
+        points = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        small = self.small[points]
+        if len(small) and small.min() < 0:
+            self._learn(points)
+            small = self.small[points]
+        if not small.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a = np.zeros(len(small) + 2, np.int64)
+        if small.max() > self.LETTERS:
+            a[:] = 1
+            a[1:-1][small > 0] = points[small > 0]
+            middle = a[1:-1] > 1
+            pairs = (a[:-1] > 1) | (a[1:] > 1)
+            return np.unique(np.concatenate((a[a > 1], (a[:-1] | a[1:] << 21)[pairs], (a[:-2] | a[1:-1] << 21 | a[2:] << 42)[middle])), return_counts=True)
+        a[1:-1] = small
+        base = self.LETTERS + 1
+        two = a[:-1] + a[1:] * base
+        three = (two[:-1] + a[2:] * base**2)[a[1:-1] > 0]
+        index = np.concatenate((a[a > 0], two[two > 0] + self.offsets[1], three + self.offsets[2]))
+        places = self.place[index]
+        if places.min() < 0:
+            self._add(index)
+            places = self.place[index]
+        counts = np.bincount(places)
+        met = np.flatnonzero(counts)
+        return self.codes[met], counts[met]
+
+
+_GRAMS: list[Grams] = []
 
 
 def text_grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram codes of a whole text, ascending, and how often each occurs."""
-    words = Counter(text.split())
-    arrays = [_GRAMS[w] for w in words]
-    if not arrays:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = np.concatenate(arrays)
-    if not len(codes):
-        return codes, codes
-    weights = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(a) for a in arrays])
-    order = np.argsort(codes)
-    codes, weights = codes[order], weights[order]
-    starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    return codes[starts], np.add.reduceat(weights, starts)
+    if not _GRAMS:
+        _GRAMS.append(Grams())
+    return _GRAMS[0].count(text)
 
 
 def frequent(codes: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
-    return codes[np.argsort(-counts, kind="stable")[:top]]
+    """The ``top`` most frequent codes in order; equal counts by code."""
+    if len(codes) > top:
+        some = counts >= np.partition(counts, len(counts) - top)[len(counts) - top]
+        codes, counts = codes[some], counts[some]
+    return codes[np.lexsort((codes, -counts))[:top]]
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
