@@ -98,6 +98,14 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     return joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "n_blocks")
 
 
+def keep_distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    kept = exact_dedup(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__print"))
+    own = docs.withColumn("__own", F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256))
+    same = (F.col("__own") == F.col("__print")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__id"))
+    return own.join(materialize(kept), same, "left_semi").dropDuplicates(["__own", doc_id]).select(*docs.columns)
+
+
 ORACLE = f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS k FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY k) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size,

@@ -92,7 +92,7 @@ def frequent_tokens(docs: DataFrame, words: int = WORDS, most: int = HOT_TOKENS)
     return tokens[by_token], rank[by_token]
 
 
-BASE = "doc_id long, node long, n int, common int, least array<long>, prefix binary"
+BASE = "doc_id long, h long, node long, n int, common int, least array<long>, prefix binary"
 
 
 def _describe(words: int, seeds: int, num: int, den: int, hot):
@@ -118,7 +118,7 @@ def _describe(words: int, seeds: int, num: int, den: int, hot):
                         least = [int((mix64(tokens * m)).min().view(np.int64)) for m in multipliers]
                     for column, value in zip(out, (node_of(tokens), n, common, least, prefix), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())], ["doc_id", "node", "n", "common", "least", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())], ["doc_id", "h", "node", "n", "common", "least", "prefix"])
 
     return run
 
@@ -244,9 +244,9 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, num: int = N
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, node (equal for equal sets)."""
+    """One row per document: doc_id, n_shingles, component_id, node (equal for equal sets), h (hash of its text)."""
     spark = docs.sparkSession
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
     hot = spark.sparkContext.broadcast(frequent_tokens(plain, words))
     base = materialize(plain.mapInArrow(_describe(words, SEEDS, num, den, hot), BASE))
     sets = base.filter("n > 0")
@@ -269,6 +269,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     names = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     answers = named.groupBy("node").agg(F.first("component").alias("component")).join(names, "component").select("node", "component_id")
     answers = materialize(answers)
-    linked = sets.select("doc_id", "node", "n").join(answers, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "node")
-    alone = base.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node")
+    linked = sets.select("doc_id", "h", "node", "n").join(answers, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "node", "h")
+    alone = base.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node", "h")
     return linked.unionByName(alone)
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that name their component, one of each, with all their columns.
+
+    Rows without a doc_id stay where no row of their component has one.
+    """
+    named = jaccard_components(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = named.groupBy(F.col("doc_id").alias("__id"), F.when(F.col("doc_id").isNull(), F.col("h")).alias("__null")).agg(F.min("h").alias("__h"))
+    own = docs.withColumn("__own", F.xxhash64(F.col(text)))
+    same = (F.col("__own") == F.col("__h")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__id"))
+    return own.join(materialize(first), same, "left_semi").select(*docs.columns)

@@ -201,3 +201,9 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     profiles = fit_profiles(docs.filter(~held_out(F.col(doc_id))), doc_id, text, lang)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return predict_languages(plain, profiles).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text is in a language that was learned, with all their columns."""
+    profiles = fit_profiles(docs.filter(~held_out(F.col(doc_id))), doc_id, text, lang)
+    return predict_languages(docs, profiles, text).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)

@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arclake.llm.common import as_bytes, materialize, ranked, slices
@@ -139,3 +139,15 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     chosen = numbered.join(quotas, fits, "left").join(plan, F.col("source").eqNullSafe(F.col("p_source")))
     repeats = F.col("whole") + F.when(F.col("rank") < F.coalesce("quota", F.lit(0)), 1).otherwise(0)
     return chosen.select("doc_id", "source", "size", "source_size", "target", repeats.cast("long").alias("repeats"), (F.col("size") * repeats).cast("long").alias("taken"), "h")
+
+
+def take_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, **how) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns."""
+    taken = mix_sources(docs, doc_id, text, source, seed=seed, **how)
+    taken = taken.groupBy(F.col("h").alias("__h")).agg(F.sum("repeats").alias("__all"), F.count(F.lit(1)).alias("__rows")).filter("__all > 0")
+    own = docs.withColumn("__own", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
+    joined = own.join(materialize(taken), F.col("__own") == F.col("__h"))
+    place = F.row_number().over(Window.partitionBy("__own").orderBy("__own"))  # rows that are repeated share their takes
+    times = F.expr("__all div __rows") + F.when(place <= F.col("__all") % F.col("__rows"), 1).otherwise(0)
+    repeated = joined.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    return repeated.select(*docs.columns)
