@@ -364,3 +364,55 @@ def dds_mips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dds_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = dds.chunk_plan(F.col("w"), F.col("h"), F.col("mips"), F.col("f"), F.col("cube"))
     return _grid(spark, sf_dir).select("id", F.posexplode(plan).alias("chunk", "c")).select("id", "chunk", "c.offset", "c.size", F.col("c.end_mip").cast("int").alias("end_mip"))
+
+
+_ROUND = """SELECT source AS archive, identity, sha256(payload) AS print, CAST(size AS BIGINT) AS size FROM b WHERE source IS NOT NULL"""
+
+
+def _round_trip(family: str, compress: bool = True, split: int | None = None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from arclake.operators.pack import PackOptions, pack
+        from arclake.sources import archive
+
+        own = named(spark, sf_dir).filter("source is not null").select(F.col("source").alias("archive"), "name", "payload", F.col("doc_id").alias("seq"))
+        parts = pack(own, PackOptions(family, compress, split=split)).select(F.concat_ws("/", "archive", F.col("part").cast("string")).alias("path"), "content")
+        found = archive.contents(parts)
+        return found.select(F.substring_index("path", "/", 1).alias("archive"), "identity", F.sha2("content", 256).alias("print"), F.octet_length("content").cast("long").alias("size"))
+
+    return run
+
+
+for _name, _family, _compress, _split in (
+    ("roundtrip_tes3_stored", "TES3_BSA", False, None),
+    ("roundtrip_tes4_zlib", "TES4_BSA", True, None),
+    ("roundtrip_fo3_stored", "FO3_FNV_SKYRIM_LE_BSA", False, 60_000),
+    ("roundtrip_sse_lz4", "SSE_BSA", True, None),
+    ("roundtrip_fo4_zlib", "FO4_GENERAL_BA2", True, 40_000),
+    ("roundtrip_starfield_lz4", "STARFIELD_GENERAL_BA2_V3", True, None),
+):
+    QUERIES[_name] = _round_trip(_family, _compress, _split)
+    ORACLE_SQL[_name] = E_SQL + _ROUND
+
+
+@query("SELECT source AS archive, 'FO4_GENERAL_BA2' AS family, count(*) AS entries, CAST(0 AS BIGINT) AS compressed, 'stored' AS codecs, CAST(sum(size) AS BIGINT) AS decoded_bytes FROM b WHERE source IS NOT NULL GROUP BY source")
+def inspect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arclake.operators.pack import PackOptions, pack
+    from arclake.sources import archive
+
+    own = named(spark, sf_dir).filter("source is not null").select(F.col("source").alias("archive"), "name", "payload", F.col("doc_id").alias("seq"))
+    parts = pack(own, PackOptions("FO4_GENERAL_BA2", False)).select(F.col("archive").alias("path"), "content")
+    return archive.summary(parts).withColumnRenamed("path", "archive").drop("stored_bytes")
+
+
+_PREFIXES = (("empty", ""), ("text", "68656c6c6f"), ("tes3", "00010000"), ("tes3_cut", "0001"), ("bsa_cut", "42534100"), ("bsa67", "4253410067000000"), ("bsa68", "4253410068000000"), ("bsa69", "4253410069000000"), ("bsa99", "4253410099000000"), ("ba2_cut", "4254445801000000"), ("ba2_v1", "4254445801000000474e524c"), ("ba2_v2", "4254445802000000474e524c"), ("ba2_v8", "425444580800000044583130"), ("ba2_v9", "4254445809000000474e524c"), ("ba2_odd", "425444580100000041424344"), ("sf_v3", "4254445803000000474e524c" + "00" * 20 + "03000000"), ("sf_v3_odd", "4254445803000000474e524c" + "00" * 20 + "00000000"))
+
+
+@query("""SELECT * FROM (VALUES ('empty', 'UNRECOGNIZED', NULL), ('text', 'UNRECOGNIZED', NULL), ('tes3', 'SUPPORTED_FAMILY', 'TES3_BSA'), ('tes3_cut', 'INDETERMINATE', NULL), ('bsa_cut', 'INDETERMINATE', NULL),
+  ('bsa67', 'SUPPORTED_FAMILY', 'TES4_BSA'), ('bsa68', 'SUPPORTED_FAMILY', 'FO3_FNV_SKYRIM_LE_BSA'), ('bsa69', 'SUPPORTED_FAMILY', 'SSE_BSA'), ('bsa99', 'UNSUPPORTED_VARIANT', NULL), ('ba2_cut', 'INDETERMINATE', NULL),
+  ('ba2_v1', 'SUPPORTED_FAMILY', 'FO4_GENERAL_BA2'), ('ba2_v2', 'SUPPORTED_FAMILY', 'STARFIELD_GENERAL_BA2'), ('ba2_v8', 'SUPPORTED_FAMILY', 'FO4_DDS_BA2'), ('ba2_v9', 'UNSUPPORTED_VARIANT', NULL), ('ba2_odd', 'UNSUPPORTED_VARIANT', NULL),
+  ('sf_v3', 'SUPPORTED_FAMILY', 'STARFIELD_GENERAL_BA2'), ('sf_v3_odd', 'UNSUPPORTED_VARIANT', NULL)) t(path, status, family)""", "")
+def detect_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arclake.sources import archive
+
+    files = spark.createDataFrame([(n, bytes.fromhex(h)) for n, h in _PREFIXES], "path string, content binary")
+    return archive.detect(files).select("path", "status", "family")
