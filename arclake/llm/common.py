@@ -80,27 +80,60 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """64-bit word fingerprints, kept per worker; emptied when it holds ``most`` words."""
-
-    def __init__(self, most: int = 400_000) -> None:
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Bytes of text whose words are hashed at once, and the odd base of the polynomial.
+CHUNK = 1 << 21
+BASE = 0x9E6C63D0876A9A7D
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse, modulo 2**64; kept per worker."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, CHUNK + (1 << 16))
+        _POWERS[:] = []
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _POWERS.append(np.multiply.accumulate(x))
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit fingerprints of the words of all texts in a row, and the number of words of each text.
+
+    A word's fingerprint is a polynomial in its bytes, taken from prefix sums over whole chunks of text, so no word is
+    handled by itself.
+    """
+    data = np.frombuffer(b"\n".join(x or b"" for x in texts), np.uint8)
+    space = _SPACE[data]
+    hashes, starts = [], []
+    at = 0
+    while at < len(data):
+        end = at + CHUNK
+        while end < len(data) and not space[end]:  # a chunk ends between words
+            ahead = np.flatnonzero(space[end : end + 4096])
+            end = end + int(ahead[0]) if len(ahead) else end + 4096
+        part, blank = data[at:end], space[at:end]
+        edge = np.diff(np.concatenate(([True], blank, [True])).view(np.int8))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        up, down = powers(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.add.accumulate((part.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+        hashes.append(mix64((sums[last] - sums[first]) * down[first]))
+        starts.append(first + at)
+        at = end
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    offsets = np.cumsum([0, *(len(x or b"") + 1 for x in texts)])
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), offsets))
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Fingerprints of the ``k`` consecutive words that start at each place; one fewer place per extra word."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64)
     out = h[: len(h) - k + 1].copy()
     for i in range(1, k):
         out *= np.uint64(0x9E3779B97F4A7C15)

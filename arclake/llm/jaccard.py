@@ -28,29 +28,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arclake.llm.common import WordHashes, as_bytes, bucket_count, materialize, mix64, rolling, slices
+from arclake.llm.common import as_bytes, bucket_count, hash_words, materialize, mix64, rolling, slices
 from arclake.llm.graph import components
 
 WORDS = 5
 NUM, DEN = 75, 100
 SEEDS = 8
 #: A leader is tried where at least this many of the min-hashes agree.
-AGREE = 3
+AGREE = 4
+#: Bytes of text handled at once.
+SLICE = 4 << 20
 #: Tokens that a task sees in so many of its sets are counted; the most frequent of them are put last in the order.
 LOCAL_LEAST = 4
 HOT_TOKENS = 1 << 20
 #: Words of the fixed-size filter of node ids, 64 bits each.
 FILTER_WORDS = 1 << 18
 
-_HASHES = WordHashes()
-
-
-def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit fingerprints of a text's shingles; a shorter text is one shingle."""
-    own = text.lower().split() if text else []
-    if not own:
-        return np.zeros(0, np.uint64)
-    return np.unique(rolling(_HASHES.of(own), min(words, len(own))))
+def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit fingerprints of its shingles; a shorter text is one shingle."""
+    h, counts = hash_words([x.lower() if x else x for x in texts])
+    rolled, out, at = rolling(h, words), [], 0
+    for n in counts.tolist():
+        own = np.sort(rolled[at : at + n - words + 1]) if n >= words else rolling(h[at : at + n], n) if n else h[:0]
+        out.append(own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) > 1 else own)
+        at += n
+    return out
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -70,11 +72,15 @@ def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
 def _heavy(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [shingles(x, words) for x in as_bytes(part.column("text"))]
-                tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64),) * 2
-                often = counts >= LOCAL_LEAST
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "n"])
+            for part in slices(batch, "text", 4 * SLICE):
+                h, counts = hash_words([x.lower() if x else x for x in as_bytes(part.column("text"))])
+                ends = np.repeat(np.cumsum(counts), counts)
+                rolled = rolling(h, words)
+                tokens = np.sort(rolled[np.arange(len(rolled)) + words <= ends[: len(rolled)]])
+                first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
+                n = np.diff(np.append(first, len(tokens)))
+                often = n >= LOCAL_LEAST
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[first[often]].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
     return run
 
@@ -100,25 +106,43 @@ def _describe(words: int, seeds: int, num: int, den: int, hot):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_tokens, hot_rank = hot.value
+        maybe = np.zeros(1 << 22, bool)  # a quick look before the search
+        maybe[hot_tokens & np.uint64((1 << 22) - 1)] = True
         for batch in batches:
-            for part in slices(batch, "text"):
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for text in as_bytes(part.column("text")):
-                    tokens = shingles(text, words)
-                    n = len(tokens)
-                    common, least, prefix = 0, [], b""
+            for part in slices(batch, "text", SLICE):
+                sets = shingle_sets(as_bytes(part.column("text")), words)
+                sizes = np.array([len(x) for x in sets], np.int64)
+                tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                rank = np.zeros(len(tokens), np.uint32)
+                look = np.flatnonzero(maybe[tokens & np.uint64((1 << 22) - 1)])
+                if len(look):
+                    at = np.minimum(np.searchsorted(hot_tokens, tokens[look]), len(hot_tokens) - 1)
+                    there = hot_tokens[at] == tokens[look]
+                    rank[look[there]] = hot_rank[at[there]]
+                full = np.flatnonzero(sizes)
+                starts = (np.cumsum(sizes) - sizes)[full]
+                least = np.zeros((len(full), seeds), np.int64)
+                for j, m in enumerate(multipliers if len(full) else ()):
+                    x = tokens * m
+                    least[:, j] = np.minimum.reduceat(x ^ (x >> np.uint64(29)), starts).view(np.int64)
+                common = np.zeros(len(sets), np.int32)
+                if len(full):
+                    common[full] = np.add.reduceat((rank > 0).astype(np.int32), starts)
+                row = {int(f): least[i].tolist() for i, f in enumerate(full)}
+                prefixes, nodes, at = [], [], 0
+                for i, own in enumerate(sets):
+                    n = len(own)
                     if n:
-                        rank = np.zeros(n, np.uint32)
-                        if len(hot_tokens):
-                            at = np.minimum(np.searchsorted(hot_tokens, tokens), len(hot_tokens) - 1)
-                            there = hot_tokens[at] == tokens
-                            rank[there] = hot_rank[at[there]]
-                            common = int(there.sum())
-                        prefix = tokens[np.argsort(rank, kind="stable")[: prefix_length(n, num, den)]].tobytes()
-                        least = [int((mix64(tokens * m)).min().view(np.int64)) for m in multipliers]
-                    for column, value in zip(out, (node_of(tokens), n, common, least, prefix), strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())], ["doc_id", "h", "node", "n", "common", "least", "prefix"])
+                        keep = prefix_length(n, num, den)
+                        prefixes.append((own[np.argsort(rank[at : at + n], kind="stable")[:keep]] if common[i] else own[:keep]).tobytes())
+                    else:
+                        prefixes.append(b"")
+                    nodes.append(node_of(own))
+                    at += n
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("h"), pa.array(nodes, pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(common), pa.array([row.get(i, []) for i in range(len(sets))], pa.list_(pa.int64())), pa.array(prefixes, pa.binary())],
+                    ["doc_id", "h", "node", "n", "common", "least", "prefix"],
+                )
 
     return run
 
@@ -145,58 +169,85 @@ def _spread(n_buckets: int):
     return run
 
 
-def cross_pairs(tokens: np.ndarray, nodes: np.ndarray, stars: np.ndarray, sizes: np.ndarray, positions: np.ndarray, num: int = NUM, den: int = DEN, block: int = 2048) -> np.ndarray:
-    """Distinct pairs of nodes of different stars that share a token here and can still reach the threshold."""
-    order = np.lexsort((sizes, stars, tokens))
-    tokens, nodes, stars, sizes, positions = (x[order] for x in (tokens, nodes, stars, sizes, positions))
-    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-    ends = np.append(starts[1:], len(tokens))
-    mixed = stars[starts] != stars[ends - 1]  # sorted by star within a token: else the whole list is one star
+def cross_pairs(tokens: np.ndarray, nodes: np.ndarray, stars: np.ndarray, sizes: np.ndarray, positions: np.ndarray, num: int = NUM, den: int = DEN, block: int = 2048) -> tuple[np.ndarray, ...]:
+    """Pairs (u, v) of nodes of different stars that share tokens here and can still reach the threshold, with their
+    sizes and the number of tokens they share."""
+    order = np.argsort(tokens)
+    same = tokens[order][1:] == tokens[order][:-1]
+    order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]  # a token of one set pairs nothing
+    order = order[np.lexsort((sizes[order], tokens[order]))]
+    tokens, nodes, stars, sizes, positions = (x[order] for x in (tokens, nodes, stars, sizes.astype(np.int64), positions.astype(np.int64)))
+    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
+    lengths = np.diff(np.append(starts, len(tokens)))
     found: list[np.ndarray] = []
-    for a, b in zip(starts[mixed], ends[mixed], strict=True):
-        by_size = a + np.argsort(sizes[a:b], kind="stable")
-        n, p, s, x = sizes[by_size].astype(np.int64), positions[by_size].astype(np.int64), stars[by_size], nodes[by_size]
-        for i in range(0, len(n), block):
-            to = min(i + block, len(n))
-            # sizes ascend: nothing beyond the last that the largest of this block may still match
-            for j in range(i, int(np.searchsorted(n, n[to - 1] * den // num, side="right")), block):
-                end = min(j + block, len(n))
-                most = np.minimum((n[i:to] - p[i:to])[:, None], (n[j:end] - p[j:end])[None, :])
-                if most.max() < least_overlap(n[i], n[j], num, den):
+
+    def keep(u: np.ndarray, v: np.ndarray) -> None:
+        reach = np.minimum(sizes[u] - positions[u], sizes[v] - positions[v])
+        fits = (stars[u] != stars[v]) & (sizes[u] * den >= sizes[v] * num) & (reach >= least_overlap(sizes[u], sizes[v], num, den))
+        u, v = u[fits], v[fits]
+        if len(u):
+            swap = nodes[u] > nodes[v]
+            u, v = np.where(swap, v, u), np.where(swap, u, v)
+            found.append(np.stack([nodes[u], nodes[v], sizes[u], sizes[v]], axis=1))
+
+    two = starts[lengths == 2]
+    keep(two, two + 1)
+    for a, n in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
+        if (stars[a : a + n] == stars[a]).all():
+            continue  # the whole list is one star
+        left = sizes[a : a + n] - positions[a : a + n]
+        for i in range(0, n, block):
+            to = min(i + block, n)
+            # sizes ascend: nothing lies beyond the last that the largest of this block may match
+            stop = int(np.searchsorted(sizes[a : a + n], sizes[a + to - 1] * den // num, side="right"))
+            for j in range(i, stop, block):
+                end = min(j + block, n)
+                if min(left[i:to].max(), left[j:end].max()) < least_overlap(int(sizes[a + i]), int(sizes[a + j]), num, den):
                     continue  # no position of the block can reach the threshold
-                fits = (most >= least_overlap(n[i:to, None], n[None, j:end], num, den)) & (s[i:to, None] != s[None, j:end])
-                u, v = np.nonzero(fits)
-                u, v = u + i, v + j
-                u, v = u[u < v], v[u < v]
-                if len(u):
-                    found.append(np.stack([np.minimum(x[u], x[v]), np.maximum(x[u], x[v])], axis=1))
+                u, v = np.meshgrid(np.arange(i, to), np.arange(j, end), indexing="ij")
+                pairs = u < v
+                keep(a + u[pairs], a + v[pairs])
     if not found:
-        return np.zeros((0, 2), np.int64)
-    return np.unique(np.concatenate(found), axis=0)
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    pairs = np.concatenate(found)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[order]
+    first = np.flatnonzero(np.concatenate(([True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1))))
+    return (*pairs[first].T, np.diff(np.append(first, len(pairs))))
+
+
+def shared_least(a, b, num: int = NUM, den: int = DEN):
+    """Tokens that two prefixes must share: what the sets beyond the prefixes can add at most is known.
+
+    Common tokens up to the nearer end of the two prefixes lie in both; beyond it one of the sets has no more than
+    its tokens after its prefix.
+    """
+    rest = F.greatest(*(F.ceil(F.lit(num) * x / den) for x in (a, b))) - 1
+    return F.ceil(F.lit(num) * (a + b) / (den + num)) - rest
+
+
+PAIRS = "u long, v long, a int, b int, shared int"
 
 
 def _join_bucket(num: int, den: int):
     def run(part: pa.Table) -> pa.Table:
         kinds = (("tokens", np.uint64), ("nodes", np.int64), ("stars", np.int64), ("sizes", np.int32), ("positions", np.int32))
         columns = [np.frombuffer(b"".join(part.column(name).to_pylist()), kind) for name, kind in kinds]
-        pairs = cross_pairs(*columns, num, den) if len(columns[0]) else np.zeros((0, 2), np.int64)
-        return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
+        u, v, a, b, shared = cross_pairs(*columns, num, den)
+        return pa.table({"u": pa.array(u), "v": pa.array(v), **{k: pa.array(x.astype(np.int32)) for k, x in (("a", a), ("b", b), ("shared", shared))}})
 
     return run
 
 
-def _texts(words: int, bits):
-    """Whole texts of the nodes that the filter lets through."""
+def _texts(bits):
+    """Whole texts whose hash the filter lets through."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = bits.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts = as_bytes(part.column("text"))
-                nodes = np.array([node_of(shingles(x, words)) for x in texts], np.int64)
-                word, bit = _filter_place(nodes, len(filter_))
-                through = np.flatnonzero(filter_[word] >> bit & np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[through]), pa.array([texts[i] for i in through], pa.binary())], ["node", "text"])
+            word, bit = _filter_place(batch.column("h").to_numpy(), len(filter_))
+            through = pa.array(filter_[word] >> bit & np.uint64(1)).cast(pa.bool_())
+            yield batch.filter(through)
 
     return run
 
@@ -209,35 +260,36 @@ def _filter_place(nodes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray
 def _verify(words: int, num: int, den: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, last, own = [], None, None
-            for i, (u, a, b) in enumerate(zip(batch.column("u").to_pylist(), as_bytes(batch.column("a")), as_bytes(batch.column("b")), strict=True)):
-                if u != last:
-                    last, own = u, shingles(a, words)
-                other = shingles(b, words)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if den * both >= num * (len(own) + len(other) - both):
-                    kept.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column("u").take(pa.array(kept, pa.int64())), batch.column("v").take(pa.array(kept, pa.int64()))], ["u", "v"])
+            for part in slices(batch, "a", SLICE):
+                first, second = (shingle_sets(as_bytes(part.column(c)), words) for c in ("a", "b"))
+                kept = []
+                for i, (x, y) in enumerate(zip(first, second, strict=True)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if den * both >= num * (len(x) + len(y) - both):
+                        kept.append(i)
+                kept = pa.array(kept, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("u").take(kept), part.column("v").take(kept)], ["u", "v"])
 
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """The pairs (u, v) of nodes whose sets reach the threshold, by their whole texts.
 
-    A filter of fixed size (``FILTER_WORDS`` words) keeps texts of other nodes out of the shuffle; what it lets through
-    by mistake joins nothing.
+    ``nodes`` has the hash of one text of each node.  A filter of fixed size (``FILTER_WORDS`` words) keeps other texts
+    out of the shuffle; what it lets through by mistake joins nothing.
     """
     spark = docs.sparkSession
     pairs = materialize(pairs)
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    word = F.expr(f"cast(id & {FILTER_WORDS - 1} as int)")  # a power of two
-    bits = ids.select(word.alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(id, 40) & 63 as int))").alias("bits"))
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "h"), "node")
+    wanted = materialize(wanted)
+    word = F.expr(f"cast(h & {FILTER_WORDS - 1} as int)")  # a power of two
+    bits = wanted.select(word.alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 as int))").alias("bits"))
     table = bits.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most FILTER_WORDS rows
     filter_ = np.zeros(FILTER_WORDS, np.uint64)
     filter_[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    texts = docs.select("text").mapInArrow(_texts(words, spark.sparkContext.broadcast(filter_)), "node long, text binary")
-    texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")))
+    through = docs.select("h", "text").mapInArrow(_texts(spark.sparkContext.broadcast(filter_)), "h long, text string")
+    texts = materialize(through.groupBy("h").agg(F.first("text").alias("text")).join(wanted, "h").select("node", "text"))
     left = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     both = left.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
     return both.select("u", "v", "a", "b").mapInArrow(_verify(words, num, den), "u long, v long")
@@ -250,19 +302,21 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     hot = spark.sparkContext.broadcast(frequent_tokens(plain, words))
     base = materialize(plain.mapInArrow(_describe(words, SEEDS, num, den, hot), BASE))
     sets = base.filter("n > 0")
-    nodes = materialize(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("common").alias("common"), F.first("least").alias("least")))
+    nodes = materialize(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("common").alias("common"), F.first("least").alias("least"), F.min("h").alias("h")))
     # Answers taken from a similar set: a verified link to the most typical set that shares min-hashes.
     each = nodes.select("node", (F.col("n") - F.col("common")).alias("own"), F.posexplode("least").alias("seed", "hash"))
     leaders = materialize(each.groupBy("seed", "hash").agg(F.min(F.struct("own", "node")).alias("best"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("seed", "hash", F.col("best.node").alias("leader")))
     tried = each.join(leaders, ["seed", "hash"]).filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("agree")).filter(F.col("agree") >= AGREE)
-    star_links = materialize(verified(plain, tried.select(F.col("leader").alias("u"), F.col("node").alias("v")), words, num, den))
+    tried = tried.groupBy("node").agg(F.max_by("leader", F.struct("agree", "leader")).alias("leader"))
+    star_links = materialize(verified(plain, nodes, tried.select(F.col("leader").alias("u"), F.col("node").alias("v")), words, num, den))
     stars = materialize(components(star_links))
     # Candidates across stars.
     prefixes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     joined = prefixes.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("star"), "n", "prefix")
     packed = joined.mapInArrow(_spread(bucket_count(spark)), "bucket int, tokens binary, nodes binary, stars binary, sizes binary, positions binary")
-    pairs = packed.groupBy("bucket").applyInArrow(_join_bucket(num, den), "u long, v long").distinct()
-    links = verified(plain, pairs, words, num, den)
+    met = packed.groupBy("bucket").applyInArrow(_join_bucket(num, den), PAIRS).groupBy("u", "v", "a", "b").agg(F.sum("shared").alias("shared"))
+    pairs = met.filter(F.col("shared") >= shared_least(F.col("a"), F.col("b"), num, den)).select("u", "v")
+    links = verified(plain, nodes, pairs, words, num, den)
     joint = materialize(components(materialize(star_links.union(links))))
     # Back to documents.
     named = sets.select("doc_id", "node").join(joint, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))

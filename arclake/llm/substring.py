@@ -28,17 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arclake.llm.common import WordHashes, as_bytes, bucket_count, mix64, slices
+from arclake.llm.common import as_bytes, bucket_count, hash_words, mix64, slices
 
 WINDOW = 50
 #: Words of the fixed-size filter of shared prefixes, 64 bits each.
 FILTER_WORDS = 1 << 20
 LAST = (1 << 63) - 1
+#: Bytes of text handled at once.
+SLICE = 4 << 20
 _STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
-_HASHES = WordHashes()
-
-
 def path_prints(h: np.ndarray, k: int, step: np.uint64) -> np.ndarray:
     """Fingerprints of the ``k`` words from each place of ``h`` on: prefix sums of a polynomial, modulo 2**64."""
     n = len(h)
@@ -66,9 +65,7 @@ class Windows:
     """All windows of a run of texts: their places in the joined word sequence, and what names them."""
 
     def __init__(self, texts: list[bytes | None], window: int = WINDOW) -> None:
-        self.words = [x.split() if x else [] for x in texts]
-        lengths = np.array([len(w) for w in self.words], np.int64)
-        self.h = _HASHES.of([w for own in self.words for w in own])
+        self.h, lengths = hash_words(texts)
         ends = np.cumsum(lengths)
         self.starts = ends - lengths
         count = np.maximum(lengths - window + 1, 0)
@@ -109,7 +106,7 @@ def _ids(part: pa.RecordBatch) -> np.ndarray:
 def _prefixes(window: int, n_buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 w = Windows(as_bytes(part.column("text")), window)
                 if len(w.prefix):
                     new = np.concatenate(([True], (w.prefix[1:] != w.prefix[:-1]) | (w.text[1:] != w.text[:-1])))
@@ -150,7 +147,7 @@ def _suffixes(window: int, n_buckets: int, shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 w = Windows(as_bytes(part.column("text")), window)
                 word, bit = _filter_place(w.prefix)
                 through = np.flatnonzero(filter_[word] >> bit & np.uint64(1))
@@ -200,13 +197,14 @@ def _remove(window: int, digest: bool):
         order = np.lexsort((path, doc))
         doc, path = doc[order], path[order]
         for batch in texts.to_batches():
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids = _ids(part)
-                w = Windows(as_bytes(part.column("text")), window)
+                own_texts = as_bytes(part.column("text"))
+                w = Windows(own_texts, window)
                 first = w.paths()[0]
                 bounds = np.searchsorted(w.text, np.arange(len(ids) + 1))
                 rows: tuple[list, ...] = ([], [], [], [], [])
-                for i, own in enumerate(w.words):
+                for i, own in enumerate(x.split() if x else [] for x in own_texts):
                     a, b = np.searchsorted(doc, ids[i]), np.searchsorted(doc, ids[i], side="right")
                     gone, spans = 0, []
                     if b > a and bounds[i + 1] > bounds[i]:
