@@ -170,8 +170,11 @@ def _spread(n_buckets: int):
 
 
 def cross_pairs(tokens: np.ndarray, nodes: np.ndarray, stars: np.ndarray, sizes: np.ndarray, positions: np.ndarray, num: int = NUM, den: int = DEN, block: int = 2048) -> tuple[np.ndarray, ...]:
-    """Pairs (u, v) of nodes of different stars that share tokens here and can still reach the threshold, with their
-    sizes and the number of tokens they share."""
+    """Pairs (u, v) of nodes of different stars that share tokens here, with their sizes, the number of these tokens,
+    and whether one of them stands early enough to be the first of as many as the threshold takes.
+
+    Places that are too late even for the last token that ``shared_least`` counts are skipped.
+    """
     order = np.argsort(tokens)
     same = tokens[order][1:] == tokens[order][:-1]
     order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]  # a token of one set pairs nothing
@@ -183,12 +186,13 @@ def cross_pairs(tokens: np.ndarray, nodes: np.ndarray, stars: np.ndarray, sizes:
 
     def keep(u: np.ndarray, v: np.ndarray) -> None:
         reach = np.minimum(sizes[u] - positions[u], sizes[v] - positions[v])
-        fits = (stars[u] != stars[v]) & (sizes[u] * den >= sizes[v] * num) & (reach >= least_overlap(sizes[u], sizes[v], num, den))
-        u, v = u[fits], v[fits]
+        fits = (stars[u] != stars[v]) & (sizes[u] * den >= sizes[v] * num) & (reach >= -(-num * np.maximum(sizes[u], sizes[v]) // den))
+        u, v, reach = u[fits], v[fits], reach[fits]
         if len(u):
+            early = (reach >= least_overlap(sizes[u], sizes[v], num, den)).astype(np.int64)
             swap = nodes[u] > nodes[v]
             u, v = np.where(swap, v, u), np.where(swap, u, v)
-            found.append(np.stack([nodes[u], nodes[v], sizes[u], sizes[v]], axis=1))
+            found.append(np.stack([nodes[u], nodes[v], sizes[u], sizes[v], early], axis=1))
 
     two = starts[lengths == 2]
     keep(two, two + 1)
@@ -202,18 +206,18 @@ def cross_pairs(tokens: np.ndarray, nodes: np.ndarray, stars: np.ndarray, sizes:
             stop = int(np.searchsorted(sizes[a : a + n], sizes[a + to - 1] * den // num, side="right"))
             for j in range(i, stop, block):
                 end = min(j + block, n)
-                if min(left[i:to].max(), left[j:end].max()) < least_overlap(int(sizes[a + i]), int(sizes[a + j]), num, den):
+                if min(left[i:to].max(), left[j:end].max()) < -(-num * int(sizes[a + j]) // den):
                     continue  # no position of the block can reach the threshold
                 u, v = np.meshgrid(np.arange(i, to), np.arange(j, end), indexing="ij")
                 pairs = u < v
                 keep(a + u[pairs], a + v[pairs])
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     pairs = np.concatenate(found)
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     pairs = pairs[order]
     first = np.flatnonzero(np.concatenate(([True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1))))
-    return (*pairs[first].T, np.diff(np.append(first, len(pairs))))
+    return (*pairs[first, :4].T, np.diff(np.append(first, len(pairs))), np.maximum.reduceat(pairs[:, 4], first))
 
 
 def shared_least(a, b, num: int = NUM, den: int = DEN):
@@ -226,15 +230,15 @@ def shared_least(a, b, num: int = NUM, den: int = DEN):
     return F.ceil(F.lit(num) * (a + b) / (den + num)) - rest
 
 
-PAIRS = "u long, v long, a int, b int, shared int"
+PAIRS = "u long, v long, a int, b int, shared int, early int"
 
 
 def _join_bucket(num: int, den: int):
     def run(part: pa.Table) -> pa.Table:
         kinds = (("tokens", np.uint64), ("nodes", np.int64), ("stars", np.int64), ("sizes", np.int32), ("positions", np.int32))
         columns = [np.frombuffer(b"".join(part.column(name).to_pylist()), kind) for name, kind in kinds]
-        u, v, a, b, shared = cross_pairs(*columns, num, den)
-        return pa.table({"u": pa.array(u), "v": pa.array(v), **{k: pa.array(x.astype(np.int32)) for k, x in (("a", a), ("b", b), ("shared", shared))}})
+        u, v, a, b, shared, early = cross_pairs(*columns, num, den)
+        return pa.table({"u": pa.array(u), "v": pa.array(v), **{k: pa.array(x.astype(np.int32)) for k, x in (("a", a), ("b", b), ("shared", shared), ("early", early))}})
 
     return run
 
@@ -314,8 +318,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     prefixes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     joined = prefixes.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("star"), "n", "prefix")
     packed = joined.mapInArrow(_spread(bucket_count(spark)), "bucket int, tokens binary, nodes binary, stars binary, sizes binary, positions binary")
-    met = packed.groupBy("bucket").applyInArrow(_join_bucket(num, den), PAIRS).groupBy("u", "v", "a", "b").agg(F.sum("shared").alias("shared"))
-    pairs = met.filter(F.col("shared") >= shared_least(F.col("a"), F.col("b"), num, den)).select("u", "v")
+    met = packed.groupBy("bucket").applyInArrow(_join_bucket(num, den), PAIRS).groupBy("u", "v", "a", "b").agg(F.sum("shared").alias("shared"), F.max("early").alias("early"))
+    pairs = met.filter("early = 1").filter(F.col("shared") >= shared_least(F.col("a"), F.col("b"), num, den)).select("u", "v")
     links = verified(plain, nodes, pairs, words, num, den)
     joint = materialize(components(materialize(star_links.union(links))))
     # Back to documents.

@@ -99,8 +99,8 @@ def test_cross_pairs_lose_no_link():
                 c.append(v)
     kinds = (np.uint64, np.int64, np.int64, np.int32, np.int32)
     for block in (3, 2048):
-        u, v, _, _, shared = jaccard.cross_pairs(*(np.array(c, k) for c, k in zip(columns, kinds, strict=True)), block=block)
-        found = {(x, y): n for x, y, n in zip(u.tolist(), v.tolist(), shared.tolist(), strict=True)}
+        u, v, _, _, shared, early = jaccard.cross_pairs(*(np.array(c, k) for c, k in zip(columns, kinds, strict=True)), block=block)
+        found = {(x, y): n for x, y, n, e in zip(u.tolist(), v.tolist(), shared.tolist(), early.tolist(), strict=True) if e}
         for a in range(len(sets)):
             for b in range(a):
                 if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
