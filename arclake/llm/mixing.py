@@ -45,10 +45,11 @@ def water_fill(sizes: list[int], weights: list[float], total: float, most: float
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their lengths come as near below ``budget`` as can be.
+    """How many documents of each length to take so that their lengths come as near to ``budget`` as can be.
 
     A proportional share of every length first, then the longest that fit while the rest is more than twice the
-    longest length, then bounded-knapsack dynamic programming over that rest.
+    longest length, then bounded-knapsack dynamic programming over that rest, which may end above it by less than
+    the longest length if that is nearer.
     """
     take = np.zeros(len(lengths), np.int64)
     useful = lengths > 0
@@ -68,15 +69,16 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             more = min(int(counts[i] - take[i]), (rest - window) // int(lengths[i]) + 1, rest // int(lengths[i]))
             take[i] += more
             rest -= more * int(lengths[i])
+    most = rest + int(lengths.max())
     items: list[tuple[int, int, int]] = []  # (index, copies, weight); copies split in powers of two
-    for i in np.flatnonzero(useful & (lengths <= rest)):
-        left, step = min(int(counts[i] - take[i]), rest // int(lengths[i])), 1
+    for i in np.flatnonzero(useful):
+        left, step = min(int(counts[i] - take[i]), most // int(lengths[i])), 1
         while left > 0:
             step = min(step, left)
             items.append((int(i), step, step * int(lengths[i])))
             left -= step
             step *= 2
-    mask, reached, firsts = (1 << (rest + 1)) - 1, 1, []
+    mask, reached, firsts = (1 << (most + 1)) - 1, 1, []
     for item in items:
         grown = (reached | (reached << item[2])) & mask
         if grown != reached:
@@ -84,7 +86,10 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             reached = grown
         if reached >> rest & 1:
             break
-    at = reached.bit_length() - 1
+    at = (reached & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = reached >> (rest + 1)
+    if above and (beyond := (above & -above).bit_length()) < rest - at:
+        at = rest + beyond
     for new, (i, copies, weight) in reversed(firsts):
         if new >> at & 1:
             take[i] += copies

@@ -116,10 +116,9 @@ def test_budget_fitting():
         for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
             for _ in range(c):
                 sums |= sums << n
-        best = (sums & ((1 << budget + 1) - 1)).bit_length() - 1
         got = int((lengths * take).sum())
-        assert (take <= counts).all() and got <= budget
-        assert got == best or got >= budget - 2 * max(lengths)
+        near = min(abs(budget - x) for x in range(total + 1) if sums >> x & 1)
+        assert (take <= counts).all() and near <= abs(got - budget) <= max(lengths)
 
 
 def test_water_fill():
@@ -136,8 +135,10 @@ def test_mix(docs, rows, empty):
         assert r["taken"] == r["size"] * r["repeats"] and r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
         targets[r["source"]] = r["target"]
-    longest = max(r["size"] for r in got)
-    assert all(abs(taken[s] - t) <= min(longest, 60) for s, t in targets.items())
+    longest = defaultdict(int)
+    for r in got:
+        longest[r["source"]] = max(longest[r["source"]], r["size"])
+    assert all(abs(taken[s] - t) <= longest[s] for s, t in targets.items())
     again = mixing.mix_sources(docs.repartition(7)).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     mix = mixing.take_mix(docs)
