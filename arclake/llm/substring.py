@@ -230,7 +230,7 @@ def _remove(window: int, digest: bool):
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the words left, or their SHA-256), spans (removed words)."""
     spark = docs.sparkSession
-    n_buckets = bucket_count(spark)
+    n_buckets = bucket_count(spark, 1)  # what a group sends to the groups of documents is a row each, so few large ones
     plain = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"))
     met = plain.mapInArrow(_prefixes(window, n_buckets), "bucket int, prefix binary, doc binary")
     words = met.groupBy("bucket").applyInArrow(_shared, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most FILTER_WORDS rows
