@@ -16,7 +16,8 @@ from arclake.functions import codec as codecs
 from arclake.functions import names
 from arclake.operators import validate
 from arclake.plans import packing
-from arclake.sources.wire import WRITERS, Item, build
+from arclake.functions.texture import analyze, widen_bgr24
+from arclake.sources.wire import WRITERS, Item, Texture, build, build_textures
 
 PARTS = "archive string, part int, entries long, content binary"
 
@@ -81,6 +82,8 @@ def pack(entries: DataFrame, options: PackOptions) -> DataFrame:
     """Archive parts: archive, part, entries, content.  Same result whatever the parallelism."""
     check_options(options)
     layout, version, _ = WRITERS[options.family]
+    if layout == "dds":
+        return pack_textures(entries, options)
     planned = plan_entries(entries, options)
     if layout == "bsa":
         flags = packing.archive_flags(planned, version, ["archive", "part"], F.col("codec") != "stored")
@@ -101,5 +104,52 @@ def pack(entries: DataFrame, options: PackOptions) -> DataFrame:
     return rows.groupBy("archive", "part").applyInArrow(assemble, PARTS)
 
 
+TEXTURES = "archive string, identity string, ordinal long, texture struct<width:int,height:int,mips:int,format:int,cube:boolean,tile:int>, chunks array<struct<stored:binary,decoded:long,first:int,last:int>>, stored_size long"
+
+
+def _textures(packed: str):
+    """Analyse texture files and encode their chunks, a row each."""
+    shape = ("width", "height", "mips", "format", "cube", "tile")
+    kinds = pa.struct([(k, pa.bool_() if k == "cube" else pa.int32()) for k in shape])
+    chunk = pa.struct([("stored", pa.binary()), ("decoded", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = batch.column("payload")[i].as_py()
+                t = analyze(data)
+                pixels = data[t["header_size"] :]
+                pixels = widen_bgr24(pixels) if t["narrow"] else pixels
+                own = [{"stored": codecs.encode(pixels[at : at + size], packed), "decoded": size, "first": a, "last": b} for at, size, a, b in t["chunks"]]
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [*(row.column(c) for c in ("archive", "identity", "ordinal")), pa.array([{k: t[k] for k in shape}], kinds), pa.array([own], pa.list_(chunk)), pa.array([sum(len(c["stored"]) for c in own)], pa.int64())],
+                    ["archive", "identity", "ordinal", "texture", "chunks", "stored_size"],
+                )
+
+    return run
+
+
+def pack_textures(entries: DataFrame, options: PackOptions) -> DataFrame:
+    """Texture archives: every chunk is compressed and equal chunks are stored once; same result columns as ``pack``."""
+    _, _, packed = WRITERS[options.family]
+    named = packing.keep_masks(entries, list(options.masks)).withColumn("identity", names.identity(F.col("name"))).withColumn("payload", F.col("payload").cast("binary"))
+    named = named.filter(F.col("identity").isNotNull() & names.is_ascii(F.col("identity")) & F.col("identity").endswith(".dds"))
+    key = F.concat_ws("\x00", "archive", "identity")
+    rows = packing.overlay(named.select(key.alias("key"), "archive", "identity", "payload", "seq"), "key", "seq").drop("key")
+    rows = packing.ordinals(rows, packing.order_columns("ba2"), ["archive"])
+    encoded = rows.select("archive", "identity", "ordinal", "payload").mapInArrow(_textures(packed), TEXTURES)
+    target = packing.SPLIT_TARGETS["ba2"] if options.split is None else options.split
+    parts = packing.split_parts(encoded, target, packing.entry_cost(F.col("stored_size"), F.octet_length("identity")), ["archive"])
+    family = options.family
+
+    def assemble(part: pa.Table) -> pa.Table:
+        own = sorted(part.to_pylist(), key=lambda r: r["ordinal"])
+        items = [Texture(r["identity"].encode("ascii"), **r["texture"], chunks=[(c["stored"], c["decoded"], c["first"], c["last"]) for c in r["chunks"]]) for r in own]
+        return pa.table({"archive": [own[0]["archive"]], "part": pa.array([own[0]["part"]], pa.int32()), "entries": pa.array([len(own)], pa.int64()), "content": pa.array([build_textures(family, items)], pa.binary())})
+
+    return parts.select("archive", "part", "identity", "ordinal", "texture", "chunks").groupBy("archive", "part").applyInArrow(assemble, PARTS)
+
+
 def check_duplicates(entries: DataFrame) -> DataFrame:
     return validate.duplicates(entries, ["archive"])

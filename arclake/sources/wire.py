@@ -30,6 +30,9 @@ WRITERS = {
     "FO4_GENERAL_BA2": ("ba2", 1, "zlib"),
     "STARFIELD_GENERAL_BA2": ("ba2", 2, "zlib"),
     "STARFIELD_GENERAL_BA2_V3": ("ba2", 3, "lz4_raw"),
+    "FO4_DDS_BA2": ("dds", 1, "zlib"),
+    "STARFIELD_DDS_BA2": ("dds", 2, "zlib"),
+    "STARFIELD_DDS_BA2_V3": ("dds", 3, "lz4_raw"),
 }
 
 
@@ -585,3 +588,36 @@ def _build_ba2(items: list[Item], version: int) -> bytes:
     names = b"".join(struct.pack("<H", len(i.name)) + i.name for i in items)
     head = struct.pack("<4sI4sIQ", BA2_MAGIC, version, b"GNRL", len(items), header + len(rows) + len(body))
     return head + (struct.pack("<Q", 1) if version >= 2 else b"") + (struct.pack("<I", 3) if version == 3 else b"") + bytes(rows) + body + names
+
+
+class Texture(NamedTuple):
+    """One planned texture: canonical name, shape, and (stored, decoded size, first mip, last mip) of its chunks."""
+
+    name: bytes
+    width: int
+    height: int
+    mips: int
+    format: int
+    cube: bool
+    tile: int
+    chunks: list[tuple[bytes, int, int, int]]
+
+
+def build_textures(family: str, items: list[Texture]) -> bytes:
+    """One texture archive part; equal chunks are stored once."""
+    _, version, _ = WRITERS[family]
+    header = ba2_header_size(version)
+    start = header + sum(24 + 24 * len(i.chunks) for i in items)
+    places: dict[tuple[bytes, int], int] = {}
+    rows, body = bytearray(), bytearray()
+    for i in items:
+        base_hash, ext, dir_hash = ba2_identity(i.name)
+        rows += struct.pack("<I4sIBBHHHBBBB", base_hash, ext, dir_hash, 0, len(i.chunks), 24, i.height, i.width, i.mips, i.format, int(i.cube), i.tile)
+        for stored, decoded, first, last in i.chunks:
+            if (stored, decoded) not in places:
+                places[stored, decoded] = start + len(body)
+                body += stored
+            rows += struct.pack("<QIIHHI", places[stored, decoded], len(stored), decoded, first, last, SENTINEL)
+    names = b"".join(struct.pack("<H", len(i.name)) + i.name for i in items)
+    head = struct.pack("<4sI4sIQ", BA2_MAGIC, version, b"DX10", len(items), start + len(body))
+    return head + (struct.pack("<Q", 1) if version >= 2 else b"") + (struct.pack("<I", 3) if version == 3 else b"") + bytes(rows) + bytes(body) + names
