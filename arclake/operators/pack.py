@@ -68,7 +68,7 @@ def plan_entries(entries: DataFrame, options: PackOptions) -> DataFrame:
         rows = packing.with_overrides(rows, options.overrides, default, value="compression").withColumn("codec", F.when(F.col("compression") == "stored", "stored").otherwise(packed)).drop("compression")
     else:
         rows = rows.withColumn("codec", default)
-    rows = packing.ordinals(rows, packing.order_columns(layout if layout != "ba2" else "ba2"), ["archive"])
+    rows = packing.ordinals(rows, packing.order_columns(layout), ["archive"], packing.coarse_columns(layout))
     scope = ["archive", "codec"]
     shared = packing.share(rows, scope) if options.share else rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("owner", F.col("ordinal"))
     owners = shared.filter("owner = ordinal").select("archive", "owner", codecs.encode_column(F.col("payload"), F.col("codec")).alias("stored"))
@@ -137,7 +137,7 @@ def pack_textures(entries: DataFrame, options: PackOptions) -> DataFrame:
     named = named.filter(F.col("identity").isNotNull() & names.is_ascii(F.col("identity")) & F.col("identity").endswith(".dds"))
     key = F.concat_ws("\x00", "archive", "identity")
     rows = packing.overlay(named.select(key.alias("key"), "archive", "identity", "payload", "seq"), "key", "seq").drop("key")
-    rows = packing.ordinals(rows, packing.order_columns("ba2"), ["archive"])
+    rows = packing.ordinals(rows, packing.order_columns("ba2"), ["archive"], packing.coarse_columns("ba2"))
     encoded = rows.select("archive", "identity", "ordinal", "payload").mapInArrow(_textures(packed), TEXTURES)
     target = packing.SPLIT_TARGETS["ba2"] if options.split is None else options.split
     parts = packing.split_parts(encoded, target, packing.entry_cost(F.col("stored_size"), F.octet_length("identity")), ["archive"])

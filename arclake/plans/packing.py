@@ -56,9 +56,33 @@ def order_columns(family: str, hashes: dict[str, Column] | None = None, identity
     return [F.col("position")]
 
 
-def ordinals(entries: DataFrame, order: list[Column], by: list[str] | None = None) -> DataFrame:
-    """Archive ordinal from 0.  One archive is one window; give ``by`` to plan many archives at once."""
-    return entries.withColumn("ordinal", (F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)) - 1).cast("long"))
+def coarse_columns(family: str, identity: str = "identity") -> list[Column]:
+    """A coarser key that sorts as the archive order does: leading bits of the hash, folders cut by leading bits, or runs of positions."""
+    key = F.col(identity)
+    if family == "tes3":
+        return [F.call_function("shiftrightunsigned", names.tes3_hash(key).bitwiseAND(F.lit(names.MASK32)), F.lit(20))]
+    if family == "bsa":
+        folder, base = names.dirname(key), names.basename(key)
+        return [names.unsigned(names.bsa_hash(folder, False)), folder.cast("binary"), F.call_function("shiftrightunsigned", names.bsa_hash(base, True), F.lit(56))]
+    return [F.call_function("shiftright", F.col("position"), F.lit(16))]
+
+
+def ordinals(entries: DataFrame, order: list[Column], by: list[str] | None = None, coarse: list[Column] | None = None) -> DataFrame:
+    """Archive ordinal from 0.
+
+    With ``coarse`` keys no task holds a whole archive: rows are numbered within their coarse group, and the table of
+    group sizes, far smaller than the entries, gives each group its first ordinal.
+    """
+    by, cuts = by or [], [f"__cut{i}" for i in range(len(coarse or []))]
+    rows = entries.withColumns(dict(zip(cuts, coarse or [], strict=True)))
+    inside = F.row_number().over(Window.partitionBy(*(by + cuts or [F.lit(0)])).orderBy(*order)) - 1
+    if not cuts:
+        return rows.withColumn("ordinal", inside.cast("long"))
+    sizes = rows.groupBy(*by, *cuts).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    joined = rows.withColumn("__row", inside).join(firsts, [*by, *cuts])
+    return joined.withColumn("ordinal", (F.col("__first") + F.col("__row")).cast("long")).drop("__first", "__row", *cuts)
 
 
 def share(entries: DataFrame, scope: list[str], payload: str = "payload") -> DataFrame:
