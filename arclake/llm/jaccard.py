@@ -170,11 +170,8 @@ def _spread(n_buckets: int):
 
 
 def cross_pairs(tokens: np.ndarray, nodes: np.ndarray, stars: np.ndarray, sizes: np.ndarray, positions: np.ndarray, num: int = NUM, den: int = DEN, block: int = 2048) -> tuple[np.ndarray, ...]:
-    """Pairs (u, v) of nodes of different stars that share tokens here, with their sizes, the number of these tokens,
-    and whether one of them stands early enough to be the first of as many as the threshold takes.
-
-    Places that are too late even for the last token that ``shared_least`` counts are skipped.
-    """
+    """Distinct pairs (u, v) of nodes of different stars, with their sizes, that share a token here which stands early
+    enough to be the first of as many as the threshold takes."""
     order = np.argsort(tokens)
     same = tokens[order][1:] == tokens[order][:-1]
     order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]  # a token of one set pairs nothing
@@ -186,13 +183,12 @@ def cross_pairs(tokens: np.ndarray, nodes: np.ndarray, stars: np.ndarray, sizes:
 
     def keep(u: np.ndarray, v: np.ndarray) -> None:
         reach = np.minimum(sizes[u] - positions[u], sizes[v] - positions[v])
-        fits = (stars[u] != stars[v]) & (sizes[u] * den >= sizes[v] * num) & (reach >= -(-num * np.maximum(sizes[u], sizes[v]) // den))
-        u, v, reach = u[fits], v[fits], reach[fits]
+        fits = (stars[u] != stars[v]) & (sizes[u] * den >= sizes[v] * num) & (reach >= least_overlap(sizes[u], sizes[v], num, den))
+        u, v = u[fits], v[fits]
         if len(u):
-            early = (reach >= least_overlap(sizes[u], sizes[v], num, den)).astype(np.int64)
             swap = nodes[u] > nodes[v]
             u, v = np.where(swap, v, u), np.where(swap, u, v)
-            found.append(np.stack([nodes[u], nodes[v], sizes[u], sizes[v], early], axis=1))
+            found.append(np.stack([nodes[u], nodes[v], sizes[u], sizes[v]], axis=1))
 
     two = starts[lengths == 2]
     keep(two, two + 1)
@@ -206,45 +202,64 @@ def cross_pairs(tokens: np.ndarray, nodes: np.ndarray, stars: np.ndarray, sizes:
             stop = int(np.searchsorted(sizes[a : a + n], sizes[a + to - 1] * den // num, side="right"))
             for j in range(i, stop, block):
                 end = min(j + block, n)
-                if min(left[i:to].max(), left[j:end].max()) < -(-num * int(sizes[a + j]) // den):
+                if min(left[i:to].max(), left[j:end].max()) < least_overlap(int(sizes[a + i]), int(sizes[a + j]), num, den):
                     continue  # no position of the block can reach the threshold
                 u, v = np.meshgrid(np.arange(i, to), np.arange(j, end), indexing="ij")
                 pairs = u < v
                 keep(a + u[pairs], a + v[pairs])
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
-    pairs = np.concatenate(found)
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    pairs = pairs[order]
-    first = np.flatnonzero(np.concatenate(([True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1))))
-    return (*pairs[first, :4].T, np.diff(np.append(first, len(pairs))), np.maximum.reduceat(pairs[:, 4], first))
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    return tuple(np.unique(np.concatenate(found), axis=0).T)
+
+
+PAIRS = "u long, v long, a int, b int"
+
+
+def _join_bucket(num: int, den: int):
+    def run(part: pa.Table) -> pa.Table:
+        kinds = (("tokens", np.uint64), ("nodes", np.int64), ("stars", np.int64), ("sizes", np.int32), ("positions", np.int32))
+        columns = [np.frombuffer(b"".join(part.column(name).to_pylist()), kind) for name, kind in kinds]
+        u, v, a, b = cross_pairs(*columns, num, den)
+        return pa.table({"u": pa.array(u), "v": pa.array(v), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32))})
+
+    return run
 
 
-def shared_least(a, b, num: int = NUM, den: int = DEN):
+def shared_least(a: int, b: int, num: int = NUM, den: int = DEN) -> int:
     """Tokens that two prefixes must share: what the sets beyond the prefixes can add at most is known.
 
     Common tokens up to the nearer end of the two prefixes lie in both; beyond it one of the sets has no more than
     its tokens after its prefix.
     """
-    rest = F.greatest(*(F.ceil(F.lit(num) * x / den) for x in (a, b))) - 1
-    return F.ceil(F.lit(num) * (a + b) / (den + num)) - rest
+    return least_overlap(a, b, num, den) - max(-(-num * x // den) for x in (a, b)) + 1
 
 
-PAIRS = "u long, v long, a int, b int, shared int, early int"
+def marks_of(prefix: bytes) -> bytes:
+    """A prefix with half of each token's bits: enough to count what two prefixes share, never too low."""
+    return np.frombuffer(prefix, np.uint64).astype(np.uint32).tobytes()
 
 
-def _join_bucket(num: int, den: int):
-    def run(part: pa.Table) -> pa.Table:
-        kinds = (("tokens", np.uint64), ("nodes", np.int64), ("stars", np.int64), ("sizes", np.int32), ("positions", np.int32))
-        columns = [np.frombuffer(b"".join(part.column(name).to_pylist()), kind) for name, kind in kinds]
-        u, v, a, b, shared, early = cross_pairs(*columns, num, den)
-        return pa.table({"u": pa.array(u), "v": pa.array(v), **{k: pa.array(x.astype(np.int32)) for k, x in (("a", a), ("b", b), ("shared", shared), ("early", early))}})
+def may_link(a: int, x: bytes, b: int, y: bytes, num: int = NUM, den: int = DEN) -> bool:
+    return int(np.isin(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)).sum()) >= shared_least(a, b, num, den)
+
+
+def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([marks_of(x) for x in batch.column("prefix").to_pylist()], pa.binary())], ["node", "marks"])
+
+
+def _enough(num: int, den: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = zip(*(batch.column(c).to_pylist() for c in ("a", "x", "b", "y")), strict=True)
+            fits = pa.array([may_link(a, x, b, y, num, den) for a, x, b, y in columns], pa.bool_())
+            yield batch.select(["u", "v"]).filter(fits)
 
     return run
 
 
-def _texts(bits):
-    """Whole texts whose hash the filter lets through."""
+def _through(bits):
+    """Rows whose ``h`` the filter lets through."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = bits.value
@@ -277,22 +292,38 @@ def _verify(words: int, num: int, den: int):
     return run
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets reach the threshold, by their whole texts.
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``h`` may be among the ``h`` of ``ids``.
 
-    ``nodes`` has the hash of one text of each node.  A filter of fixed size (``FILTER_WORDS`` words) keeps other texts
-    out of the shuffle; what it lets through by mistake joins nothing.
+    A filter of fixed size (``FILTER_WORDS`` words) keeps other rows out of the shuffle that follows; what it lets
+    through by mistake joins nothing there.
     """
-    spark = docs.sparkSession
-    pairs = materialize(pairs)
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "h"), "node")
-    wanted = materialize(wanted)
+    spark = rows.sparkSession
     word = F.expr(f"cast(h & {FILTER_WORDS - 1} as int)")  # a power of two
-    bits = wanted.select(word.alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 as int))").alias("bits"))
+    bits = ids.select(word.alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 as int))").alias("bits"))
     table = bits.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most FILTER_WORDS rows
     filter_ = np.zeros(FILTER_WORDS, np.uint64)
     filter_[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    through = docs.select("h", "text").mapInArrow(_texts(spark.sparkContext.broadcast(filter_)), "h long, text string")
+    return rows.mapInArrow(_through(spark.sparkContext.broadcast(filter_)), rows.schema)
+
+
+def plausible(sets: DataFrame, pairs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The pairs whose prefixes share as many tokens as those of linked sets must."""
+    pairs = materialize(pairs)
+    ids = materialize(pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct())
+    marks = among(sets.select(F.col("node").alias("h"), "prefix"), ids).mapInArrow(_marks, "node long, marks binary")
+    marks = materialize(marks.groupBy("node").agg(F.first("marks").alias("marks")))
+    left = pairs.join(marks.select(F.col("node").alias("v"), F.col("marks").alias("y")), "v")
+    both = left.join(marks.select(F.col("node").alias("u"), F.col("marks").alias("x")), "u")
+    return both.select("u", "v", "a", "x", "b", "y").mapInArrow(_enough(num, den), "u long, v long")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets reach the threshold, by their whole texts; ``nodes`` has the hash of one text
+    of each."""
+    pairs = materialize(pairs)
+    wanted = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "h"), "node"))
+    through = among(docs.select("h", "text"), wanted.select("h"))
     texts = materialize(through.groupBy("h").agg(F.first("text").alias("text")).join(wanted, "h").select("node", "text"))
     left = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     both = left.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
@@ -317,9 +348,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # Candidates across stars.
     prefixes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     joined = prefixes.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("star"), "n", "prefix")
-    packed = joined.mapInArrow(_spread(bucket_count(spark)), "bucket int, tokens binary, nodes binary, stars binary, sizes binary, positions binary")
-    met = packed.groupBy("bucket").applyInArrow(_join_bucket(num, den), PAIRS).groupBy("u", "v", "a", "b").agg(F.sum("shared").alias("shared"), F.max("early").alias("early"))
-    pairs = met.filter("early = 1").filter(F.col("shared") >= shared_least(F.col("a"), F.col("b"), num, den)).select("u", "v")
+    packed = joined.mapInArrow(_spread(bucket_count(spark, 1)), "bucket int, tokens binary, nodes binary, stars binary, sizes binary, positions binary")
+    met = packed.groupBy("bucket").applyInArrow(_join_bucket(num, den), PAIRS).distinct()
+    pairs = plausible(sets, met, num, den)
     links = verified(plain, nodes, pairs, words, num, den)
     joint = materialize(components(materialize(star_links.union(links))))
     # Back to documents.

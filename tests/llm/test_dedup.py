@@ -99,13 +99,13 @@ def test_cross_pairs_lose_no_link():
                 c.append(v)
     kinds = (np.uint64, np.int64, np.int64, np.int32, np.int32)
     for block in (3, 2048):
-        u, v, _, _, shared, early = jaccard.cross_pairs(*(np.array(c, k) for c, k in zip(columns, kinds, strict=True)), block=block)
-        found = {(x, y): n for x, y, n, e in zip(u.tolist(), v.tolist(), shared.tolist(), early.tolist(), strict=True) if e}
+        u, v, _, _ = jaccard.cross_pairs(*(np.array(c, k) for c, k in zip(columns, kinds, strict=True)), block=block)
+        found = set(zip(u.tolist(), v.tolist(), strict=True))
+        marks = [jaccard.marks_of(np.array(sorted(s)[: jaccard.prefix_length(len(s))], np.uint64).tobytes()) for s in sets]
         for a in range(len(sets)):
             for b in range(a):
                 if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                    most = max(-(-75 * len(s) // 100) for s in (sets[a], sets[b])) - 1
-                    assert found[(b, a)] >= jaccard.least_overlap(len(sets[a]), len(sets[b])) - most
+                    assert (b, a) in found and jaccard.may_link(len(sets[a]), marks[a], len(sets[b]), marks[b])
 
 
 def test_components_of_paths_and_stars(spark):
