@@ -28,6 +28,8 @@ from arclake.llm.common import materialize
 PIECE = 128
 LEAST = 16
 LAST = (1 << 63) - 1
+#: Words of the fixed-size filter of line hashes, 64 bits each; a power of two.
+FILTER_WORDS = 1 << 16
 
 
 def _width(n: Column) -> Column:
@@ -64,6 +66,21 @@ def _variants(line: Column, n: Column, piece: Column, whole: Column) -> Column:
     return F.when(whole, F.array(F.struct(F.xxhash64(longer, piece, left, inside, right).alias("variant"), F.lit(-1).alias("place")))).otherwise(deleted)
 
 
+def _may_be_in(h: Column, wanted: DataFrame) -> Column:
+    """Whether a hash may be among those of ``wanted``, by a filter of ``FILTER_WORDS`` words of 64 bits.
+
+    The filter is one array of fixed size, a scalar subquery; it keeps other lines out of a shuffle, and what it lets
+    through by mistake joins nothing there.
+    """
+    word, bit = (lambda x: x.bitwiseAND(F.lit(FILTER_WORDS - 1).cast("long"))), (lambda x: F.call_function("shiftrightunsigned", x, F.lit(40)).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    own = wanted.select(word(F.col("h1")).alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h1"))).alias("bits"))
+    own = own.groupBy("id").agg(F.bit_or("bits").alias("bits"))
+    dense = wanted.sparkSession.range(FILTER_WORDS).join(own, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    filter_ = materialize(dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda w: w["bits"]).alias("bits")))
+    found = F.element_at(filter_.scalar(), (word(h) + 1).cast("int"))
+    return F.call_function("shiftrightunsigned", found, bit(h)).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Occurrences (row, doc_id, at, line hashes, blank) and the hashes of the distinct lines that go with what they copy."""
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"))
@@ -80,6 +97,7 @@ def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     # Their texts, once each, and the deletion neighbourhood of the piece.
     wanted = materialize(near.select("h1", "h2").distinct())
     again = base.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "line")
+    again = again.filter(_may_be_in(F.col("h1"), wanted))
     texts = materialize(again.join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")))
     known = texts.join(first, ["h1", "h2"]).withColumn("n", F.char_length("line"))
     owned = known.join(near, ["h1", "h2"]).withColumn("k", F.element_at(_keys(F.col("line"), F.col("n")), F.col("slot") + 1))
