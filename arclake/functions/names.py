@@ -41,6 +41,12 @@ def is_ascii(name: Column) -> Column:
     return F.octet_length(name) == F.char_length(name)
 
 
+def is_ansi(name: Column) -> Column:
+    """Every character has a byte in windows-1252."""
+    high = "".join(bytes([b]).decode("cp1252", "ignore") for b in range(128, 256))
+    return name.rlike(rf"\A[\x00-\x7f{high}]*\z")
+
+
 def is_safe(name: Column) -> Column:
     """Non-empty, no NUL or colon, and no segment that is empty, dots, or ends in a blank or dot."""
     bad = F.exists(segments(name), lambda s: (s == "") | s.endswith(" ") | s.endswith("."))

@@ -9,14 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arclake.functions import codec as codecs
 from arclake.functions import names
 from arclake.operators import validate
 from arclake.plans import packing
-from arclake.functions.texture import analyze, widen_bgr24
+from arclake.functions.texture import analyze, canonical_header, widen_bgr24
 from arclake.sources.wire import WRITERS, Item, Texture, build, build_textures
 
 PARTS = "archive string, part int, entries long, content binary"
@@ -28,7 +28,7 @@ class PackError(ValueError):
 
 @dataclass(frozen=True)
 class PackOptions:
-    """How to pack; flags of None follow the entries, a split target of None the family."""
+    """How to pack; flags of None follow the entries, a split target of None the family, a ceiling of None has no end."""
 
     family: str
     compress: bool = True
@@ -38,6 +38,9 @@ class PackOptions:
     archive_flags: int | None = None
     file_flags: int | None = None
     overrides: DataFrame | None = field(default=None, compare=False)
+    max_decoded: int | None = None
+    #: Entries left out instead of rejected; an empty tuple rejects every request the reference rejects.
+    leave_out: tuple[str, ...] = ("unsafe", "non-dds")
 
 
 def check_options(options: PackOptions) -> None:
@@ -54,15 +57,57 @@ def check_options(options: PackOptions) -> None:
         raise PackError("pack.invalid-split")
 
 
+def admit(entries: DataFrame, options: PackOptions) -> DataFrame:
+    """Overlaid entries (archive, identity, payload, position), or the first rejection in the reference's order.
+
+    Names that cannot be encoded, masked or overlaid ones too; then name rules and limits in plan order; then
+    overrides that match nothing; then decoded bytes.  The checks read names and sizes, never shuffled payloads.
+    """
+    layout, version, _ = WRITERS[options.family]
+    named = entries.withColumn("identity", names.identity(F.col("name"))).withColumn("payload", F.col("payload").cast("binary"))
+    if "unsafe" in options.leave_out:
+        named = named.filter(F.col("identity").isNotNull())
+    encodable = names.is_ascii(F.col("name")) if layout in ("tes3", "bsa") else names.is_ansi(F.col("name"))
+    if not named.filter(F.col("identity").isNull() | ~encodable).isEmpty():
+        raise PackError("pack.invalid-encode-name")
+    named = packing.keep_masks(named, list(options.masks))
+    if layout == "dds" and "non-dds" in options.leave_out:
+        named = named.filter(F.col("identity").endswith(".dds"))
+    named = named.withColumn("key", F.concat_ws("\x00", "archive", "identity"))
+    sizes = packing.overlay(named.select("key", "archive", "identity", F.octet_length("payload").cast("long").alias("size"), "seq"), "key", "seq")
+    embedded = layout == "bsa" and version != 0x67 and bool((options.archive_flags or 0) & 0x100)
+    first = sizes.withColumn("fault", name_fault(layout, embedded)).filter("fault is not null").agg(F.min(F.struct("archive", "position", "identity", "fault")).alias("first")).first()["first"]
+    if first is not None:
+        raise PackError(first["fault"])
+    if options.overrides is not None and not packing.unmatched_overrides(sizes, options.overrides).isEmpty():
+        raise PackError("pack.unmatched-entry-compression")
+    if layout != "dds":
+        check_decoded(sizes.withColumnRenamed("position", "ordinal"), options, "size")
+    return packing.overlay(named.select("key", "archive", "identity", "payload", "seq"), "key", "seq").drop("key")
+
+
+def name_fault(layout: str, embedded: bool) -> Column:
+    """What a family refuses about an identity, or null."""
+    key = F.col("identity")
+    if layout == "tes3":
+        return F.lit(None).cast("string")
+    limit = packing.wire_limits(layout, embedded).isNotNull()
+    foldered = key.contains("\\")
+    if layout == "bsa":
+        return F.when(~foldered | names.basename(key).rlike(r"\A\.[^.]*\z") | limit, "bsa.invalid-encode-name")
+    refused = F.when(~foldered | ~names.is_ascii(key) | limit, "ba2.invalid-encode-name")
+    return F.when(~key.endswith(".dds"), "dds.non-dds-entry").otherwise(refused) if layout == "dds" else refused
+
+
+def check_decoded(rows: DataFrame, options: PackOptions, size: str) -> None:
+    if options.max_decoded is not None and not packing.decoded_limit(rows.select("archive", "ordinal", size), options.max_decoded, size, ["archive"]).isEmpty():
+        raise PackError("operation.resource-limit")
+
+
 def plan_entries(entries: DataFrame, options: PackOptions) -> DataFrame:
     """archive, name, payload, seq -> ordered entries with identity, codec, owner and part."""
     layout, version, packed = WRITERS[options.family]
-    named = packing.keep_masks(entries, list(options.masks)).withColumn("identity", names.identity(F.col("name"))).withColumn("payload", F.col("payload").cast("binary"))
-    named = named.filter(F.col("identity").isNotNull() & names.is_ascii(F.col("identity")))
-    if layout == "bsa":
-        named = named.filter(F.col("identity").contains("\\"))
-    key = F.concat_ws("\x00", "archive", "identity")
-    rows = packing.overlay(named.select(key.alias("key"), "archive", "identity", "payload", "seq"), "key", "seq").drop("key")
+    rows = admit(entries, options)
     default = F.lit(packed if options.compress else "stored")
     if options.overrides is not None and layout != "tes3":
         rows = packing.with_overrides(rows, options.overrides, default, value="compression").withColumn("codec", F.when(F.col("compression") == "stored", "stored").otherwise(packed)).drop("compression")
@@ -104,7 +149,7 @@ def pack(entries: DataFrame, options: PackOptions) -> DataFrame:
     return rows.groupBy("archive", "part").applyInArrow(assemble, PARTS)
 
 
-TEXTURES = "archive string, identity string, ordinal long, texture struct<width:int,height:int,mips:int,format:int,cube:boolean,tile:int>, chunks array<struct<stored:binary,decoded:long,first:int,last:int>>, stored_size long"
+TEXTURES = "archive string, identity string, ordinal long, texture struct<width:int,height:int,mips:int,format:int,cube:boolean,tile:int>, chunks array<struct<stored:binary,decoded:long,first:int,last:int>>, stored_size long, decoded_size long"
 
 
 def _textures(packed: str):
@@ -121,10 +166,11 @@ def _textures(packed: str):
                 pixels = data[t["header_size"] :]
                 pixels = widen_bgr24(pixels) if t["narrow"] else pixels
                 own = [{"stored": codecs.encode(pixels[at : at + size], packed), "decoded": size, "first": a, "last": b} for at, size, a, b in t["chunks"]]
+                head = len(canonical_header(*(t[k] for k in shape)))
                 row = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [*(row.column(c) for c in ("archive", "identity", "ordinal")), pa.array([{k: t[k] for k in shape}], kinds), pa.array([own], pa.list_(chunk)), pa.array([sum(len(c["stored"]) for c in own)], pa.int64())],
-                    ["archive", "identity", "ordinal", "texture", "chunks", "stored_size"],
+                    [*(row.column(c) for c in ("archive", "identity", "ordinal")), pa.array([{k: t[k] for k in shape}], kinds), pa.array([own], pa.list_(chunk)), pa.array([sum(len(c["stored"]) for c in own)], pa.int64()), pa.array([head + sum(c["decoded"] for c in own)], pa.int64())],
+                    ["archive", "identity", "ordinal", "texture", "chunks", "stored_size", "decoded_size"],
                 )
 
     return run
@@ -133,12 +179,10 @@ def _textures(packed: str):
 def pack_textures(entries: DataFrame, options: PackOptions) -> DataFrame:
     """Texture archives: every chunk is compressed and equal chunks are stored once; same result columns as ``pack``."""
     _, _, packed = WRITERS[options.family]
-    named = packing.keep_masks(entries, list(options.masks)).withColumn("identity", names.identity(F.col("name"))).withColumn("payload", F.col("payload").cast("binary"))
-    named = named.filter(F.col("identity").isNotNull() & names.is_ascii(F.col("identity")) & F.col("identity").endswith(".dds"))
-    key = F.concat_ws("\x00", "archive", "identity")
-    rows = packing.overlay(named.select(key.alias("key"), "archive", "identity", "payload", "seq"), "key", "seq").drop("key")
+    rows = admit(entries, options)
     rows = packing.ordinals(rows, packing.order_columns("ba2"), ["archive"], packing.coarse_columns("ba2"))
     encoded = rows.select("archive", "identity", "ordinal", "payload").mapInArrow(_textures(packed), TEXTURES)
+    check_decoded(encoded, options, "decoded_size")
     target = packing.SPLIT_TARGETS["ba2"] if options.split is None else options.split
     parts = packing.split_parts(encoded, target, packing.entry_cost(F.col("stored_size"), F.octet_length("identity")), ["archive"])
     family = options.family

@@ -163,14 +163,17 @@ def archive_flags(entries: DataFrame, version: int, by: list[str], compressed: C
     return facts.join(flags, by).withColumn("archive_flags", total.cast("long")).select(*by, "archive_flags", "file_flags")
 
 
-def decoded_limit(entries: DataFrame, most: int, size: str = "size") -> DataFrame:
-    """First entry in plan order at which the decoded bytes pass the ceiling."""
-    running = F.sum(size).over(Window.partitionBy(F.lit(0)).orderBy("ordinal"))
-    return entries.withColumn("decoded", running).filter(F.col("decoded") > most).agg(F.min("ordinal").alias("ordinal"), F.min("decoded").alias("decoded"))
+def decoded_limit(entries: DataFrame, most: int, size: str = "size", by: list[str] | None = None) -> DataFrame:
+    """First entry in plan order at which the decoded bytes pass the ceiling; with ``by`` a row for each group that passes it."""
+    by = by or []
+    running = F.sum(size).over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("ordinal"))
+    return entries.withColumn("decoded", running).filter(F.col("decoded") > most).groupBy(*by).agg(F.min("ordinal").alias("ordinal"), F.min("decoded").alias("decoded"))
 
 
-def wire_limits(entries: DataFrame, identity: str = "identity") -> DataFrame:
-    """Entries whose names do not fit their length fields."""
+def wire_limits(layout: str, embedded: bool = False, identity: str = "identity") -> Column:
+    """Which length field a name does not fit, or null: of folders and embedded names in versioned archives, of names in BA2."""
     key = F.col(identity)
     folder, whole = F.octet_length(names.dirname(key)), F.octet_length(key)
-    return entries.select(identity, F.when(folder > 254, "folder-name").when(whole > 255, "full-name").when(whole > 65535, "ba2-name").alias("limit")).filter("limit is not null")
+    if layout == "bsa":
+        return F.when(folder > 254, "folder-name").when(F.lit(embedded) & (whole > 255), "full-name")
+    return F.when(F.lit(layout in ("ba2", "dds")) & (whole > 65535), "ba2-name")

@@ -22,3 +22,11 @@ def test_pack_list_unpack(spark, tmp_path):
     query = watch.index_stream(spark, str(tmp_path / "out"), str(tmp_path / "index"), str(tmp_path / "state"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "index")).count() == 2
+
+
+def test_a_top_level_file_is_refused(spark, tmp_path, capsys):
+    (tmp_path / "a/meshes").mkdir(parents=True)
+    (tmp_path / "a/meshes/x.nif").write_bytes(b"one")
+    (tmp_path / "a/top.nif").write_bytes(b"two")
+    assert cli.main(["pack", f"{tmp_path}/a", f"{tmp_path}/out/pack.bsa", "--family", "SSE_BSA"]) == 1
+    assert "bsa.invalid-encode-name" in capsys.readouterr().err and not (tmp_path / "out/pack.bsa").exists()

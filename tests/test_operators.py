@@ -87,3 +87,57 @@ def test_impact_rules(spark):
     paths = spark.createDataFrame([("a/x.py",), ("q",)], "path string")
     got = {r["path"]: r["lanes"] for r in measures.impacted(paths, [("^a/", "unit"), (r"\.py$", "lint")]).collect()}
     assert got == {"a/x.py": ["lint", "unit"], "q": ["full"]}
+
+
+def texture_file():
+    from arclake.functions import texture
+
+    return texture.canonical_header(2, 2, 1, 28, False) + bytes(16)
+
+
+@pytest.mark.parametrize(
+    ("family", "name", "error"),
+    [
+        ("TES3_BSA", "\u00e9.nif", "pack.invalid-encode-name"),
+        ("SSE_BSA", "meshes\\\u00e9.nif", "pack.invalid-encode-name"),
+        ("SSE_BSA", "top.nif", "bsa.invalid-encode-name"),
+        ("SSE_BSA", "meshes\\.nif", "bsa.invalid-encode-name"),
+        ("SSE_BSA", "f" * 255 + "\\a.nif", "bsa.invalid-encode-name"),
+        ("FO4_GENERAL_BA2", "meshes\\\u00e9.nif", "ba2.invalid-encode-name"),
+        ("FO4_GENERAL_BA2", "meshes\\\u0142.nif", "pack.invalid-encode-name"),
+        ("FO4_GENERAL_BA2", "top.nif", "ba2.invalid-encode-name"),
+        ("FO4_GENERAL_BA2", "a\\" + "f" * 65534, "ba2.invalid-encode-name"),
+        ("FO4_DDS_BA2", "top.dds", "ba2.invalid-encode-name"),
+        ("FO4_DDS_BA2", "readme.txt", "dds.non-dds-entry"),
+        ("FO4_GENERAL_BA2", "..\\bad", "pack.invalid-encode-name"),
+    ],
+)
+def test_entries_are_rejected_not_left_out(spark, family, name, error):
+    rows = [("a", "textures\\good.dds", texture_file(), 0), ("a", name, b"?", 1)]
+    entries = spark.createDataFrame(rows, "archive string, name string, payload binary, seq long")
+    with pytest.raises(pack.PackError, match=f"^{error}$"):
+        pack.pack(entries, pack.PackOptions(family, leave_out=()))
+
+
+def test_names_are_rejected_by_default_and_in_plan_order(spark):
+    rows = [("a", "x\\.n", b"?", 3), ("a", "top", b"?", 1), ("a", "x\\y", b"1", 0), ("a", "b" * 200 + "\\" + "c" * 60, b"1", 2)]
+    entries = spark.createDataFrame(rows, "archive string, name string, payload binary, seq long")
+    with pytest.raises(pack.PackError, match="bsa.invalid-encode-name"):
+        pack.pack(entries, pack.PackOptions("SSE_BSA"))
+    long = entries.filter("seq in (0, 2)")
+    assert pack.pack(long, pack.PackOptions("SSE_BSA")).first()["entries"] == 2
+    with pytest.raises(pack.PackError, match="bsa.invalid-encode-name"):
+        pack.pack(long, pack.PackOptions("SSE_BSA", archive_flags=0x103))
+
+
+def test_unmatched_overrides_and_decoded_bytes_are_rejected(spark):
+    entries = spark.createDataFrame([("a", "x\\one.dds", texture_file(), 0), ("a", "x\\two.dds", texture_file(), 1), ("b", "x\\one.dds", texture_file(), 2)], "archive string, name string, payload binary, seq long")
+    choices = spark.createDataFrame([("x\\one.dds", "stored"), ("x\\none", "stored")], "identity string, compression string")
+    with pytest.raises(pack.PackError, match="pack.unmatched-entry-compression"):
+        pack.pack(entries, pack.PackOptions("FO4_GENERAL_BA2", overrides=choices))
+    assert pack.pack(entries, pack.PackOptions("FO4_GENERAL_BA2", overrides=choices.limit(1))).count() == 2
+    most = 2 * len(texture_file())
+    for family in ("FO4_GENERAL_BA2", "FO4_DDS_BA2"):
+        assert pack.pack(entries, pack.PackOptions(family, max_decoded=most)).count() == 2
+        with pytest.raises(pack.PackError, match="operation.resource-limit"):
+            pack.pack(entries, pack.PackOptions(family, max_decoded=most - 1))
