@@ -49,6 +49,20 @@ def test_secrets_keep_repeated_rows(spark):
     assert secrets.scan_secrets(docs).count() == 3
 
 
+@pytest.mark.parametrize("value", ["3ax6xnjp29jd6fds4gc373sgvjxteol0", "key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "9F86D081884C7D659A2FEAA0C55AD015", "zx9qlm2vt7_rw4kp8yb3nc6", "ZX9QLM2VT7RW4KP8YB3NC6", "Zx9qLm2Vt7Rw4Kp8Yb3Nc6=="])
+def test_random_tokens_of_two_classes_are_candidates(value):
+    assert secrets.candidates(f"take {value} now") == [(3, 5, 5 + len(value), value)]
+    assert secrets.candidates("internationalisation2024 PROCESS_ENVIRONMENT_BLOCK") == []
+
+
+def test_a_value_under_two_names_is_one(spark):
+    value = "3ax6xnjp29jd6fds4gc373sgvjxteol0"
+    rows = [(i, f"{n}={value}", f"o{i}/r") for i, n in enumerate(("a", "b", "LONGER_NAME"))] + [(3, "own=q7w2e9r4t1y6u3i8o5p0a7s2d9f4", "o3/r")]
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i]["n_widely_copied"] == 1 and got[i]["spans"] == "" for i in range(3))
+    assert got[3]["spans"] == "token:4:32" and got[3]["n_owner_specific"] == 1
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(4)
     vectors = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.2, 20)]) for i in range(300)]
