@@ -1,17 +1,16 @@
-"""Substring dedup over prefix-partitioned suffix trees.
+"""Substring dedup by a fingerprint join of fixed windows, in place of suffix trees.
 
-The suffixes are the word positions of all documents.  A repeat is an internal node of their suffix tree at least
-``window`` words deep; its leaves are the places where it occurs, and all but the places in the smallest document are
-removed.  The tree is never built whole:
+A repeat is a run of ``window`` words that occurs at several places; all but the places in the smallest document are
+removed.  Longer repeats are several windows: no suffixes are ordered and no maximal repeats computed, which the
+removed words do not need.
 
-* Variable-length prefixes.  The first cut is by the least of the half-window fingerprints inside the window, a
-  prefix that equal windows have in common wherever they occur.  Prefixes that only one document has end there: their
-  subtree has no repeat.  What is left is cut by the full ``window`` words, so that every group fits in memory; the
+* Filter.  The first cut is by the least of the half-window fingerprints inside the window, a
+  print that equal windows have in common wherever they occur.  Prints that only one document has end there: no window
+  of theirs repeats.  What is left is cut by the full ``window`` words, so that every group fits in memory; the
   number of groups follows the cluster's shuffle width.
-* Subtrees.  Within a group, suffixes are sorted by the fingerprints of their path; runs of equal paths of full depth
-  are the deep internal nodes, and each gives its smallest document.
+* Join.  Within a group, windows are sorted by their fingerprints; each run of equal ones gives its smallest document.
 
-Fingerprints of a path have 128 bits.  Windows are judged on the input, not on what is left.
+Fingerprints of a window have 128 bits.  Windows are judged on the input, not on what is left.
 
 Edge cases: a null text has no words; texts shorter than the window lose nothing; a null doc_id counts as larger than
 any other; rows that repeat a doc_id never remove words of each other; an empty table gives no rows; other columns
@@ -159,7 +158,7 @@ def _suffixes(window: int, n_buckets: int, shared):
 
 
 def _subtrees(n_buckets: int):
-    """Leaves of the deep internal nodes outside their smallest document, dealt to the buckets of documents."""
+    """Places of equal windows outside their smallest document, dealt to the buckets of documents."""
 
     def run(part: pa.Table) -> pa.Table:
         first, second, doc = (np.frombuffer(b"".join(part.column(c).to_pylist()), kind) for c, kind in (("first", np.uint64), ("second", np.uint64), ("doc", np.int64)))
