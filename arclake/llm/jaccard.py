@@ -6,9 +6,9 @@ where that token stands bounds how much they can share at all.
 
 * Index-level skipping: the index list of a token is sorted by set size and carries positions; sizes and positions
   that cannot reach the threshold are skipped in blocks, before any pair is formed.
-* Answer-level skipping: sets are first joined to the most typical set they share min-hashes with, and these links are
-  verified.  Sets of one such star (transitively) take each other's answers: inside it no pair is listed, only pairs
-  across stars are looked for, and those decide the components.
+* Stars: sets are first joined to the most typical set they share min-hashes with, and these links are
+  verified.  Inside such a star (transitively) no pair is listed, only pairs across stars are looked for, and
+  those decide the components.  No set's answers are derived from another's: each posts its whole prefix.
 
 The order of tokens and the choice of leaders only steer the work.  Every pair across stars that shares a prefix
 token and passes the bounds is verified on whole texts, so no link is lost.
@@ -338,7 +338,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     base = materialize(plain.mapInArrow(_describe(words, SEEDS, num, den, hot), BASE))
     sets = base.filter("n > 0")
     nodes = materialize(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("common").alias("common"), F.first("least").alias("least"), F.min("h").alias("h")))
-    # Answers taken from a similar set: a verified link to the most typical set that shares min-hashes.
+    # Stars: a verified link to the most typical set that shares min-hashes.
     each = nodes.select("node", (F.col("n") - F.col("common")).alias("own"), F.posexplode("least").alias("seed", "hash"))
     leaders = materialize(each.groupBy("seed", "hash").agg(F.min(F.struct("own", "node")).alias("best"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("seed", "hash", F.col("best.node").alias("leader")))
     tried = each.join(leaders, ["seed", "hash"]).filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("agree")).filter(F.col("agree") >= AGREE)
