@@ -19,7 +19,7 @@ from arclake.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without letters go."""
+    """Documents with a letter; the predicted language and its score reject none."""
     return keep_known(docs)
 
 
