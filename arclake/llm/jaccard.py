@@ -332,6 +332,11 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int = W
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, node (equal for equal sets), h (hash of its text)."""
+    return component_rows(docs, doc_id, text, words, num, den).drop("component")
+
+
+def component_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The rows of ``jaccard_components`` and their component itself, null for empty sets."""
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
     hot = spark.sparkContext.broadcast(frequent_tokens(plain, words))
@@ -356,20 +361,22 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # Back to documents.
     named = sets.select("doc_id", "node").join(joint, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     names = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    answers = named.groupBy("node").agg(F.first("component").alias("component")).join(names, "component").select("node", "component_id")
+    answers = named.groupBy("node").agg(F.first("component").alias("component")).join(names, "component").select("node", "component_id", "component")
     answers = materialize(answers)
-    linked = sets.select("doc_id", "h", "node", "n").join(answers, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "node", "h")
+    linked = sets.select("doc_id", "h", "node", "n").join(answers, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "node", "h", "component")
     alone = base.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node", "h")
-    return linked.unionByName(alone)
+    return linked.unionByName(alone, allowMissingColumns=True)
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their component, one of each, with all their columns.
+    """The rows of ``docs`` that name their component, one (doc_id, text) of each, with all their columns.
 
-    Rows without a doc_id stay where no row of their component has one.
+    A row without a doc_id stays where no row of its component has one.
     """
-    named = jaccard_components(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = named.groupBy(F.col("doc_id").alias("__id"), F.when(F.col("doc_id").isNull(), F.col("h")).alias("__null")).agg(F.min("h").alias("__h"))
+    named = component_rows(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    joint, alone = named.filter("component is not null"), named.filter("component is null")
+    first = joint.groupBy("component").agg(F.first("doc_id").alias("__id"), F.min("h").alias("__h")).select("__id", "__h")
+    first = first.union(alone.select("doc_id", "h").distinct())
     own = docs.withColumn("__own", F.xxhash64(F.col(text)))
     same = (F.col("__own") == F.col("__h")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__id"))
     return own.join(materialize(first), same, "left_semi").select(*docs.columns)

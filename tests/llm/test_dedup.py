@@ -79,6 +79,14 @@ def test_jaccard_components(docs, rows, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_one_document_of_each_component_stays(spark):
+    one, other, third = (" ".join(f"{w}{i}" for i in range(40)) for w in ("a", "b", "c"))
+    rows = [(1, one), (1, other), (2, one + " more"), (3, other + " more"), (None, third), (None, third + " more")]
+    kept = [tuple(r) for r in jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 3 and {(1, one), (1, other)} <= set(kept)
+    assert {kept_text for i, kept_text in kept if i is None} <= {third, third + " more"}
+
+
 def test_cross_pairs_lose_no_link():
     rng = random.Random(3)
     sets = []
