@@ -6,6 +6,7 @@ Executors can be lost at any time, so lineage is cut only with Parquet tables in
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,19 +24,31 @@ _WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session has none (tests)."""
+    """The folder that all executors share; a temporary one only where the session has none and runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="arclake-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+#: Rows of an Arrow batch while a table is written: texts are long, and a batch is held by the JVM and by Python.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arclake-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    usual = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(usual)) if int(usual) > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,9 +61,70 @@ def release_tables(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def bucket_count(spark: SparkSession, per_partition: int = 4) -> int:
-    """Buckets of a packed exchange: they follow the cluster's own shuffle width, which follows the data."""
-    return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(spark: SparkSession, entries: int, most: int = 1 << 20) -> int:
+    """Groups of a packed exchange: as many as hold ``most`` entries each, and one for each shuffle partition at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // most))
+
+
+def text_key(text: F.Column) -> F.Column:
+    """128 bits of a text's SHA-256, by which it is fetched again."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def quoted(df: DataFrame, but: tuple[str, ...] = ()) -> list[F.Column]:
+    """The columns of ``df``, whatever their names hold."""
+    return [df["`" + c.replace("`", "``") + "`"] for c in df.columns if c not in but]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have."""
+    known, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bits of a filter for each key it holds, and its 64-bit words at most (64 MB).
+FILTER_BITS, FILTER_MOST = 16, 1 << 23
+
+
+def _filter_place(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    return (keys % np.uint64(words)).astype(np.int64), (keys >> np.uint64(40)) & np.uint64(63)
+
+
+def _key_words(column: pa.Array) -> np.ndarray:
+    """The first eight bytes of 16-byte keys."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)[:, 0]
+
+
+def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose 16-byte ``key`` may be among those of ``keys``, a table.
+
+    A filter that grows with the number of keys, up to a fixed size, keeps other rows out of the shuffle that follows;
+    what it lets through by mistake joins nothing there.
+    """
+    spark, n = rows.sparkSession, keys.count()
+    words = 1 << max(6, min(FILTER_MOST, n * FILTER_BITS // 64 + 1).bit_length())
+
+    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, bit = _filter_place(_key_words(batch.column(0)), words)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((np.uint64(1) << bit).view(np.int64))], ["word", "bits"])
+
+    table = keys.select(key).mapInArrow(bits_of, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    filter_ = np.zeros(words, np.uint64)
+    filter_[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast(filter_)
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, bit = _filter_place(_key_words(batch.column(key)), words)
+            yield batch.filter(pa.array(sent.value[word] >> bit & np.uint64(1)).cast(pa.bool_()))
+
+    return rows.mapInArrow(through, rows.schema)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -58,7 +132,7 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch where its texts reach ``most`` bytes, so very long texts do not add up in a worker."""
     if batch.num_rows == 0:
         return
@@ -80,65 +154,82 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-#: Bytes of text whose words are hashed at once, and the odd base of the polynomial.
-CHUNK = 1 << 21
-BASE = 0x9E6C63D0876A9A7D
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: list[np.ndarray] = []
+#: Bytes of text whose words are handled at once.
+CHUNK = 1 << 20
+#: Words whose prints a worker keeps, and the longest of them.
+KEPT_WORDS, KEPT_BYTES = 1 << 16, 64
+#: Odd multipliers of the left and the right part of a run of words.
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse, modulo 2**64; kept per worker."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, CHUNK + (1 << 16))
-        _POWERS[:] = []
-        for base in (BASE, pow(BASE, -1, 1 << 64)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _POWERS.append(np.multiply.accumulate(x))
-    return _POWERS[0][:n], _POWERS[1][:n]
+class _Prints(dict):
+    """Word -> 128-bit print (BLAKE2b); a bounded number of short words is kept."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        own = hashlib.blake2b(word, digest_size=16).digest()
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = own
+        return own
 
-def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit fingerprints of the words of all texts in a row, and the number of words of each text.
 
-    A word's fingerprint is a polynomial in its bytes, taken from prefix sums over whole chunks of text, so no word is
-    handled by itself.
-    """
-    data = np.frombuffer(b"\n".join(x or b"" for x in texts), np.uint8)
-    space = _SPACE[data]
-    hashes, starts = [], []
+_PRINTS = _Prints()
+
+
+def _chunks(text: bytes) -> Iterator[bytes]:
+    """Pieces of a long text, cut between words."""
     at = 0
-    while at < len(data):
+    while at < len(text):
         end = at + CHUNK
-        while end < len(data) and not space[end]:  # a chunk ends between words
-            ahead = np.flatnonzero(space[end : end + 4096])
-            end = end + int(ahead[0]) if len(ahead) else end + 4096
-        part, blank = data[at:end], space[at:end]
-        edge = np.diff(np.concatenate(([True], blank, [True])).view(np.int8))
-        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        up, down = powers(len(part))
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.add.accumulate((part.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-        hashes.append(mix64((sums[last] - sums[first]) * down[first]))
-        starts.append(first + at)
+        while end < len(text):
+            blank = next((i for i, b in enumerate(text[end : end + 4096]) if b in _BLANK), None)
+            end += 4096 if blank is None else blank
+            if blank is not None:
+                break
+        yield text[at:end]
         at = end
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    offsets = np.cumsum([0, *(len(x or b"") + 1 for x in texts)])
-    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), offsets))
+
+
+_BLANK = frozenset(b" \t\n\x0b\x0c\r")
+
+
+def word_prints(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit prints of the words of all texts in a row (two 64-bit columns), and the number of words of each text.
+
+    Every word is hashed by itself with a cryptographic hash, so no pair of words can be made to collide.
+    """
+    parts: list[bytes] = []
+    counts = np.zeros(len(texts), np.int64)
+    look = _PRINTS.__getitem__
+    for i, text in enumerate(texts):
+        for piece in (text,) if text and len(text) <= CHUNK else _chunks(text or b""):
+            words = piece.split()
+            counts[i] += len(words)
+            parts.append(b"".join(map(look, words)))
+    return np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2), counts
+
+
+def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit prints of the words of all texts in a row, and the number of words of each text."""
+    prints, counts = word_prints(texts)
+    return np.ascontiguousarray(prints[:, 0]), counts
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """Fingerprints of the ``k`` consecutive words that start at each place; one fewer place per extra word."""
-    if len(h) < k:
-        return np.zeros(0, np.uint64)
-    out = h[: len(h) - k + 1].copy()
-    for i in range(1, k):
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += h[i : len(h) - k + 1 + i]
-    return mix64(out)
+    """Prints of the ``k`` consecutive words that start at each place; one fewer place per extra word.
+
+    Runs are put together from two shorter ones, whose prints are scattered at every step: unlike powers of one base,
+    no regular arrangement of words (such as Thue-Morse) makes two runs meet.
+    """
+    out, have = h, 1
+    while have < k:
+        step = min(have, k - have)
+        if len(out) <= step:
+            return np.zeros(0, np.uint64)
+        out = mix64(out[: len(out) - step] * _LEFT + out[step:] * _RIGHT + np.uint64(have))
+        have += step
+    return out
 
 
 def ranked(df: DataFrame, keys: list[str], order: list, spread: F.Column, out: str = "rank", buckets: int = 256) -> DataFrame:

@@ -4,18 +4,23 @@ A document is the set of its distinct word shingles.  Equal sets are one node.
 far as counts over the whole corpus tell; two sets that are similar enough must share a token of their prefixes, and
 where that token stands bounds how much they can share at all.
 
-* Index-level skipping: the index list of a token is sorted by set size and carries positions; sizes and positions
-  that cannot reach the threshold are skipped in blocks, before any pair is formed.
-* Stars: sets are first joined to the most typical set they share min-hashes with, and these links are
-  verified.  Inside such a star (transitively) no pair is listed, only pairs across stars are looked for, and
-  those decide the components.  No set's answers are derived from another's: each posts its whole prefix.
-
-The order of tokens and the choice of leaders only steer the work.  Every pair across stars that shares a prefix
-token and passes the bounds is verified on whole texts, so no link is lost.
+* Stars: a set is first tried against the most typical set it shares min-hashes with.  Where that link holds, the set
+  becomes a member of the other's star, and the number of its tokens that the leader lacks is kept.
+* Index-level skipping: the index list of a token has one entry a star: the range of its sizes and the furthest that
+  any of its prefixes reaches from there.  Lists are sorted by size; sizes and positions that cannot reach the
+  threshold are skipped in blocks, and pairs are listed between stars, never between their members.
+* Answer-level skipping: only leaders are compared on whole texts.  What a member shares with another star follows from
+  its leader's answer: at most the leaders' overlap and the tokens that either leader lacks.  A pair of stars whose
+  leaders link, or that other links join already, needs no more; where the bound still allows a link of two members, those
+  members are compared themselves.
+
+The order of tokens and the choice of leaders only steer the work: every pair of sets that passes the bounds is decided
+on whole texts, so no link is lost.  Nodes are numbered when their table is written, by 128 bits of the set; texts are
+fetched by 128 bits of their SHA-256.  A group of the index holds about a million entries, whatever the input.
 
 Edge cases: a null or wordless text has an empty set, is linked with nothing and is its own component; a null doc_id
 is a document whose component is named by the smallest non-null doc_id (null if there is none); repeated rows and
-equal texts are linked; an empty table gives no rows; other columns are ignored.
+equal texts are linked; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +30,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arclake.llm.common import as_bytes, bucket_count, hash_words, materialize, mix64, rolling, slices
+from arclake.llm.common import among, as_bytes, bucket_count, fresh, hash_words, materialize, mix64, quoted, rolling, slices, text_key
 from arclake.llm.graph import components
 
 WORDS = 5
@@ -37,12 +42,11 @@ SEEDS = 8
 #: A leader is tried where at least this many of the min-hashes agree.
 AGREE = 4
 #: Bytes of text handled at once.
-SLICE = 4 << 20
-#: Tokens that a task sees in so many of its sets are counted; the most frequent of them are put last in the order.
-LOCAL_LEAST = 4
+SLICE = 2 << 20
+#: Tokens that a slice of texts holds so many times are counted; the most frequent of them are put last in the order.
+LOCAL_LEAST = 2
 HOT_TOKENS = 1 << 20
-#: Words of the fixed-size filter of node ids, 64 bits each.
-FILTER_WORDS = 1 << 18
+
 
 def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> list[np.ndarray]:
     """Of each text the sorted distinct 64-bit fingerprints of its shingles; a shorter text is one shingle."""
@@ -55,9 +59,9 @@ def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> list[np.ndarr
     return out
 
 
-def node_of(tokens: np.ndarray) -> int:
-    """The identity of a set, as a signed 64-bit number."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(tokens: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
 def least_overlap(a: int | np.ndarray, b: int | np.ndarray, num: int = NUM, den: int = DEN):
@@ -69,26 +73,38 @@ def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
     return n - -(-num * n // den) + 1
 
 
+def least_overlap_column(a: Column, b: Column, num: int, den: int) -> Column:
+    return F.ceil((a + b) * num / (den + num))
+
+
 def _heavy(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 * SLICE):
+            found = []
+            for part in slices(batch, "text", SLICE):
                 h, counts = hash_words([x.lower() if x else x for x in as_bytes(part.column("text"))])
                 ends = np.repeat(np.cumsum(counts), counts)
                 rolled = rolling(h, words)
-                tokens = np.sort(rolled[np.arange(len(rolled)) + words <= ends[: len(rolled)]])
-                first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
-                n = np.diff(np.append(first, len(tokens)))
-                often = n >= LOCAL_LEAST
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[first[often]].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
+                found.append(rolled[np.arange(len(rolled)) + words <= ends[: len(rolled)]])
+            tokens = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+            first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(tokens)))
+            often = n >= LOCAL_LEAST
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[first[often]].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
     return run
 
 
 def frequent_tokens(docs: DataFrame, words: int = WORDS, most: int = HOT_TOKENS) -> tuple[np.ndarray, np.ndarray]:
     """Frequent tokens, sorted, and their places in the order; at most ``most`` of them, 12 bytes each."""
-    counted = docs.select("text").mapInArrow(_heavy(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "token").limit(most).toArrow()
+    counted = materialize(docs.select("text").mapInArrow(_heavy(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    size = F.floor(F.log2("n") * 8)
+    least, total = 0, 0
+    for step, many in sorted(map(tuple, counted.groupBy(size.alias("step")).agg(F.count(F.lit(1)).alias("many")).collect()), reverse=True):  # a few hundred steps at most
+        if (total := total + many) > most:
+            least = step + 1
+            break
+    top = counted.filter(size >= least).toArrow()
     tokens, counts = (top.column(c).to_numpy() for c in ("token", "n"))
     tokens = tokens.view(np.uint64)
     order = np.lexsort((tokens, counts))
@@ -98,23 +114,24 @@ def frequent_tokens(docs: DataFrame, words: int = WORDS, most: int = HOT_TOKENS)
     return tokens[by_token], rank[by_token]
 
 
-BASE = "doc_id long, h long, node long, n int, common int, least array<long>, prefix binary"
+BASE = "doc_id long, h binary, set binary, n int, common int, least array<long>, prefix binary"
 
 
 def _describe(words: int, seeds: int, num: int, den: int, hot):
     multipliers = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(seeds)]
+    mask = np.uint64((1 << 22) - 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_tokens, hot_rank = hot.value
         maybe = np.zeros(1 << 22, bool)  # a quick look before the search
-        maybe[hot_tokens & np.uint64((1 << 22) - 1)] = True
+        maybe[hot_tokens & mask] = True
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 sets = shingle_sets(as_bytes(part.column("text")), words)
                 sizes = np.array([len(x) for x in sets], np.int64)
                 tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 rank = np.zeros(len(tokens), np.uint32)
-                look = np.flatnonzero(maybe[tokens & np.uint64((1 << 22) - 1)])
+                look = np.flatnonzero(maybe[tokens & mask])
                 if len(look):
                     at = np.minimum(np.searchsorted(hot_tokens, tokens[look]), len(hot_tokens) - 1)
                     there = hot_tokens[at] == tokens[look]
@@ -128,8 +145,7 @@ def _describe(words: int, seeds: int, num: int, den: int, hot):
                 common = np.zeros(len(sets), np.int32)
                 if len(full):
                     common[full] = np.add.reduceat((rank > 0).astype(np.int32), starts)
-                row = {int(f): least[i].tolist() for i, f in enumerate(full)}
-                prefixes, nodes, at = [], [], 0
+                prefixes, keys, at = [], [], 0
                 for i, own in enumerate(sets):
                     n = len(own)
                     if n:
@@ -137,18 +153,33 @@ def _describe(words: int, seeds: int, num: int, den: int, hot):
                         prefixes.append((own[np.argsort(rank[at : at + n], kind="stable")[:keep]] if common[i] else own[:keep]).tobytes())
                     else:
                         prefixes.append(b"")
-                    nodes.append(node_of(own))
+                    keys.append(set_key(own))
                     at += n
+                offsets = np.concatenate(([0], np.cumsum(np.where(sizes > 0, seeds, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("h"), pa.array(nodes, pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(common), pa.array([row.get(i, []) for i in range(len(sets))], pa.list_(pa.int64())), pa.array(prefixes, pa.binary())],
-                    ["doc_id", "h", "node", "n", "common", "least", "prefix"],
+                    [part.column("doc_id"), part.column("h"), pa.array(keys, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(common), pa.ListArray.from_arrays(pa.array(offsets), pa.array(least.ravel())), pa.array(prefixes, pa.binary())],
+                    ["doc_id", "h", "set", "n", "common", "least", "prefix"],
                 )
 
     return run
 
 
-def _spread(n_buckets: int):
-    """Postings of each batch, packed per bucket: tokens, nodes, stars, sizes, positions."""
+POSTINGS = "bucket int, tokens binary, stars binary, small binary, large binary, reach binary"
+_POSTED = (("tokens", np.uint64), ("stars", np.int64), ("small", np.int32), ("large", np.int32), ("reach", np.int32))
+
+
+def combined(tokens: np.ndarray, stars: np.ndarray, small: np.ndarray, large: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry for each token and star, in the order of both: smallest and largest size, furthest reach."""
+    order = np.lexsort((stars, tokens))
+    tokens, stars = tokens[order], stars[order]
+    first = np.flatnonzero(np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (stars[1:] != stars[:-1])))) if len(order) else np.zeros(0, np.int64)
+    if len(first) == len(order):
+        return tokens, stars, small[order], large[order], reach[order]
+    return tokens[first], stars[first], np.minimum.reduceat(small[order], first), np.maximum.reduceat(large[order], first), np.maximum.reduceat(reach[order], first)
+
+
+def _post(n_buckets: int):
+    """Index entries of each batch, packed per bucket of tokens."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,71 +187,63 @@ def _spread(n_buckets: int):
             lengths = np.array([len(b) // 8 for b in blobs], np.int64)
             tokens = np.frombuffer(b"".join(blobs), np.uint64)
             each = np.repeat(np.arange(len(blobs)), lengths)
-            position = (np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-            columns = [batch.column(c).to_numpy()[each] for c in ("node", "star", "n")]
-            bucket = (mix64(tokens) >> np.uint64(20)) % np.uint64(n_buckets)
+            position = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            star, n = batch.column("star").to_numpy()[each], batch.column("n").to_numpy()[each]
+            packed = combined(tokens, star, n, n, (n - position).astype(np.int32))
+            bucket = (mix64(packed[0]) >> np.uint64(20)) % np.uint64(n_buckets)
             order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
-            packed = [x[order] for x in (tokens, *columns, position)]
-            rows = [[x[a:b].tobytes() for x in packed] for a, b in zip(ends, ends[1:], strict=False)]
-            keep = [i for i, r in enumerate(rows) if r[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), *[pa.array([rows[i][j] for i in keep], pa.binary()) for j in range(5)]], ["bucket", "tokens", "nodes", "stars", "sizes", "positions"])
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)])) if len(order) else np.zeros(1, np.int64)
+            columns = [x[order] for x in packed]
+            rows = [pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()) for x in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut[:-1]].astype(np.int32)), *rows], ["bucket", *(name for name, _ in _POSTED)])
 
     return run
 
 
-def cross_pairs(tokens: np.ndarray, nodes: np.ndarray, stars: np.ndarray, sizes: np.ndarray, positions: np.ndarray, num: int = NUM, den: int = DEN, block: int = 2048) -> tuple[np.ndarray, ...]:
-    """Distinct pairs (u, v) of nodes of different stars, with their sizes, that share a token here which stands early
-    enough to be the first of as many as the threshold takes."""
-    order = np.argsort(tokens)
-    same = tokens[order][1:] == tokens[order][:-1]
-    order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]  # a token of one set pairs nothing
-    order = order[np.lexsort((sizes[order], tokens[order]))]
-    tokens, nodes, stars, sizes, positions = (x[order] for x in (tokens, nodes, stars, sizes.astype(np.int64), positions.astype(np.int64)))
+def star_pairs(tokens: np.ndarray, stars: np.ndarray, small: np.ndarray, large: np.ndarray, reach: np.ndarray, num: int = NUM, den: int = DEN, block: int = 2048, most: int = 1 << 20) -> np.ndarray:
+    """Distinct pairs (u < v) of stars with sizes that may match, which share a token that stands early enough in both."""
+    tokens, stars, small, large, reach = combined(tokens, stars, small, large, reach)
+    order = np.lexsort((small, tokens))
+    tokens, stars, small, large, reach = tokens[order], stars[order], *(x[order].astype(np.int64) for x in (small, large, reach))
     starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
     lengths = np.diff(np.append(starts, len(tokens)))
     found: list[np.ndarray] = []
 
     def keep(u: np.ndarray, v: np.ndarray) -> None:
-        reach = np.minimum(sizes[u] - positions[u], sizes[v] - positions[v])
-        fits = (stars[u] != stars[v]) & (sizes[u] * den >= sizes[v] * num) & (reach >= least_overlap(sizes[u], sizes[v], num, den))
-        u, v = u[fits], v[fits]
-        if len(u):
-            swap = nodes[u] > nodes[v]
-            u, v = np.where(swap, v, u), np.where(swap, u, v)
-            found.append(np.stack([nodes[u], nodes[v], sizes[u], sizes[v]], axis=1))
-
-    two = starts[lengths == 2]
-    keep(two, two + 1)
-    for a, n in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
-        if (stars[a : a + n] == stars[a]).all():
-            continue  # the whole list is one star
-        left = sizes[a : a + n] - positions[a : a + n]
-        for i in range(0, n, block):
-            to = min(i + block, n)
-            # sizes ascend: nothing lies beyond the last that the largest of this block may match
-            stop = int(np.searchsorted(sizes[a : a + n], sizes[a + to - 1] * den // num, side="right"))
+        fits = (small[v] * num <= large[u] * den) & (small[u] * num <= large[v] * den) & (np.minimum(reach[u], reach[v]) >= least_overlap(small[u], small[v], num, den))
+        a, b = stars[u[fits]], stars[v[fits]]
+        if len(a):
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            if sum(map(len, found)) > most:
+                found[:] = [np.unique(np.concatenate(found), axis=0)]
+
+    for n in np.unique(lengths[(lengths > 1) & (lengths <= 64)]).tolist():  # short lists of one length at once
+        own, (i, j) = starts[lengths == n], np.triu_indices(n, 1)
+        step = max(1, most // len(i))
+        for at in range(0, len(own), step):
+            part = own[at : at + step, None]
+            keep((part + i).ravel(), (part + j).ravel())
+    for a, n in zip(starts[lengths > 64].tolist(), lengths[lengths > 64].tolist(), strict=True):
+        for i in range(a, a + n, block):
+            to = min(i + block, a + n)
+            # smallest sizes ascend: nothing lies beyond the last that the largest set of this block may match
+            stop = a + int(np.searchsorted(small[a : a + n], large[i:to].max() * den // num, side="right"))
             for j in range(i, stop, block):
-                end = min(j + block, n)
-                if min(left[i:to].max(), left[j:end].max()) < least_overlap(int(sizes[a + i]), int(sizes[a + j]), num, den):
+                end = min(j + block, a + n)
+                if min(reach[i:to].max(), reach[j:end].max()) < least_overlap(int(small[i]), int(small[j]), num, den):
                     continue  # no position of the block can reach the threshold
-                u, v = np.meshgrid(np.arange(i, to), np.arange(j, end), indexing="ij")
-                pairs = u < v
-                keep(a + u[pairs], a + v[pairs])
-    if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    return tuple(np.unique(np.concatenate(found), axis=0).T)
+                u, v = np.nonzero(np.arange(i, to)[:, None] < np.arange(j, end))
+                keep(i + u, j + v)
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
-PAIRS = "u long, v long, a int, b int"
+PAIRS = "u long, v long"
 
 
 def _join_bucket(num: int, den: int):
     def run(part: pa.Table) -> pa.Table:
-        kinds = (("tokens", np.uint64), ("nodes", np.int64), ("stars", np.int64), ("sizes", np.int32), ("positions", np.int32))
-        columns = [np.frombuffer(b"".join(part.column(name).to_pylist()), kind) for name, kind in kinds]
-        u, v, a, b = cross_pairs(*columns, num, den)
-        return pa.table({"u": pa.array(u), "v": pa.array(v), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32))})
+        pairs = star_pairs(*(np.frombuffer(b"".join(part.column(name).to_pylist()), kind) for name, kind in _POSTED), num, den)
+        return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
     return run
 
@@ -245,7 +268,7 @@ def may_link(a: int, x: bytes, b: int, y: bytes, num: int = NUM, den: int = DEN)
 
 def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([marks_of(x) for x in batch.column("prefix").to_pylist()], pa.binary())], ["node", "marks"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array([marks_of(x) for x in batch.column("prefix").to_pylist()], pa.binary())], ["node", "n", "marks"])
 
 
 def _enough(num: int, den: int):
@@ -258,125 +281,150 @@ def _enough(num: int, den: int):
     return run
 
 
-def _through(bits):
-    """Rows whose ``h`` the filter lets through."""
+OVERLAPS = "u long, v long, a long, b long, both long"
+
 
+def _overlap(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = bits.value
+        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))  # rows come sorted by u
         for batch in batches:
-            word, bit = _filter_place(batch.column("h").to_numpy(), len(filter_))
-            through = pa.array(filter_[word] >> bit & np.uint64(1)).cast(pa.bool_())
-            yield batch.filter(through)
+            for part in slices(batch, "y", SLICE):
+                left, rows = part.column("u").to_pylist(), []
+                for i, own in enumerate(shingle_sets(as_bytes(part.column("y")), words)):
+                    if left[i] != last[0]:
+                        last = (left[i], shingle_sets([as_bytes(part.column("x").slice(i, 1))[0]], words)[0])
+                    rows.append((len(last[1]), len(own), len(np.intersect1d(last[1], own, assume_unique=True))))
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), *columns], ["u", "v", "a", "b", "both"])
 
     return run
 
 
-def _filter_place(nodes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    h = nodes.view(np.uint64)
-    return (h % np.uint64(words)).astype(np.int64), (h >> np.uint64(40)) & np.uint64(63)
+def plausible(nodes: DataFrame, pairs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The pairs of nodes whose prefixes share as many tokens as those of linked sets must."""
+    ids = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+    marks = materialize(nodes.select("node", "n", "prefix").join(ids, "node", "left_semi").mapInArrow(_marks, "node long, n int, marks binary"))
+    left = pairs.join(marks.select(F.col("node").alias("v"), F.col("n").alias("b"), F.col("marks").alias("y")), "v")
+    both = left.join(marks.select(F.col("node").alias("u"), F.col("n").alias("a"), F.col("marks").alias("x")), "u")
+    return both.select("u", "v", "a", "x", "b", "y").mapInArrow(_enough(num, den), PAIRS)
 
 
-def _verify(words: int, num: int, den: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "a", SLICE):
-                first, second = (shingle_sets(as_bytes(part.column(c)), words) for c in ("a", "b"))
-                kept = []
-                for i, (x, y) in enumerate(zip(first, second, strict=True)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if den * both >= num * (len(x) + len(y) - both):
-                        kept.append(i)
-                kept = pa.array(kept, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("u").take(kept), part.column("v").take(kept)], ["u", "v"])
+def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(u, v, sizes a and b, tokens in both) of pairs of nodes, by their whole texts."""
+    ids = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    wanted = materialize(nodes.select("node", "h").join(ids, "node", "left_semi"))
+    found = among(docs.select("h", "text"), "h", wanted).join(wanted, "h")
+    texts = materialize(found.groupBy("node").agg(F.first("text").alias("text")))
+    left = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+    both = left.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
+    return both.select("u", "v", "x", "y").mapInArrow(_overlap(words), OVERLAPS)
+
+
+def linked(num: int, den: int) -> Column:
+    return F.col("both") * den >= (F.col("a") + F.col("b") - F.col("both")) * num
 
-    return run
+
+def star_links(docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(u, v, a, b, both): each set and the most typical set that it shares min-hashes with, where they are similar enough."""
+    each = nodes.select("node", (F.col("n") - F.col("common")).alias("own"), F.posexplode("least").alias("seed", "hash"))
+    best = each.groupBy("seed", "hash").agg(F.min(F.struct("own", "node")).alias("best"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    leaders = materialize(best.select("seed", "hash", F.col("best.node").alias("leader")))
+    tried = each.join(leaders, ["seed", "hash"]).filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("agree")).filter(F.col("agree") >= AGREE)
+    tried = materialize(tried.groupBy("node").agg(F.max_by("leader", F.struct("agree", "leader")).alias("leader")).select(F.col("leader").alias("u"), F.col("node").alias("v")))
+    return materialize(overlaps(docs, nodes, tried, words).filter(linked(num, den)))
 
 
-def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose ``h`` may be among the ``h`` of ``ids``.
+def derived(docs: DataFrame, nodes: DataFrame, members: DataFrame, answers: DataFrame, links: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links of members of two stars whose leaders do not link, from their leaders' answers.
 
-    A filter of fixed size (``FILTER_WORDS`` words) keeps other rows out of the shuffle that follows; what it lets
-    through by mistake joins nothing there.
+    Members of u and v share at most what the leaders share and what each has beside its leader.  Pairs of stars that
+    links join already are done.  First members meet the other's leader, then, where the stars are still apart, each
+    other.
     """
-    spark = rows.sparkSession
-    word = F.expr(f"cast(h & {FILTER_WORDS - 1} as int)")  # a power of two
-    bits = ids.select(word.alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 as int))").alias("bits"))
-    table = bits.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most FILTER_WORDS rows
-    filter_ = np.zeros(FILTER_WORDS, np.uint64)
-    filter_[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    return rows.mapInArrow(_through(spark.sparkContext.broadcast(filter_)), rows.schema)
-
-
-def plausible(sets: DataFrame, pairs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The pairs whose prefixes share as many tokens as those of linked sets must."""
-    pairs = materialize(pairs)
-    ids = materialize(pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct())
-    marks = among(sets.select(F.col("node").alias("h"), "prefix"), ids).mapInArrow(_marks, "node long, marks binary")
-    marks = materialize(marks.groupBy("node").agg(F.first("marks").alias("marks")))
-    left = pairs.join(marks.select(F.col("node").alias("v"), F.col("marks").alias("y")), "v")
-    both = left.join(marks.select(F.col("node").alias("u"), F.col("marks").alias("x")), "u")
-    return both.select("u", "v", "a", "x", "b", "y").mapInArrow(_enough(num, den), "u long, v long")
-
-
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets reach the threshold, by their whole texts; ``nodes`` has the hash of one text
-    of each."""
-    pairs = materialize(pairs)
-    wanted = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "h"), "node"))
-    through = among(docs.select("h", "text"), wanted.select("h"))
-    texts = materialize(through.groupBy("h").agg(F.first("text").alias("text")).join(wanted, "h").select("node", "text"))
-    left = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    both = left.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    return both.select("u", "v", "a", "b").mapInArrow(_verify(words, num, den), "u long, v long")
+    around = members.groupBy(F.col("star").alias("node")).agg(F.min("n").alias("small"), F.max("extra").alias("extra"))
+    around = nodes.select("node", "n").join(around, "node").select("node", F.least("n", "small").alias("small"), "extra")
+
+    def side(x: str, y: str) -> DataFrame:
+        return around.select(F.col("node").alias(x), F.col("small").alias(f"small_{y}"), F.col("extra").alias(f"extra_{y}"))
+
+    open_ = answers.filter(~linked(num, den)).join(side("u", "a"), "u", "left").join(side("v", "b"), "v", "left")
+    more = F.coalesce("extra_a", F.lit(0)) + F.coalesce("extra_b", F.lit(0))
+    open_ = materialize(open_.filter((more > 0) & (F.col("both") + more >= least_overlap_column(F.coalesce("small_a", "a"), F.coalesce("small_b", "b"), num, den))).select("u", "v", "both"))
+    all_ = members.select("star", "node", "n", "extra").union(nodes.join(members.select(F.col("star").alias("node")).distinct(), "node", "left_semi").select("node", "node", "n", F.lit(0).cast("long")))
+    for leaders in (True, False):
+        if open_.isEmpty():
+            break
+        joint = materialize(components(links))
+        part = joint.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+        apart = open_.join(part, "u", "left").join(part.select(F.col("u").alias("v"), F.col("cu").alias("cv")), "v", "left")
+        open_ = materialize(apart.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v", "both"))
+        alone = nodes.select(F.col("node").alias("star"), "node", "n", F.lit(0).cast("long").alias("extra")).join(open_.select(F.col("u").alias("star")).union(open_.select("v")).distinct(), "star", "left_semi")
+        near = all_.union(alone).distinct()
+        x, y = (near.select(F.col("star").alias(s), F.col("node").alias(f"{s}_node"), F.col("n").alias(f"{s}_n"), F.col("extra").alias(f"{s}_extra")) for s in ("u", "v"))
+        u_leads, v_leads = F.col("u") == F.col("u_node"), F.col("v") == F.col("v_node")
+        met = open_.join(x.filter("u = u_node") if leaders else x, "u").join(y, "v") if leaders else open_.join(x, "u").join(y, "v").filter(~u_leads & ~v_leads)
+        if leaders:
+            met = met.union(open_.join(x.filter("u <> u_node"), "u").join(y.filter("v = v_node"), "v")).filter(~(u_leads & v_leads))
+        enough = F.col("both") + F.col("u_extra") + F.col("v_extra") >= least_overlap_column(F.col("u_n"), F.col("v_n"), num, den)
+        pairs = materialize(met.filter(enough).select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct())
+        found = overlaps(docs, nodes, materialize(plausible(nodes, pairs, num, den)), words).filter(linked(num, den))
+        links = materialize(links.union(found.select("u", "v")))
+    return links
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, node (equal for equal sets), h (hash of its text)."""
+    """One row per document: doc_id, n_shingles, component_id, h (key of its text)."""
     return component_rows(docs, doc_id, text, words, num, den).drop("component")
 
 
 def component_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """The rows of ``jaccard_components`` and their component itself, null for empty sets."""
     spark = docs.sparkSession
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("h"), F.col(text).alias("text"))
     hot = spark.sparkContext.broadcast(frequent_tokens(plain, words))
     base = materialize(plain.mapInArrow(_describe(words, SEEDS, num, den, hot), BASE))
     sets = base.filter("n > 0")
-    nodes = materialize(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("common").alias("common"), F.first("least").alias("least"), F.min("h").alias("h")))
-    # Stars: a verified link to the most typical set that shares min-hashes.
-    each = nodes.select("node", (F.col("n") - F.col("common")).alias("own"), F.posexplode("least").alias("seed", "hash"))
-    leaders = materialize(each.groupBy("seed", "hash").agg(F.min(F.struct("own", "node")).alias("best"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("seed", "hash", F.col("best.node").alias("leader")))
-    tried = each.join(leaders, ["seed", "hash"]).filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("agree")).filter(F.col("agree") >= AGREE)
-    tried = tried.groupBy("node").agg(F.max_by("leader", F.struct("agree", "leader")).alias("leader"))
-    star_links = materialize(verified(plain, nodes, tried.select(F.col("leader").alias("u"), F.col("node").alias("v")), words, num, den))
-    stars = materialize(components(star_links))
-    # Candidates across stars.
-    prefixes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    joined = prefixes.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("star"), "n", "prefix")
-    packed = joined.mapInArrow(_spread(bucket_count(spark, 1)), "bucket int, tokens binary, nodes binary, stars binary, sizes binary, positions binary")
-    met = packed.groupBy("bucket").applyInArrow(_join_bucket(num, den), PAIRS).distinct()
-    pairs = plausible(sets, met, num, den)
-    links = verified(plain, nodes, pairs, words, num, den)
-    joint = materialize(components(materialize(star_links.union(links))))
+    nodes = sets.groupBy("set").agg(F.first(F.struct("n", "common", "least", "prefix")).alias("s"), F.min("h").alias("h"))
+    nodes = materialize(nodes.select("set", "h", "s.*").withColumn("node", F.monotonically_increasing_id()))
+    stars = star_links(plain, nodes, words, num, den)
+    # A set that leads others is in no star itself, so that a star's members all have their leader's answer.
+    members = materialize(stars.join(stars.select(F.col("u").alias("v")).distinct(), "v", "left_anti").select(F.col("v").alias("node"), F.col("u").alias("star"), F.col("b").alias("n"), (F.col("b") - F.col("both")).alias("extra")))
+    posted = nodes.select("node", "n", "prefix").join(members.select("node", "star"), "node", "left").select(F.coalesce("star", "node").alias("star"), "n", "prefix")
+    entries = nodes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    met = posted.mapInArrow(_post(bucket_count(spark, entries // 8)), POSTINGS).groupBy("bucket").applyInArrow(_join_bucket(num, den), PAIRS)
+    met = materialize(met.distinct())
+    several = members.select("star").distinct()
+    wide = met.join(several.select(F.col("star").alias("u")), "u", "left_semi").union(met.join(several.select(F.col("star").alias("v")), "v", "left_semi").select("u", "v"))
+    single = met.join(several.select(F.col("star").alias("u")), "u", "left_anti").join(several.select(F.col("star").alias("v")), "v", "left_anti").select("u", "v")
+    pairs = materialize(plausible(nodes, materialize(single), num, den).union(wide.distinct()))
+    answers = materialize(overlaps(plain, nodes, pairs, words))
+    links = materialize(stars.select("u", "v").union(answers.filter(linked(num, den)).select("u", "v")))
+    links = derived(plain, nodes, members, answers, links, words, num, den)
+    joint = materialize(components(links))
     # Back to documents.
-    named = sets.select("doc_id", "node").join(joint, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
-    names = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    answers = named.groupBy("node").agg(F.first("component").alias("component")).join(names, "component").select("node", "component_id", "component")
-    answers = materialize(answers)
-    linked = sets.select("doc_id", "h", "node", "n").join(answers, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "node", "h", "component")
-    alone = base.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node", "h")
-    return linked.unionByName(alone, allowMissingColumns=True)
+    owned = nodes.select("set", "node").join(joint, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
+    named = materialize(sets.select("doc_id", "set").join(owned, "set").groupBy("set", "component").agg(F.min("doc_id").alias("least")))
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    answers = materialize(named.select("set", "component").join(names, "component"))
+    whole = sets.select("doc_id", "h", "set", "n").join(answers, "set").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "h", "component")
+    alone = base.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "h")
+    return whole.unionByName(alone, allowMissingColumns=True)
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their component, one (doc_id, text) of each, with all their columns.
+    """The rows of ``docs`` that name their component, one of each, with all their columns.
 
-    A row without a doc_id stays where no row of its component has one.
+    A row without a doc_id stays where no row of its component has one; of repeated rows one stays.  Texts without
+    words are linked with nothing: they all stay.
     """
-    named = component_rows(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    joint, alone = named.filter("component is not null"), named.filter("component is null")
-    first = joint.groupBy("component").agg(F.first("doc_id").alias("__id"), F.min("h").alias("__h")).select("__id", "__h")
-    first = first.union(alone.select("doc_id", "h").distinct())
-    own = docs.withColumn("__own", F.xxhash64(F.col(text)))
-    same = (F.col("__own") == F.col("__h")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__id"))
-    return own.join(materialize(first), same, "left_semi").select(*docs.columns)
+    rows = materialize(component_rows(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    joint, alone = rows.filter("component is not null"), rows.filter("component is null")
+    own, id_, key, times = fresh(docs, "own", "id", "key", "times")
+    first = joint.groupBy("component").agg(F.min("h").alias(key), F.first("doc_id").alias(id_), F.count(F.lit(1)).alias(times))
+    first = materialize(first.select(key, id_, times).union(alone.select("h", "doc_id", F.lit(1).cast("long")).distinct()))
+    keyed = docs.withColumn(own, text_key(F.col(text)))
+    same = (F.col(own) == F.col(key)) & F.col(doc_id).cast("long").eqNullSafe(F.col(id_))
+    kept = keyed.join(first.filter(F.col(times) == 1), same, "left_semi")
+    if not first.filter(F.col(times) > 1).isEmpty():  # a doc_id that occurs several times in one component
+        kept = kept.union(keyed.join(first.filter(F.col(times) > 1), same, "left_semi").dropDuplicates([own, doc_id]))
+    return kept.select(*quoted(kept, (own,)))

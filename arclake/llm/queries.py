@@ -83,7 +83,7 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arclake.llm.jaccard import jaccard_components
 
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("node", "h")
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("h")
 
 
 @query

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arclake.llm import exactdedup, graph, jaccard, linededup, substring
+from arclake.llm import common, exactdedup, graph, jaccard, linededup, substring
 
 FOLD = str.maketrans(exactdedup.UPPER, exactdedup.LOWER)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,12 +103,11 @@ def test_cross_pairs_lose_no_link():
     for i, s in enumerate(sets):
         order = sorted(s)
         for p, token in enumerate(order[: jaccard.prefix_length(len(s))]):
-            for c, v in zip(columns, (token, i, i, len(s), p), strict=True):
+            for c, v in zip(columns, (token, i, len(s), len(s), len(s) - p), strict=True):
                 c.append(v)
-    kinds = (np.uint64, np.int64, np.int64, np.int32, np.int32)
+    kinds = (np.uint64, np.int64, np.int32, np.int32, np.int32)
     for block in (3, 2048):
-        u, v, _, _ = jaccard.cross_pairs(*(np.array(c, k) for c, k in zip(columns, kinds, strict=True)), block=block)
-        found = set(zip(u.tolist(), v.tolist(), strict=True))
+        found = set(map(tuple, jaccard.star_pairs(*(np.array(c, k) for c, k in zip(columns, kinds, strict=True)), block=block).tolist()))
         marks = [jaccard.marks_of(np.array(sorted(s)[: jaccard.prefix_length(len(s))], np.uint64).tobytes()) for s in sets]
         for a in range(len(sets)):
             for b in range(a):
@@ -116,6 +115,48 @@ def test_cross_pairs_lose_no_link():
                     assert (b, a) in found and jaccard.may_link(len(sets[a]), marks[a], len(sets[b]), marks[b])
 
 
+def thue_morse(n):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return bits, [1 - b for b in bits]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_regular_words_and_runs_do_not_collide(n):
+    one, other = ("".join("ab"[b] for b in bits).encode() for bits in thue_morse(n))
+    a, b = jaccard.shingle_sets([one, other])
+    assert a.tolist() != b.tolist()
+    one, other = (b" ".join((b"x", b"y")[b] for b in bits) for bits in thue_morse(n))
+    h, _ = common.hash_words([one])
+    g, _ = common.hash_words([other])
+    assert set(common.rolling(h, n).tolist()).isdisjoint(common.rolling(g, n).tolist())
+
+
+def test_words_of_long_texts(monkeypatch):
+    rng = random.Random(9)
+    text = b"".join(rng.choice([b" ", b"\n", b"word", b"w" * 300, b"\xc3\xa9"]) for _ in range(4000))
+    whole = common.word_prints([text, None, b"", b"one"])
+    monkeypatch.setattr(common, "CHUNK", 64)
+    cut = common.word_prints([text, None, b"", b"one"])
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all() and whole[1].tolist()[1:] == [0, 0, 1] and whole[1][0] == len(text.split())
+
+
+def test_links_between_members_of_stars(spark):
+    """Stars whose leaders are too far apart, and chains of near copies that only their members join."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for step in range(10):
+            for _ in range(4):
+                own = list(base)
+                for _ in range(rng.randrange(3)):
+                    own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+                rows.append((len(rows), " ".join(own)))
+            base = base[rng.randrange(4, 14) :] + [f"w{rng.randrange(10**6)}" for _ in range(8)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(brute_components(rows))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000 + i, 2000) for i in range(80)] + [(5000, 5000)]
     random.Random(1).shuffle(edges)
