@@ -7,9 +7,11 @@ Executors can be lost at any time, so lineage is cut only with Parquet tables in
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,11 @@ def bucket_count(spark: SparkSession, entries: int, most: int = 1 << 20) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // most))
 
 
+def new_seed() -> bytes:
+    """What the prints of one run are keyed by; drawn by the driver and sent with the tasks."""
+    return os.urandom(16)
+
+
 def text_key(text: F.Column) -> F.Column:
     """128 bits of a text's SHA-256, by which it is fetched again."""
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
@@ -96,18 +103,18 @@ def _filter_place(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _key_words(column: pa.Array) -> np.ndarray:
-    """The first eight bytes of 16-byte keys."""
+    """64-bit keys, or the first eight bytes of 16-byte keys."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy().view(np.uint64)
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)[:, 0]
 
 
-def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows whose 16-byte ``key`` may be among those of ``keys``, a table.
+def filter_of(keys: DataFrame, key: str) -> np.ndarray:
+    """A filter of the keys of a table, as words of bits; it grows with their number, up to a fixed size.
 
-    A filter that grows with the number of keys, up to a fixed size, keeps other rows out of the shuffle that follows;
-    what it lets through by mistake joins nothing there.
+    It only saves work: whatever it lets through by mistake is compared afterwards.
     """
-    spark, n = rows.sparkSession, keys.count()
-    words = 1 << max(6, min(FILTER_MOST, n * FILTER_BITS // 64 + 1).bit_length())
+    words = 1 << max(6, min(FILTER_MOST, keys.count() * FILTER_BITS // 64 + 1).bit_length())
 
     def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,12 +124,21 @@ def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     table = keys.select(key).mapInArrow(bits_of, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     filter_ = np.zeros(words, np.uint64)
     filter_[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    sent = spark.sparkContext.broadcast(filter_)
+    return filter_
+
+
+def passes(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    word, bit = _filter_place(keys, len(filter_))
+    return (filter_[word] >> bit & np.uint64(1)).astype(bool)
+
+
+def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose 16-byte ``key`` may be among those of ``keys``, a table: others stay out of the shuffle that follows."""
+    sent = rows.sparkSession.sparkContext.broadcast(filter_of(keys, key))
 
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, bit = _filter_place(_key_words(batch.column(key)), words)
-            yield batch.filter(pa.array(sent.value[word] >> bit & np.uint64(1)).cast(pa.bool_()))
+            yield batch.filter(pa.array(passes(sent.value, _key_words(batch.column(key)))))
 
     return rows.mapInArrow(through, rows.schema)
 
@@ -154,66 +170,68 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-#: Bytes of text whose words are handled at once.
+#: Bytes of text whose words are handled at once, and four-byte pieces of a word that are.
 CHUNK = 1 << 20
-#: Words whose prints a worker keeps, and the longest of them.
-KEPT_WORDS, KEPT_BYTES = 1 << 16, 64
+PIECES = 16
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 #: Odd multipliers of the left and the right part of a run of words.
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _Prints(dict):
-    """Word -> 128-bit print (BLAKE2b); a bounded number of short words is kept."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        own = hashlib.blake2b(word, digest_size=16).digest()
-        if len(word) <= KEPT_BYTES:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = own
-        return own
-
-
-_PRINTS = _Prints()
-
+@lru_cache(8)
+def _multipliers(seed: bytes) -> np.ndarray:
+    """Two rows of odd multipliers, for a word's length and for each of its pieces."""
+    return np.frombuffer(hashlib.shake_256(seed).digest(16 * (PIECES + 1)), np.uint64).reshape(2, -1) | np.uint64(1)
+
+
+def _chunk_prints(data: np.ndarray, seed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Prints of the words of a chunk, and where they start."""
+    edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).view(np.int8))
+    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    n = last - first
+    keys = _multipliers(seed)
+    pieces = np.ndarray((len(data) + 1,), "<u4", np.concatenate((data, np.zeros(4, np.uint8))), strides=(1,))
+    sums = [n.astype(np.uint64) * k[0] for k in keys]
+    for j in range(min(PIECES, -(-int(n.max(initial=0)) // 4))):
+        at = np.flatnonzero(n > 4 * j) if j else slice(None)
+        piece = (pieces[first[at] + 4 * j] & _MASKS[np.minimum(n[at] - 4 * j, 4)]).astype(np.uint64)
+        for s, k in zip(sums, keys, strict=True):
+            s[at] += piece * k[j + 1]
+    out = np.stack([mix64(s) for s in sums], axis=1)
+    for i in np.flatnonzero(n > 4 * PIECES).tolist():
+        out[i] = np.frombuffer(hashlib.blake2b(data[first[i] : last[i]], digest_size=16, key=seed[:64]).digest(), np.uint64)
+    return out, first
+
+
+def word_prints(texts: list[bytes | None], seed: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """128-bit prints of the words of all texts in a row (two 64-bit columns), and the number of words of each text.
 
-def _chunks(text: bytes) -> Iterator[bytes]:
-    """Pieces of a long text, cut between words."""
-    at = 0
-    while at < len(text):
+    A print is a pair of multilinear hashes of a word's pieces with multipliers drawn from ``seed``, or a keyed BLAKE2b of
+    a long word.  Operators draw the seed anew for each run, so that no words can be made to collide.
+    """
+    data = np.frombuffer(b"\n".join(x or b"" for x in texts), np.uint8)
+    prints, starts, at = [], [], 0
+    while at < len(data):
         end = at + CHUNK
-        while end < len(text):
-            blank = next((i for i, b in enumerate(text[end : end + 4096]) if b in _BLANK), None)
-            end += 4096 if blank is None else blank
-            if blank is not None:
-                break
-        yield text[at:end]
+        while end < len(data) and not _SPACE[data[end]]:  # a chunk ends between words
+            ahead = np.flatnonzero(_SPACE[data[end : end + 4096]])
+            end = end + int(ahead[0]) if len(ahead) else end + 4096
+        own, first = _chunk_prints(data[at:end], seed)
+        prints.append(own)
+        starts.append(first + at)
         at = end
+    if not prints:
+        return np.zeros((0, 2), np.uint64), np.zeros(len(texts), np.int64)
+    offsets = np.cumsum([0, *(len(x or b"") + 1 for x in texts)])
+    return np.concatenate(prints), np.diff(np.searchsorted(np.concatenate(starts), offsets))
 
 
-_BLANK = frozenset(b" \t\n\x0b\x0c\r")
-
-
-def word_prints(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit prints of the words of all texts in a row (two 64-bit columns), and the number of words of each text.
-
-    Every word is hashed by itself with a cryptographic hash, so no pair of words can be made to collide.
-    """
-    parts: list[bytes] = []
-    counts = np.zeros(len(texts), np.int64)
-    look = _PRINTS.__getitem__
-    for i, text in enumerate(texts):
-        for piece in (text,) if text and len(text) <= CHUNK else _chunks(text or b""):
-            words = piece.split()
-            counts[i] += len(words)
-            parts.append(b"".join(map(look, words)))
-    return np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2), counts
-
-
-def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: list[bytes | None], seed: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """64-bit prints of the words of all texts in a row, and the number of words of each text."""
-    prints, counts = word_prints(texts)
-    return np.ascontiguousarray(prints[:, 0]), counts
+    prints, counts = word_prints(texts, seed)
+    return mix64(prints[:, 0] + prints[:, 1] * _RIGHT), counts
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:

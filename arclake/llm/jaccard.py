@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arclake.llm.common import among, as_bytes, bucket_count, fresh, hash_words, materialize, mix64, quoted, rolling, slices, text_key
+from arclake.llm.common import among, as_bytes, bucket_count, fresh, hash_words, materialize, mix64, new_seed, quoted, rolling, slices, text_key
 from arclake.llm.graph import components
 
 WORDS = 5
@@ -48,9 +48,9 @@ LOCAL_LEAST = 2
 HOT_TOKENS = 1 << 20
 
 
-def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes | None], words: int = WORDS, seed: bytes = b"") -> list[np.ndarray]:
     """Of each text the sorted distinct 64-bit fingerprints of its shingles; a shorter text is one shingle."""
-    h, counts = hash_words([x.lower() if x else x for x in texts])
+    h, counts = hash_words([x.lower() if x else x for x in texts], seed)
     rolled, out, at = rolling(h, words), [], 0
     for n in counts.tolist():
         own = np.sort(rolled[at : at + n - words + 1]) if n >= words else rolling(h[at : at + n], n) if n else h[:0]
@@ -77,12 +77,12 @@ def least_overlap_column(a: Column, b: Column, num: int, den: int) -> Column:
     return F.ceil((a + b) * num / (den + num))
 
 
-def _heavy(words: int):
+def _heavy(words: int, seed: bytes):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for part in slices(batch, "text", SLICE):
-                h, counts = hash_words([x.lower() if x else x for x in as_bytes(part.column("text"))])
+                h, counts = hash_words([x.lower() if x else x for x in as_bytes(part.column("text"))], seed)
                 ends = np.repeat(np.cumsum(counts), counts)
                 rolled = rolling(h, words)
                 found.append(rolled[np.arange(len(rolled)) + words <= ends[: len(rolled)]])
@@ -95,9 +95,9 @@ def _heavy(words: int):
     return run
 
 
-def frequent_tokens(docs: DataFrame, words: int = WORDS, most: int = HOT_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(docs: DataFrame, words: int = WORDS, most: int = HOT_TOKENS, seed: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """Frequent tokens, sorted, and their places in the order; at most ``most`` of them, 12 bytes each."""
-    counted = materialize(docs.select("text").mapInArrow(_heavy(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    counted = materialize(docs.select("text").mapInArrow(_heavy(words, seed), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     size = F.floor(F.log2("n") * 8)
     least, total = 0, 0
     for step, many in sorted(map(tuple, counted.groupBy(size.alias("step")).agg(F.count(F.lit(1)).alias("many")).collect()), reverse=True):  # a few hundred steps at most
@@ -117,7 +117,7 @@ def frequent_tokens(docs: DataFrame, words: int = WORDS, most: int = HOT_TOKENS)
 BASE = "doc_id long, h binary, set binary, n int, common int, least array<long>, prefix binary"
 
 
-def _describe(words: int, seeds: int, num: int, den: int, hot):
+def _describe(words: int, seeds: int, num: int, den: int, hot, seed: bytes):
     multipliers = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(seeds)]
     mask = np.uint64((1 << 22) - 1)
 
@@ -127,7 +127,7 @@ def _describe(words: int, seeds: int, num: int, den: int, hot):
         maybe[hot_tokens & mask] = True
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                sets = shingle_sets(as_bytes(part.column("text")), words)
+                sets = shingle_sets(as_bytes(part.column("text")), words, seed)
                 sizes = np.array([len(x) for x in sets], np.int64)
                 tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 rank = np.zeros(len(tokens), np.uint32)
@@ -379,10 +379,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def component_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """The rows of ``jaccard_components`` and their component itself, null for empty sets."""
-    spark = docs.sparkSession
+    spark, seed = docs.sparkSession, new_seed()
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("h"), F.col(text).alias("text"))
-    hot = spark.sparkContext.broadcast(frequent_tokens(plain, words))
-    base = materialize(plain.mapInArrow(_describe(words, SEEDS, num, den, hot), BASE))
+    hot = spark.sparkContext.broadcast(frequent_tokens(plain, words, seed=seed))
+    base = materialize(plain.mapInArrow(_describe(words, SEEDS, num, den, hot, seed), BASE))
     sets = base.filter("n > 0")
     nodes = sets.groupBy("set").agg(F.first(F.struct("n", "common", "least", "prefix")).alias("s"), F.min("h").alias("h"))
     nodes = materialize(nodes.select("set", "h", "s.*").withColumn("node", F.monotonically_increasing_id()))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arclake.llm import exactdedup, topk
+from arclake.llm import exactdedup, substring, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,6 +41,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"), F.size("spans").alias("n_spans"))
 
 
+ORACLE_SQL["op4_substring_dedup"] = substring.ORACLE
+
+
 @query
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F

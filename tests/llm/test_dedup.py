@@ -164,8 +164,8 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(80)}, 2000: 1000}
 
 
-@pytest.mark.parametrize("window", [50, 4])
-def test_remove_repeats(docs, rows, empty, window):
+@pytest.mark.parametrize(("window", "hot"), [(50, substring.HOT), (50, 2), (4, substring.HOT), (4, 1)])
+def test_remove_repeats(docs, rows, empty, window, hot):
     first = {}
     for i, t, *_ in rows:
         w = WORD.findall(t or "")
@@ -180,11 +180,41 @@ def test_remove_repeats(docs, rows, empty, window):
             if first[tuple(w[s : s + window])] < own:
                 gone[s : s + window] = [True] * window
         want[(i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))] += 1
-    got = substring.remove_repeats(docs, window=window).collect()
+    got = substring.remove_repeats(docs, window=window, hot=hot).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == want
+    texts = defaultdict(list)
+    for i, t, *_ in rows:
+        texts[i].append(WORD.findall(t or ""))
+    for r in got:
+        for start, stop, owner, at in r["repeats"]:
+            own, other = texts[r["doc_id"]], [t for t in texts[owner]]
+            run = [(w, o) for w in own for o in other if w[start:stop] == o[at : at + stop - start] and stop <= len(w)]
+            assert run and stop - start >= window
+            # maximal towards its owner: it goes on nowhere, unless a smaller document has the next window
+            assert any(len(w) == stop or len(o) == at + stop - start or w[stop] != o[at + stop - start] or first[tuple(w[stop - window + 1 : stop + 1])] != owner for w, o in run)
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_regular_texts(spark):
+    """Texts that repeat themselves, Thue-Morse words, and a passage that every document has."""
+    bits, others = thue_morse(256)
+    passage = " ".join(f"p{i}" for i in range(70))
+    texts = ["a " * 300, "a " * 120, " ".join("xy"[b] for b in bits), " ".join("xy"[b] for b in others), *(f"q{i} {passage} r{i}" for i in range(30))]
+    rows = list(enumerate(texts))
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for s in range(len(w) - 49):
+            first.setdefault(tuple(w[s : s + 50]), i)
+    for hot in (substring.HOT, 3):
+        got = {r["doc_id"]: r for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot).collect()}
+        for i, t in rows:
+            w = t.split()
+            gone = {s + k for s in range(len(w) - 49) if first[tuple(w[s : s + 50])] < i for k in range(50)}
+            assert got[i]["n_removed"] == len(gone) and got[i]["kept"].split() == [x for k, x in enumerate(w) if k not in gone]
+        assert [list(x) for x in got[20]["repeats"]] == [[1, 71, 4, 1]]
+
+
 def distance_within_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
