@@ -284,15 +284,15 @@ def _enough(num: int, den: int):
 OVERLAPS = "u long, v long, a long, b long, both long"
 
 
-def _overlap(words: int):
+def _overlap(words: int, seed: bytes):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))  # rows come sorted by u
         for batch in batches:
             for part in slices(batch, "y", SLICE):
                 left, rows = part.column("u").to_pylist(), []
-                for i, own in enumerate(shingle_sets(as_bytes(part.column("y")), words)):
+                for i, own in enumerate(shingle_sets(as_bytes(part.column("y")), words, seed)):
                     if left[i] != last[0]:
-                        last = (left[i], shingle_sets([as_bytes(part.column("x").slice(i, 1))[0]], words)[0])
+                        last = (left[i], shingle_sets([as_bytes(part.column("x").slice(i, 1))[0]], words, seed)[0])
                     rows.append((len(last[1]), len(own), len(np.intersect1d(last[1], own, assume_unique=True))))
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 3
                 yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), *columns], ["u", "v", "a", "b", "both"])
@@ -309,7 +309,7 @@ def plausible(nodes: DataFrame, pairs: DataFrame, num: int = NUM, den: int = DEN
     return both.select("u", "v", "a", "x", "b", "y").mapInArrow(_enough(num, den), PAIRS)
 
 
-def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
+def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, seed: bytes) -> DataFrame:
     """(u, v, sizes a and b, tokens in both) of pairs of nodes, by their whole texts."""
     ids = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     wanted = materialize(nodes.select("node", "h").join(ids, "node", "left_semi"))
@@ -317,29 +317,65 @@ def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int = W
     texts = materialize(found.groupBy("node").agg(F.first("text").alias("text")))
     left = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
     both = left.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
-    return both.select("u", "v", "x", "y").mapInArrow(_overlap(words), OVERLAPS)
+    return both.select("u", "v", "x", "y").mapInArrow(_overlap(words, seed), OVERLAPS)
 
 
 def linked(num: int, den: int) -> Column:
     return F.col("both") * den >= (F.col("a") + F.col("b") - F.col("both")) * num
 
 
-def star_links(docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def star_links(docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int, seed: bytes) -> DataFrame:
     """(u, v, a, b, both): each set and the most typical set that it shares min-hashes with, where they are similar enough."""
     each = nodes.select("node", (F.col("n") - F.col("common")).alias("own"), F.posexplode("least").alias("seed", "hash"))
     best = each.groupBy("seed", "hash").agg(F.min(F.struct("own", "node")).alias("best"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     leaders = materialize(best.select("seed", "hash", F.col("best.node").alias("leader")))
     tried = each.join(leaders, ["seed", "hash"]).filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("agree")).filter(F.col("agree") >= AGREE)
     tried = materialize(tried.groupBy("node").agg(F.max_by("leader", F.struct("agree", "leader")).alias("leader")).select(F.col("leader").alias("u"), F.col("node").alias("v")))
-    return materialize(overlaps(docs, nodes, tried, words).filter(linked(num, den)))
+    return materialize(overlaps(docs, nodes, tried, words, seed).filter(linked(num, den)))
 
 
-def derived(docs: DataFrame, nodes: DataFrame, members: DataFrame, answers: DataFrame, links: DataFrame, words: int, num: int, den: int) -> DataFrame:
+#: Members of a star that are packed into one row.
+PACK = 512
+PACKED = "star long, node binary, n binary, extra binary, many binary, marks binary"
+
+
+def _pack(part: pa.Table) -> pa.Table:
+    """Members of a star: their numbers, sizes, extra tokens, and the marks of their prefixes, one after the other."""
+    marks = [marks_of(x) for x in part.column("prefix").to_pylist()]
+    numbers = [part.column(c).to_numpy().astype(np.int64).tobytes() for c in ("node", "n", "extra")]
+    many = np.array([len(m) // 4 for m in marks], np.int64).tobytes()
+    return pa.table({"star": part.column("star").slice(0, 1), **{k: pa.array([v], pa.binary()) for k, v in zip(("node", "n", "extra", "many", "marks"), (*numbers, many, b"".join(marks)), strict=True)}})
+
+
+def _between(num: int, den: int):
+    """Pairs of members of two stars that the leaders' overlap, their sizes and their marks leave possible."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for i in range(batch.num_rows):
+                both = batch.column("both")[i].as_py()
+                (un, ua, ue, um), (vn, va, ve, vm) = ([np.frombuffer(batch.column(f"{side}_{c}")[i].as_py(), np.int64) for c in ("node", "n", "extra", "many")] for side in "uv")
+                u_marks, v_marks = (np.frombuffer(batch.column(f"{side}_marks")[i].as_py(), np.uint32) for side in "uv")
+                u_at, v_at = np.cumsum(um) - um, np.cumsum(vm) - vm
+                for k, n in enumerate(ua.tolist()):
+                    enough = (n * num <= va * den) & (va * num <= n * den) & (both + ue[k] + ve >= least_overlap(n, va, num, den))
+                    if enough.any():
+                        shared = np.add.reduceat(np.isin(v_marks, u_marks[u_at[k] : u_at[k] + um[k]]).astype(np.int64), v_at)
+                        least = least_overlap(n, va, num, den) - np.maximum(-(-num * n // den), -(-num * va // den)) + 1
+                        mates = vn[enough & (shared >= least)]
+                        found.append((np.full(len(mates), un[k]), mates))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["u", "v"])
+
+    return run
+
+
+def derived(docs: DataFrame, nodes: DataFrame, members: DataFrame, answers: DataFrame, links: DataFrame, words: int, num: int, den: int, seed: bytes) -> DataFrame:
     """Links of members of two stars whose leaders do not link, from their leaders' answers.
 
     Members of u and v share at most what the leaders share and what each has beside its leader.  Pairs of stars that
     links join already are done.  First members meet the other's leader, then, where the stars are still apart, each
-    other.
+    other.  Members come in packs, and only pairs that their prefixes leave possible are listed.
     """
     around = members.groupBy(F.col("star").alias("node")).agg(F.min("n").alias("small"), F.max("extra").alias("extra"))
     around = nodes.select("node", "n").join(around, "node").select("node", F.least("n", "small").alias("small"), "extra")
@@ -350,24 +386,27 @@ def derived(docs: DataFrame, nodes: DataFrame, members: DataFrame, answers: Data
     open_ = answers.filter(~linked(num, den)).join(side("u", "a"), "u", "left").join(side("v", "b"), "v", "left")
     more = F.coalesce("extra_a", F.lit(0)) + F.coalesce("extra_b", F.lit(0))
     open_ = materialize(open_.filter((more > 0) & (F.col("both") + more >= least_overlap_column(F.coalesce("small_a", "a"), F.coalesce("small_b", "b"), num, den))).select("u", "v", "both"))
-    all_ = members.select("star", "node", "n", "extra").union(nodes.join(members.select(F.col("star").alias("node")).distinct(), "node", "left_semi").select("node", "node", "n", F.lit(0).cast("long")))
     for leaders in (True, False):
         if open_.isEmpty():
             break
-        joint = materialize(components(links))
-        part = joint.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-        apart = open_.join(part, "u", "left").join(part.select(F.col("u").alias("v"), F.col("cu").alias("cv")), "v", "left")
+        joint = materialize(components(links)).select(F.col("node").alias("u"), F.col("component").alias("cu"))
+        apart = open_.join(joint, "u", "left").join(joint.select(F.col("u").alias("v"), F.col("cu").alias("cv")), "v", "left")
         open_ = materialize(apart.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v", "both"))
-        alone = nodes.select(F.col("node").alias("star"), "node", "n", F.lit(0).cast("long").alias("extra")).join(open_.select(F.col("u").alias("star")).union(open_.select("v")).distinct(), "star", "left_semi")
-        near = all_.union(alone).distinct()
-        x, y = (near.select(F.col("star").alias(s), F.col("node").alias(f"{s}_node"), F.col("n").alias(f"{s}_n"), F.col("extra").alias(f"{s}_extra")) for s in ("u", "v"))
-        u_leads, v_leads = F.col("u") == F.col("u_node"), F.col("v") == F.col("v_node")
-        met = open_.join(x.filter("u = u_node") if leaders else x, "u").join(y, "v") if leaders else open_.join(x, "u").join(y, "v").filter(~u_leads & ~v_leads)
-        if leaders:
-            met = met.union(open_.join(x.filter("u <> u_node"), "u").join(y.filter("v = v_node"), "v")).filter(~(u_leads & v_leads))
-        enough = F.col("both") + F.col("u_extra") + F.col("v_extra") >= least_overlap_column(F.col("u_n"), F.col("v_n"), num, den)
-        pairs = materialize(met.filter(enough).select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct())
-        found = overlaps(docs, nodes, materialize(plausible(nodes, pairs, num, den)), words).filter(linked(num, den))
+        ends = open_.select(F.col("u").alias("star")).union(open_.select("v")).distinct()
+        own = members.join(ends, "star", "left_semi").join(nodes.select("node", "prefix"), "node")
+        sizes = own.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs"))
+        own = own.join(sizes, "star").withColumn("pack", F.pmod(F.xxhash64("node"), F.col("packs")))
+        packed = materialize(own.groupBy("star", "pack").applyInArrow(_pack, PACKED))
+        lead = nodes.select(F.col("node").alias("star"), "node", "n", F.lit(0).cast("long").alias("extra"), "prefix").join(ends, "star", "left_semi")
+        lead = materialize(lead.groupBy("star").applyInArrow(_pack, PACKED)) if leaders else None
+
+        def ways(x: DataFrame, y: DataFrame, open_: DataFrame = open_) -> DataFrame:
+            for rows, name in ((x, "u"), (y, "v")):
+                open_ = open_.join(rows.select(F.col("star").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "extra", "many", "marks"))), name)
+            return open_.drop("u", "v").mapInArrow(_between(num, den), PAIRS)
+
+        pairs = ways(lead, packed).union(ways(packed, lead)) if leaders else ways(packed, packed)
+        found = overlaps(docs, nodes, materialize(pairs.distinct()), words, seed).filter(linked(num, den))
         links = materialize(links.union(found.select("u", "v")))
     return links
 
@@ -386,7 +425,7 @@ def component_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = base.filter("n > 0")
     nodes = sets.groupBy("set").agg(F.first(F.struct("n", "common", "least", "prefix")).alias("s"), F.min("h").alias("h"))
     nodes = materialize(nodes.select("set", "h", "s.*").withColumn("node", F.monotonically_increasing_id()))
-    stars = star_links(plain, nodes, words, num, den)
+    stars = star_links(plain, nodes, words, num, den, seed)
     # A set that leads others is in no star itself, so that a star's members all have their leader's answer.
     members = materialize(stars.join(stars.select(F.col("u").alias("v")).distinct(), "v", "left_anti").select(F.col("v").alias("node"), F.col("u").alias("star"), F.col("b").alias("n"), (F.col("b") - F.col("both")).alias("extra")))
     posted = nodes.select("node", "n", "prefix").join(members.select("node", "star"), "node", "left").select(F.coalesce("star", "node").alias("star"), "n", "prefix")
@@ -397,9 +436,9 @@ def component_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wide = met.join(several.select(F.col("star").alias("u")), "u", "left_semi").union(met.join(several.select(F.col("star").alias("v")), "v", "left_semi").select("u", "v"))
     single = met.join(several.select(F.col("star").alias("u")), "u", "left_anti").join(several.select(F.col("star").alias("v")), "v", "left_anti").select("u", "v")
     pairs = materialize(plausible(nodes, materialize(single), num, den).union(wide.distinct()))
-    answers = materialize(overlaps(plain, nodes, pairs, words))
+    answers = materialize(overlaps(plain, nodes, pairs, words, seed))
     links = materialize(stars.select("u", "v").union(answers.filter(linked(num, den)).select("u", "v")))
-    links = derived(plain, nodes, members, answers, links, words, num, den)
+    links = derived(plain, nodes, members, answers, links, words, num, den, seed)
     joint = materialize(components(links))
     # Back to documents.
     owned = nodes.select("set", "node").join(joint, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
