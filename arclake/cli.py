@@ -70,7 +70,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
         target = Path(args.target).resolve()
         layers = [loose_files(spark, s, i) for i, s in enumerate(args.sources.split("+"))]
         entries = reduce(DataFrame.unionByName, layers).withColumn("archive", F.lit(target.stem))
-        options = pack.PackOptions(args.family, not args.stored, args.share == "yes", args.split << 30 if args.split else None, tuple(m for m in args.masks.split(";") if m), args.flags, args.file_flags, leave_out=())
+        options = pack.PackOptions(args.family, not args.stored, args.share == "yes", args.split << 30 if args.split else None, tuple(m for m in args.masks.split(";") if m), args.flags, args.file_flags, leave_out=(), require_entries=True)
         done = publish.publish_parts(pack.pack(entries, options), str(target.parent), target.suffix, policy)
         return [f"{n}\t{size}" for n, size in done]
     files = archive.archives(spark, args.archive)

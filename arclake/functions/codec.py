@@ -1,7 +1,6 @@
 """Payload codecs: stored, zlib, LZ4 frames and raw LZ4 blocks, with exact consumption and exact sizes.
 
-Pure functions over bytes plus Arrow-batched column forms.  Encoded LZ4 is valid and deterministic but not as small as
-a high-compression encoder's.
+Pure functions over bytes plus Arrow-batched column forms.  LZ4 is encoded at the library's highest level.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,45 +29,32 @@ class CodecError(ValueError):
     """``codec.invalid-data``, ``codec.size-mismatch`` or ``codec.dispatch-limit``."""
 
 
-def _length(n: int) -> bytes:
-    return b"\xff" * (n // 255) + bytes([n % 255])
+#: Level of the native encoder; the highest that the block format's library knows.
+LZ4_LEVEL = 12
 
 
 def lz4_block_encode(data: bytes) -> bytes:
-    """One greedy pass over four-byte words; the search strides where nothing matches."""
-    out, seen, anchor, at, misses = bytearray(), {}, 0, 0, 0
-    stop = len(data) - MATCH_LIMIT
-    while at <= stop:
-        word = data[at : at + LEAST_MATCH]
-        back = seen.get(word)
-        seen[word] = at
-        if back is None or at - back > FARTHEST:
-            misses += 1
-            at += 1 + (misses >> 6)
-            continue
-        misses, n, most = 0, LEAST_MATCH, len(data) - LAST_LITERALS - at
-        while n < most and data[back + n] == data[at + n]:
-            n += 1
-        _sequence(out, data[anchor:at], at - back, n)
-        at += n
-        anchor = at
-    _sequence(out, data[anchor:], 0, 0)
-    return bytes(out)
+    return pa.Codec("lz4_raw", compression_level=LZ4_LEVEL).compress(data, asbytes=True) if data else b"\0"
 
 
-def _sequence(out: bytearray, literals: bytes, distance: int, match: int) -> None:
-    a, b = len(literals), match - LEAST_MATCH if distance else 0
-    out.append(min(a, 15) << 4 | min(b, 15))
-    if a >= 15:
-        out += _length(a - 15)
-    out += literals
-    if distance:
-        out += struct.pack("<H", distance)
-        if b >= 15:
-            out += _length(b - 15)
+def _native(data: bytes, kind: str, size: int) -> bytes | None:
+    """The native decoder's answer where it has exactly ``size`` bytes: they fit, and one byte less does not."""
+    codec = pa.Codec(kind)
+    try:
+        out = codec.decompress(data, size, asbytes=True)
+    except (OSError, pa.ArrowInvalid):
+        return None
+    try:
+        codec.decompress(data, size - 1)
+    except (OSError, pa.ArrowInvalid):
+        return out
+    return None
 
 
 def lz4_block_decode(data: bytes, size: int) -> bytes:
+    """Decoded by the library; a block that it refuses is walked here, which names the fault."""
+    if size > 1 and (found := _native(data, "lz4_raw", size)) is not None:
+        return found
     out, at = bytearray(), 0
     try:
         while True:
@@ -152,6 +139,7 @@ def _block_size(data: bytes) -> int:
 
 
 def lz4_frame_decode(data: bytes, size: int) -> bytes:
+    """A frame that is used up and has ``size`` bytes; its headers are walked, its blocks decoded by the library."""
     import xxhash
 
     try:
@@ -162,21 +150,26 @@ def lz4_frame_decode(data: bytes, size: int) -> bytes:
         if data[at] != xxhash.xxh32_intdigest(data[4:at]) >> 8 & 255 or flags & 1:
             raise CodecError("codec.invalid-data")
         at += 1
-        out = bytearray()
+        blocks: list[tuple[bool, bytes]] = []
         while True:
             (n,) = struct.unpack_from("<I", data, at)
             at += 4
             if n == 0:
                 break
-            stored, n = n & STORED_BLOCK, n & (STORED_BLOCK - 1)
+            stored, n = bool(n & STORED_BLOCK), n & (STORED_BLOCK - 1)
             own = data[at : at + n]
             if len(own) < n:
                 raise CodecError("codec.invalid-data")
             at += n + (4 if flags & 0x10 else 0)
+            blocks.append((stored, own))
+        at += 4 if flags & 4 else 0
+        if at == len(data) and size > 1 and (found := _native(data, "lz4", size)) is not None:
+            return found
+        out = bytearray()
+        for stored, own in blocks:
             out += own if stored else lz4_block_decode(own, _block_size(own))
             if len(out) > size:
                 raise CodecError("codec.size-mismatch")
-        at += 4 if flags & 4 else 0
     except (struct.error, IndexError):
         raise CodecError("codec.invalid-data") from None
     if at != len(data) or len(out) != size:

@@ -79,3 +79,11 @@ def chunk_plan(width: Column, height: Column, mips: Column, f: Column, cube: Col
         return F.struct(before.alias("offset"), F.when(last, payload - before).otherwise(F.element_at(sizes, i + 1)).alias("size"), i.alias("start_mip"), F.when(last, mips.cast("int") - 1).otherwise(i).alias("end_mip"))
 
     return F.transform(F.sequence(F.lit(0), n - 1), one)
+
+
+def chunks_of(sizes: list[int], payload: int, side: int, cube: bool) -> list[tuple[int, int, int, int]]:
+    """``chunk_plan`` of one texture from its level sizes and shorter side, in plain Python."""
+    alone = [] if cube else [i for i in range(min(len(sizes), MOST_CHUNKS) - 1) if side >> i >= SPLIT_SIDE]
+    edges = [sum(sizes[:i]) for i in range(len(alone) + 1)]
+    lasts = [*alone, len(sizes) - 1]
+    return [(at, to - at, i, last) for i, (at, to, last) in enumerate(zip(edges, [*edges[1:], payload], lasts, strict=True))]

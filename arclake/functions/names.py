@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,6 +20,8 @@ ROOTS = ("meshes", "textures", "materials", "geometries", "sound\\voice", "sound
 EXTENSIONS = (".nif .kf .kfm .egm .egt .tri .psa .hkt .hkx .ssf .btr .bto .btt .dtl", ".dds .tga .png", ".bgsm .bgem", ".mesh", ".lip .wav .xwm .mp3 .ogg .fuz", ".wav .xwm .ogg", ".xwm .mp3", ".psc", ".psc", ".pex .psc", ".strings .ilstrings .dlstrings", ".spt", ".bik .bk2", ".lodsettings .dlodsettings .lod", ".cmp .lod", ".swf .png .txt", ".swf", ".xml .htm .txt .scc .bat", ".fnt .tex", ".ctl", ".dat", ".sdp", ".fxp", ".gid", ".uvd", ".seq", ".xml", ".dds .tga", ".dds .tga", ".dds .tga")
 CONTRIBUTIONS = (1, 2, 256, 256, 16, 8, 256, 256, 256, 256, 256, 64, 256, 257, 257, 256, 256, 32, 128, 256, 256, 256, 256, 256, 256, 256, 256, 256, 256, 256, 256)
 RESERVED = r"(?:CON|PRN|AUX|NUL|COM[1-9¹²³]|LPT[1-9¹²³])"
+#: Folders of made-up names, for entries whose own names are absent or unreadable; parameters of this library.
+SYNTHETIC_HASH, SYNTHETIC_WIRE = "__arclake_hash__", "__arclake_wire__"
 UNSUPPORTED_TES3_ROOTS = ("sound", "music", "video", "fonts", "splash")
 EXTENSION_BITS = ((".kf", 0x80), (".nif", 0x8000), (".dds", 0x8080), (".wav", 0x80000000))
 FOLD = 65599
@@ -80,6 +82,14 @@ def is_windows_invalid(name: Column) -> Column:
     return F.exists(segments(name), lambda s: s.rlike(pattern))
 
 
+_REFUSED = re.compile(rf"""[\x01-\x1f"*<>?|]|\A(?i:{RESERVED})(?:\.|\Z)""")
+
+
+def refused_by_windows(segment: str) -> bool:
+    """``is_windows_invalid`` of one segment, in plain Python."""
+    return bool(_REFUSED.search(segment))
+
+
 def basename(name: Column) -> Column:
     return F.substring_index(separators(name), "\\", -1)
 
@@ -130,11 +140,20 @@ def tes3_hash(name: Column) -> Column:
     return _shl(high, F.lit(32)).bitwiseOR(low)
 
 
-def bsa_hash(component: Column, is_basename: bool) -> Column:
-    """Versioned hash of a canonical folder or basename: end points and length below, folded middle and extension above."""
-    dot = F.char_length(component) - F.char_length(F.substring_index(component, ".", -1)) - 1
-    n = F.when(F.lit(is_basename) & component.contains("."), dot).otherwise(F.char_length(component))
-    stem, ext = F.substring(component, F.lit(1), n), F.substring(component, n + 1, F.lit(1 << 30))
+def stem_and_extension(base: Column) -> tuple[Column, Column]:
+    """A basename cut before its last dot; the extension keeps the dot and is empty without one."""
+    dotted = base.contains(".")
+    n = F.when(dotted, F.char_length(base) - F.char_length(F.substring_index(base, ".", -1)) - 1).otherwise(F.char_length(base))
+    return F.substring(base, F.lit(1), n), F.substring(base, n + 1, F.lit(1 << 30))
+
+
+def bsa_hash_of(stem: Column, ext: Column) -> Column:
+    """Versioned hash of a folder (no extension) or of the two parts of a basename: end points and length below, folded
+    middle and extension above.
+
+    The parts are used several times: give them as columns of their own where many names are hashed.
+    """
+    n = F.char_length(stem)
     code = lambda i: F.ascii(F.substring(stem, i, F.lit(1))).cast("long")
     low = code(n).bitwiseOR(_shl(n.cast("long").bitwiseAND(F.lit(255)), F.lit(16))).bitwiseOR(_shl(code(F.lit(1)), F.lit(24)))
     low = low.bitwiseOR(F.when(n > 2, _shl(code(n - 1), F.lit(8))).otherwise(F.lit(0).cast("long")))
@@ -146,6 +165,14 @@ def bsa_hash(component: Column, is_basename: bool) -> Column:
     return F.when(n == 0, F.lit(0).cast("long")).otherwise(_shl(high, F.lit(32)).bitwiseOR(low.bitwiseOR(bits)))
 
 
+def with_bsa_hash(rows: DataFrame, out: str, component: Column, is_basename: bool) -> DataFrame:
+    """Adds the hash of a folder or basename, by projections that each use short expressions."""
+    rows = rows.withColumn("__component", component)
+    stem, ext = stem_and_extension(F.col("__component")) if is_basename else (F.col("__component"), F.lit(""))
+    rows = rows.withColumns({"__stem": stem, "__ext": ext})
+    return rows.withColumn(out, bsa_hash_of(F.col("__stem"), F.col("__ext"))).drop("__component", "__stem", "__ext")
+
+
 def ba2_hash(text: Column) -> Column:
     """CRC-32 that starts at zero and is not inverted: the checksums of a text and of as many zero bytes differ by it."""
     data = text.cast("binary")
@@ -172,15 +199,15 @@ def _hex(x: Column, digits: int) -> Column:
 
 
 def synthetic_bsa_name(folder: Column, folder_hash: Column, ordinal: Column, name_hash: Column) -> Column:
-    return F.concat(F.lit("__jbsa_hash__\\f"), _hex(folder, 8), F.lit("-"), _hex(folder_hash, 16), F.lit("\\e"), _hex(ordinal, 8), F.lit("-"), _hex(name_hash, 16))
+    return F.concat(F.lit(f"{SYNTHETIC_HASH}\\f"), _hex(folder, 8), F.lit("-"), _hex(folder_hash, 16), F.lit("\\e"), _hex(ordinal, 8), F.lit("-"), _hex(name_hash, 16))
 
 
 def synthetic_ba2_name(dir_hash: Column, ordinal: Column, base_hash: Column, extension: Column) -> Column:
-    return F.concat(F.lit("__jbsa_hash__\\d"), _hex(dir_hash, 8), F.lit("\\e"), _hex(ordinal, 8), F.lit("-"), _hex(base_hash, 8), F.lit("-x"), F.lower(F.hex(extension)))
+    return F.concat(F.lit(f"{SYNTHETIC_HASH}\\d"), _hex(dir_hash, 8), F.lit("\\e"), _hex(ordinal, 8), F.lit("-"), _hex(base_hash, 8), F.lit("-x"), F.lower(F.hex(extension)))
 
 
 def synthetic_wire_name(ordinal: Column) -> Column:
-    return F.concat(F.lit("__jbsa_wire__\\e"), _hex(ordinal, 8))
+    return F.concat(F.lit(f"{SYNTHETIC_WIRE}\\e"), _hex(ordinal, 8))
 
 
 def asset_class(key: Column) -> Column:

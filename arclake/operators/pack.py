@@ -1,7 +1,7 @@
 """Packing as one plan: overlay, masks, order, codec, sharing, parts, assembly; and its inverse, extraction.
 
-Names, hashes, order, sharing and parts are DataFrame work; payloads are encoded in Arrow batches, each distinct
-payload once; an archive part is assembled from its rows, whose size the split target bounds.
+Names, hashes, order, sharing and parts are planned without payloads; payloads are fetched and encoded in Arrow batches,
+each distinct one once; an archive part is assembled from its rows, whose size the split target bounds.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from arclake.functions import codec as codecs
 from arclake.functions import names
-from arclake.operators import validate
+from arclake.operators import staging
 from arclake.plans import packing
 from arclake.functions.texture import analyze, canonical_header, widen_bgr24
 from arclake.sources.wire import WRITERS, Item, Texture, build, build_textures
@@ -41,6 +41,8 @@ class PackOptions:
     max_decoded: int | None = None
     #: Entries left out instead of rejected; an empty tuple rejects every request the reference rejects.
     leave_out: tuple[str, ...] = ("unsafe", "non-dds")
+    #: Whether a request without entries is rejected; a query over an empty table has no archives instead.
+    require_entries: bool = False
 
 
 def check_options(options: PackOptions) -> None:
@@ -58,32 +60,43 @@ def check_options(options: PackOptions) -> None:
 
 
 def admit(entries: DataFrame, options: PackOptions) -> DataFrame:
-    """Overlaid entries (archive, identity, payload, position), or the first rejection in the reference's order.
+    """The winning row of each identity, without payloads: archive, identity, seq, position, size, print, as a table.
 
-    Names that cannot be encoded, masked or overlaid ones too; then name rules and limits in plan order; then
-    overrides that match nothing; then decoded bytes.  The checks read names and sizes, never shuffled payloads.
+    Or the first rejection in the reference's order: names that cannot be encoded, masked or overlaid ones too; then name
+    rules and limits in plan order; then overrides that match nothing; then decoded bytes.  One pass reads names, sizes
+    and prints; no payload is shuffled.
     """
     layout, version, _ = WRITERS[options.family]
-    named = entries.withColumn("identity", names.identity(F.col("name"))).withColumn("payload", F.col("payload").cast("binary"))
+    n = F.col("name")
+    encodable = names.is_ascii(n) if layout in ("tes3", "bsa") else names.is_ansi(n)
+    payload = F.col("payload").cast("binary")
+    rows = entries.select("archive", "name", names.identity(n).alias("identity"), F.coalesce(encodable, F.lit(False)).alias("encodable"), "seq", F.octet_length(payload).cast("long").alias("size"), packing.content_print(payload).alias("print"))
     if "unsafe" in options.leave_out:
-        named = named.filter(F.col("identity").isNotNull())
-    encodable = names.is_ascii(F.col("name")) if layout in ("tes3", "bsa") else names.is_ansi(F.col("name"))
-    if not named.filter(F.col("identity").isNull() | ~encodable).isEmpty():
-        raise PackError("pack.invalid-encode-name")
-    named = packing.keep_masks(named, list(options.masks))
+        rows = rows.filter(F.col("identity").isNotNull())
+    rows = rows.withColumn("bad", F.col("identity").isNull() | ~F.col("encodable"))
+    kept = F.col("bad") | names.matches_masks(n, list(options.masks))
     if layout == "dds" and "non-dds" in options.leave_out:
-        named = named.filter(F.col("identity").endswith(".dds"))
-    named = named.withColumn("key", F.concat_ws("\x00", "archive", "identity"))
-    sizes = packing.overlay(named.select("key", "archive", "identity", F.octet_length("payload").cast("long").alias("size"), "seq"), "key", "seq")
-    embedded = layout == "bsa" and version != 0x67 and bool((options.archive_flags or 0) & 0x100)
-    first = sizes.withColumn("fault", name_fault(layout, embedded)).filter("fault is not null").agg(F.min(F.struct("archive", "position", "identity", "fault")).alias("first")).first()["first"]
+        kept &= F.col("bad") | F.col("identity").endswith(".dds")
+    key = F.concat_ws("\x00", "archive", "identity")
+    rows = staging.stage(packing.overlay(rows.filter(kept).select(F.when(~F.col("bad"), key).alias("key"), "archive", "identity", "bad", "size", "print", "seq", F.col("seq").alias("winner")), "key", "seq").drop("key"))
+    embedded = embeds_names(options)
+    fault = F.when(F.col("bad"), "pack.invalid-encode-name").otherwise(name_fault(layout, embedded))
+    order = F.struct(~F.col("bad"), "archive", "position", "identity", fault.alias("fault"))
+    first = rows.filter(fault.isNotNull()).agg(F.min(order).alias("first")).first()["first"]
     if first is not None:
         raise PackError(first["fault"])
-    if options.overrides is not None and not packing.unmatched_overrides(sizes, options.overrides).isEmpty():
+    if options.require_entries and rows.isEmpty():
+        raise PackError(f"{'ba2' if layout == 'dds' else layout}.empty-entry-set")
+    if options.overrides is not None and not packing.unmatched_overrides(rows, options.overrides).isEmpty():
         raise PackError("pack.unmatched-entry-compression")
     if layout != "dds":
-        check_decoded(sizes.withColumnRenamed("position", "ordinal"), options, "size")
-    return packing.overlay(named.select("key", "archive", "identity", "payload", "seq"), "key", "seq").drop("key")
+        check_decoded(rows.withColumnRenamed("position", "ordinal"), options, "size")
+    return rows.select("archive", "identity", F.col("winner").alias("seq"), "position", "size", "print")
+
+
+def embeds_names(options: PackOptions) -> bool:
+    layout, version, _ = WRITERS[options.family]
+    return layout == "bsa" and version != 0x67 and bool((options.archive_flags or 0) & 0x100)
 
 
 def name_fault(layout: str, embedded: bool) -> Column:
@@ -104,8 +117,18 @@ def check_decoded(rows: DataFrame, options: PackOptions, size: str) -> None:
         raise PackError("operation.resource-limit")
 
 
+def payloads_of(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The payloads of chosen rows; the one place where payloads are shuffled before they are encoded."""
+    sources = entries.select("archive", names.identity(F.col("name")).alias("identity"), "seq", F.col("payload").cast("binary").alias("payload"))
+    return sources.join(wanted, ["archive", "identity", "seq"])
+
+
 def plan_entries(entries: DataFrame, options: PackOptions) -> DataFrame:
-    """archive, name, payload, seq -> ordered entries with identity, codec, owner and part."""
+    """archive, name, payload, seq -> ordered entries with identity, codec, owner, part, and the stored bytes of owners.
+
+    Payloads are compared as they will be stored: with embedded names a payload's frame holds its own name, so nothing is
+    shared.  In BA2 an entry whose owner is in its part already adds no payload to it.
+    """
     layout, version, packed = WRITERS[options.family]
     rows = admit(entries, options)
     default = F.lit(packed if options.compress else "stored")
@@ -113,14 +136,30 @@ def plan_entries(entries: DataFrame, options: PackOptions) -> DataFrame:
         rows = packing.with_overrides(rows, options.overrides, default, value="compression").withColumn("codec", F.when(F.col("compression") == "stored", "stored").otherwise(packed)).drop("compression")
     else:
         rows = rows.withColumn("codec", default)
-    rows = packing.ordinals(rows, packing.order_columns(layout), ["archive"], packing.coarse_columns(layout))
-    scope = ["archive", "codec"]
-    shared = packing.share(rows, scope) if options.share else rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("owner", F.col("ordinal"))
-    owners = shared.filter("owner = ordinal").select("archive", "owner", codecs.encode_column(F.col("payload"), F.col("codec")).alias("stored"))
-    stored = shared.select("archive", "identity", "ordinal", "owner", "codec", "size").join(owners, ["archive", "owner"]).withColumn("stored_size", F.octet_length("stored").cast("long"))
+    rows = packing.in_archive_order(rows, layout, ["archive"])
+    if options.share and not embeds_names(options):
+        rows = packing.share_by_print(rows, ["archive", "codec"])
+    else:
+        rows = rows.withColumn("owner", F.col("ordinal"))
+    rows = staging.stage(rows.select("archive", "identity", "seq", "ordinal", "owner", "codec", "size"))
+    owners = payloads_of(entries, rows.filter("owner = ordinal").select("archive", "identity", "seq", "owner", "codec"))
+    stored = staging.stage(owners.select("archive", "owner", codecs.encode_column(F.col("payload"), F.col("codec")).alias("stored")))
+    rows = rows.join(stored.select("archive", "owner", F.octet_length("stored").cast("long").alias("stored_size")), ["archive", "owner"])
     target = packing.SPLIT_TARGETS[layout] if options.split is None else options.split
-    cost = packing.entry_cost(F.col("size") if layout == "tes3" else F.col("stored_size"), F.octet_length("identity"))
-    return packing.split_parts(stored, target, cost, ["archive"])
+    name_bytes = F.octet_length("identity")
+    if layout in ("ba2", "dds"):
+        parts = packing.split_parts(rows, target, packing.entry_cost(F.lit(0), name_bytes), ["archive"], shared=F.col("stored_size"))
+    else:
+        parts = packing.split_parts(rows, target, packing.entry_cost(F.col("size") if layout == "tes3" else framed_size(options), name_bytes), ["archive"])
+    # Of the rows of a part that share an owner, the first carries its bytes.
+    carriers = parts.groupBy("archive", "part", "owner").agg(F.min("ordinal").alias("ordinal")).join(stored, ["archive", "owner"]).select("archive", "part", "ordinal", "stored")
+    return parts.join(carriers, ["archive", "part", "ordinal"], "left")
+
+
+def framed_size(options: PackOptions) -> Column:
+    """Stored bytes of a versioned entry with what stands before them: an embedded name, the decoded size."""
+    name = F.octet_length("identity") + 1 if embeds_names(options) else F.lit(0)
+    return F.col("stored_size") + name + F.when(F.col("codec") != "stored", 4).otherwise(0)
 
 
 def pack(entries: DataFrame, options: PackOptions) -> DataFrame:
@@ -131,20 +170,23 @@ def pack(entries: DataFrame, options: PackOptions) -> DataFrame:
         return pack_textures(entries, options)
     planned = plan_entries(entries, options)
     if layout == "bsa":
-        flags = packing.archive_flags(planned, version, ["archive", "part"], F.col("codec") != "stored")
+        flags = packing.archive_flags(planned.drop("stored"), version, ["archive", "part"], F.col("codec") != "stored")
         for name in ("archive_flags", "file_flags"):
             if (given := getattr(options, name)) is not None:
                 flags = flags.withColumn(name, F.lit(given).cast("long"))
+        planned = planned.join(flags, ["archive", "part"])
     else:
-        flags = planned.select("archive", "part").distinct().withColumns({"archive_flags": F.lit(0).cast("long"), "file_flags": F.lit(0).cast("long")})
-    rows = planned.join(flags, ["archive", "part"]).select("archive", "part", "identity", "ordinal", "owner", "stored", "codec", "size", "archive_flags", "file_flags")
+        planned = planned.withColumns({"archive_flags": F.lit(0).cast("long"), "file_flags": F.lit(0).cast("long")})
+    rows = planned.select("archive", "part", "identity", "ordinal", "owner", "stored", "codec", "size", "archive_flags", "file_flags")
     family = options.family
 
     def assemble(part: pa.Table) -> pa.Table:
-        own = sorted(part.to_pylist(), key=lambda r: r["ordinal"])
-        items = [Item(r["identity"].encode("ascii"), r["ordinal"], r["owner"], r["stored"], r["codec"], r["size"]) for r in own]
-        data = build(family, items, own[0]["archive_flags"], own[0]["file_flags"])
-        return pa.table({"archive": [own[0]["archive"]], "part": pa.array([own[0]["part"]], pa.int32()), "entries": pa.array([len(own)], pa.int64()), "content": pa.array([data], pa.binary())})
+        part = part.sort_by("ordinal")
+        columns = (part.column(c).to_pylist() for c in ("identity", "ordinal", "owner", "stored", "codec", "size"))
+        items = [Item(name.encode("ascii"), *rest) for name, *rest in zip(*columns, strict=True)]
+        first = part.slice(0, 1).to_pylist()[0]
+        data = build(family, items, first["archive_flags"], first["file_flags"])
+        return pa.table({"archive": [first["archive"]], "part": pa.array([first["part"]], pa.int32()), "entries": pa.array([len(items)], pa.int64()), "content": pa.array([data], pa.binary())})
 
     return rows.groupBy("archive", "part").applyInArrow(assemble, PARTS)
 
@@ -179,9 +221,9 @@ def _textures(packed: str):
 def pack_textures(entries: DataFrame, options: PackOptions) -> DataFrame:
     """Texture archives: every chunk is compressed and equal chunks are stored once; same result columns as ``pack``."""
     _, _, packed = WRITERS[options.family]
-    rows = admit(entries, options)
-    rows = packing.ordinals(rows, packing.order_columns("ba2"), ["archive"], packing.coarse_columns("ba2"))
-    encoded = rows.select("archive", "identity", "ordinal", "payload").mapInArrow(_textures(packed), TEXTURES)
+    rows = packing.in_archive_order(admit(entries, options), "ba2", ["archive"])
+    wanted = payloads_of(entries, rows.select("archive", "identity", "seq", "ordinal"))
+    encoded = staging.stage(wanted.select("archive", "identity", "ordinal", "payload").mapInArrow(_textures(packed), TEXTURES))
     check_decoded(encoded, options, "decoded_size")
     target = packing.SPLIT_TARGETS["ba2"] if options.split is None else options.split
     parts = packing.split_parts(encoded, target, packing.entry_cost(F.col("stored_size"), F.octet_length("identity")), ["archive"])
@@ -193,7 +235,3 @@ def pack_textures(entries: DataFrame, options: PackOptions) -> DataFrame:
         return pa.table({"archive": [own[0]["archive"]], "part": pa.array([own[0]["part"]], pa.int32()), "entries": pa.array([len(own)], pa.int64()), "content": pa.array([build_textures(family, items)], pa.binary())})
 
     return parts.select("archive", "part", "identity", "ordinal", "texture", "chunks").groupBy("archive", "part").applyInArrow(assemble, PARTS)
-
-
-def check_duplicates(entries: DataFrame) -> DataFrame:
-    return validate.duplicates(entries, ["archive"])

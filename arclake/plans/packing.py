@@ -6,6 +6,7 @@ only on explicit order columns.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,27 +45,27 @@ def unknown_ordinals(entries: DataFrame, wanted: DataFrame, ordinal: str = "ordi
     return wanted.join(entries, ordinal, "left_anti")
 
 
-def order_columns(family: str, hashes: dict[str, Column] | None = None, identity: str = "identity") -> list[Column]:
-    """Archive order: by hash halves for the oldest family, by folder and name hashes for the versioned ones, as planned else."""
-    key = F.col(identity)
-    if family == "tes3":
-        h = names.tes3_hash(key)
-        return [h.bitwiseAND(F.lit(names.MASK32)), F.call_function("shiftrightunsigned", h, F.lit(32)), key.cast("binary")]
-    if family == "bsa":
-        folder, base = names.dirname(key), names.basename(key)
-        return [names.unsigned(names.bsa_hash(folder, False)), folder.cast("binary"), names.unsigned(names.bsa_hash(base, True)), base.cast("binary")]
-    return [F.col("position")]
+def in_archive_order(entries: DataFrame, family: str, by: list[str] | None = None, identity: str = "identity", ties: list[str] | None = None) -> DataFrame:
+    """Adds the archive ordinal from 0: by hash halves for the oldest family, by folder and name hashes for the versioned
+    ones, as planned (``position``) else.
 
-
-def coarse_columns(family: str, identity: str = "identity") -> list[Column]:
-    """A coarser key that sorts as the archive order does: leading bits of the hash, folders cut by leading bits, or runs of positions."""
-    key = F.col(identity)
+    Names are cut and hashed once, into columns of their own, before anything sorts by them.  Coarse keys that sort as
+    the archive does (leading bits of a hash, or runs of positions) keep a whole archive out of one task.
+    """
+    key, last = F.col(identity), [F.col(c) for c in ties or []]
     if family == "tes3":
-        return [F.call_function("shiftrightunsigned", names.tes3_hash(key).bitwiseAND(F.lit(names.MASK32)), F.lit(20))]
-    if family == "bsa":
-        folder, base = names.dirname(key), names.basename(key)
-        return [names.unsigned(names.bsa_hash(folder, False)), folder.cast("binary"), F.call_function("shiftrightunsigned", names.bsa_hash(base, True), F.lit(56))]
-    return [F.call_function("shiftright", F.col("position"), F.lit(16))]
+        rows = entries.withColumn("__hash", names.tes3_hash(key))
+        low = F.col("__hash").bitwiseAND(F.lit(names.MASK32))
+        order, coarse = [low, F.call_function("shiftrightunsigned", "__hash", F.lit(32)), key.cast("binary")], [F.call_function("shiftrightunsigned", low, F.lit(20))]
+    elif family == "bsa":
+        rows = entries.withColumns({"__folder": names.dirname(key), "__base": names.basename(key)})
+        rows = names.with_bsa_hash(rows, "__folder_hash", F.col("__folder"), False)
+        rows = names.with_bsa_hash(rows, "__base_hash", F.col("__base"), True)
+        folder = [names.unsigned(F.col("__folder_hash")), F.col("__folder").cast("binary")]
+        order, coarse = [*folder, names.unsigned(F.col("__base_hash")), F.col("__base").cast("binary")], [*folder, F.call_function("shiftrightunsigned", "__base_hash", F.lit(56))]
+    else:
+        rows, order, coarse = entries, [F.col("position")], [F.call_function("shiftright", "position", F.lit(16))]
+    return ordinals(rows, [*order, *last], by, coarse).drop("__hash", "__folder", "__base", "__folder_hash", "__base_hash")
 
 
 def ordinals(entries: DataFrame, order: list[Column], by: list[str] | None = None, coarse: list[Column] | None = None) -> DataFrame:
@@ -85,44 +86,57 @@ def ordinals(entries: DataFrame, order: list[Column], by: list[str] | None = Non
     return joined.withColumn("ordinal", (F.col("__first") + F.col("__row")).cast("long")).drop("__first", "__row", *cuts)
 
 
-def share(entries: DataFrame, scope: list[str], payload: str = "payload") -> DataFrame:
-    """Owner (first ordinal) of equal payloads in a scope, and whether a row is its own owner.
+def content_print(payload: Column) -> Column:
+    return F.sha2(payload.cast("binary"), 256)
+
+
+def share_by_print(entries: DataFrame, scope: list[str]) -> DataFrame:
+    """Owner (first ordinal) of equal payloads in a scope, from their ``size`` and SHA-256 (``print``) alone.
 
-    Equality is by size, SHA-256 and the bytes themselves; owners come from an aggregate, so a payload that very many
-    entries share is combined before it is shuffled.
+    No payload is shuffled; owners come from an aggregate, so a payload that very many entries share is combined first.
     """
-    print_ = F.sha2(F.col(payload).cast("binary"), 256)
-    keyed = entries.withColumn("size", F.octet_length(payload).cast("long")).withColumn("print", print_)
-    owners = keyed.groupBy(*scope, "size", "print", payload).agg(F.min("ordinal").alias("owner"))
-    keys = [*scope, "size", "print", payload]
-    return keyed.join(owners, keys).withColumn("owned", F.col("owner") == F.col("ordinal"))
+    keys = [*scope, "size", "print"]
+    owners = entries.groupBy(*keys).agg(F.min("ordinal").alias("owner"))
+    return entries.join(owners, keys).withColumn("owned", F.col("owner") == F.col("ordinal"))
+
+
+def share(entries: DataFrame, scope: list[str], payload: str = "payload") -> DataFrame:
+    """The entries without their payloads: size, print, owner, and whether a row is its own owner."""
+    rows = entries.withColumn("size", F.octet_length(payload).cast("long")).withColumn("print", content_print(F.col(payload)))
+    return share_by_print(rows.drop(payload), scope)
 
 
 def entry_cost(payload_size: Column, name_bytes: Column) -> Column:
     return payload_size + ENTRY_OVERHEAD + name_bytes
 
 
-def split_parts(entries: DataFrame, target: int, cost: Column, by: list[str] | None = None) -> DataFrame:
+def split_parts(entries: DataFrame, target: int, cost: Column, by: list[str] | None = None, shared: Column | None = None) -> DataFrame:
     """Greedy parts: a part closes when the next cost would pass the target.
 
-    The assignment is a fold, so the costs of one archive (two numbers an entry) are folded in order; the entries
-    themselves never meet.  A target of 0 keeps one part.
+    ``shared`` is what an entry adds only where its part does not hold its ``owner`` yet.  The assignment is a fold over
+    one archive in order, so that only four numbers an entry meet in a task, never the entries.  A target of 0 keeps one
+    part.
     """
     by = by or []
-    costed = entries.withColumn("cost", cost.cast("long"))
+    costed = entries.withColumn("cost", (cost if shared is None else cost + shared).cast("long"))
     if not target:
         return costed.withColumn("part", F.lit(0))
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "cost")))
-    start = F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<ordinal:bigint,part:int>>").alias("out"))
-
-    def step(state: Column, e: Column) -> Column:
-        closes = (state["used"] > 0) & (e["cost"] > F.lit(target) - state["used"])
-        part = F.when(closes, state["part"] + 1).otherwise(state["part"])
-        used = F.when(closes, e["cost"]).otherwise(state["used"] + e["cost"])
-        return F.struct(part.alias("part"), used.alias("used"), F.concat(state["out"], F.array(F.struct(e["ordinal"].alias("ordinal"), part.alias("part")))).alias("out"))
-
-    folded = costed.groupBy(*by).agg(F.aggregate(ordered, start, step, lambda s: s["out"]).alias("out"))
-    parts = folded.select(*by, F.explode("out").alias("o")).select(*by, "o.ordinal", "o.part")
+    own = costed.select(*by, "ordinal", (F.lit(None) if shared is None else F.col("owner")).cast("long").alias("owner"), cost.cast("long").alias("alone"), "cost")
+    kinds = ", ".join(f"`{c}` {entries.schema[c].dataType.simpleString()}" for c in by)
+
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("ordinal")
+        parts, part, used, held = [], 0, 0, set()
+        for owner, alone, full in zip(*(rows.column(c).to_pylist() for c in ("owner", "alone", "cost")), strict=True):
+            n = alone if owner is not None and owner in held else full
+            if used and n > target - used:
+                part, used, held, n = part + 1, 0, set(), full
+            used += n
+            held.add(owner)
+            parts.append(part)
+        return rows.select([*by, "ordinal"]).append_column("part", pa.array(parts, pa.int32()))
+
+    parts = own.groupBy(*by).applyInArrow(fold, f"{kinds}{', ' * bool(by)}ordinal long, part int")
     return costed.join(parts, [*by, "ordinal"])
 
 
@@ -164,10 +178,17 @@ def archive_flags(entries: DataFrame, version: int, by: list[str], compressed: C
 
 
 def decoded_limit(entries: DataFrame, most: int, size: str = "size", by: list[str] | None = None) -> DataFrame:
-    """First entry in plan order at which the decoded bytes pass the ceiling; with ``by`` a row for each group that passes it."""
-    by = by or []
-    running = F.sum(size).over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("ordinal"))
-    return entries.withColumn("decoded", running).filter(F.col("decoded") > most).groupBy(*by).agg(F.min("ordinal").alias("ordinal"), F.min("decoded").alias("decoded"))
+    """First entry in plan order at which the decoded bytes pass the ceiling; with ``by`` a row for each group that passes it.
+
+    Runs of ordinals are summed first, and only the run in which the ceiling is passed is looked at row by row.
+    """
+    by, run = by or [], F.call_function("shiftright", F.col("ordinal").cast("long"), F.lit(16)).alias("__run")
+    runs = entries.groupBy(*by, run).agg(F.sum(size).alias("__n"))
+    total = F.sum("__n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("__run"))
+    first = runs.withColumn("__to", total).filter(F.col("__to") > most).groupBy(*by).agg(F.min(F.struct("__run", (F.col("__to") - F.col("__n")).alias("__before"))).alias("__first")).select(*by, "__first.*").filter("__run is not null")
+    inside = entries.withColumn("__run", run).join(first, [*by, "__run"])
+    running = F.col("__before") + F.sum(size).over(Window.partitionBy(*by, "__run").orderBy("ordinal"))
+    return inside.withColumn("decoded", running).filter(F.col("decoded") > most).groupBy(*by).agg(F.min("ordinal").alias("ordinal"), F.min("decoded").alias("decoded")).filter("ordinal is not null")
 
 
 def wire_limits(layout: str, embedded: bool = False, identity: str = "identity") -> Column:

@@ -126,12 +126,12 @@ _EXT = r"CASE WHEN contains(base, '.') THEN regexp_extract(base, '\.[^.]*$') ELS
 
 @query(_BSA_SQL.format(alias="name_hash", stem=_STEM, ext=_EXT))
 def hash_bsa_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return named(spark, sf_dir).select("doc_id", names.bsa_hash(names.basename(F.col("identity")), True).alias("name_hash"))
+    return names.with_bsa_hash(named(spark, sf_dir), "name_hash", names.basename(F.col("identity")), True).select("doc_id", "name_hash")
 
 
 @query(_BSA_SQL.format(alias="folder_hash", stem="dir", ext="''"))
 def hash_bsa_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return named(spark, sf_dir).select("doc_id", names.bsa_hash(names.dirname(F.col("identity")), False).alias("folder_hash"))
+    return names.with_bsa_hash(named(spark, sf_dir), "folder_hash", names.dirname(F.col("identity")), False).select("doc_id", "folder_hash")
 
 
 def _crc_sql(t: str) -> str:
@@ -148,7 +148,7 @@ def hash_ba2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT doc_id, row_number() OVER (ORDER BY h % 4294967296, h // 4294967296, identity) - 1 AS ordinal FROM (
   SELECT k.doc_id, identity, CAST(CASE WHEN hash < 0 THEN hash + CAST(18446744073709551616 AS HUGEINT) ELSE hash END AS HUGEINT) AS h FROM k JOIN ({ORACLE_SQL["hash_tes3"].removeprefix(E_SQL)}) t USING (doc_id) WHERE identity IS NOT NULL)""")
 def order_tes3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.ordinals(named(spark, sf_dir).select("doc_id", "identity"), [*packing.order_columns("tes3"), F.col("doc_id")], coarse=packing.coarse_columns("tes3")).select("doc_id", "ordinal")
+    return packing.in_archive_order(named(spark, sf_dir).select("doc_id", "identity"), "tes3", ties=["doc_id"]).select("doc_id", "ordinal")
 
 
 _UNSIGNED = "CASE WHEN {0} < 0 THEN {0} + CAST(18446744073709551616 AS HUGEINT) ELSE CAST({0} AS HUGEINT) END"
@@ -157,7 +157,7 @@ _UNSIGNED = "CASE WHEN {0} < 0 THEN {0} + CAST(18446744073709551616 AS HUGEINT)
 @query(f"""SELECT doc_id, row_number() OVER (ORDER BY {_UNSIGNED.format("folder_hash")}, dir, {_UNSIGNED.format("name_hash")}, base, doc_id) - 1 AS ordinal FROM b
   JOIN ({ORACLE_SQL["hash_bsa_folder"].removeprefix(E_SQL)}) USING (doc_id) JOIN ({ORACLE_SQL["hash_bsa_name"].removeprefix(E_SQL)}) USING (doc_id)""")
 def order_bsa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.ordinals(named(spark, sf_dir).select("doc_id", "identity"), [*packing.order_columns("bsa"), F.col("doc_id")], coarse=packing.coarse_columns("bsa")).select("doc_id", "ordinal")
+    return packing.in_archive_order(named(spark, sf_dir).select("doc_id", "identity"), "bsa", ties=["doc_id"]).select("doc_id", "ordinal")
 
 
 @query(f"""SELECT source, CAST(3 | CASE WHEN bool_or(size > 4096) THEN 4 ELSE 0 END | CASE WHEN bit_or(bits) & 1 = 1 THEN 128 ELSE 0 END | CASE WHEN bool_or(cls IN (5, 9)) THEN 16 ELSE 0 END AS BIGINT) AS archive_flags,

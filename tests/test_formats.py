@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from arclake.functions import codec, texture
 from arclake.operators import pack
-from arclake.sources import archive, wire
+from arclake.sources import archive, scan, wire
 
 
 @given(st.binary(max_size=3000), st.sampled_from(codec.CODECS))
@@ -49,7 +49,7 @@ def test_build_and_walk(family, compress):
     if layout == "bsa":
         own.sort(key=lambda i: (wire.bsa_hash(i.name.rpartition(b"\\")[0], False, version) & (1 << 64) - 1, wire.bsa_hash(i.name.rpartition(b"\\")[2], True, version) & (1 << 64) - 1))
     data = wire.build(family, own, 3 | (4 if compress and kind != "stored" else 0))
-    w = wire.walk(data)
+    w = scan.walk(data)
     assert w.diagnostics == [] and w.found.family == family.removesuffix("_V3")
     got = {e["identity"]: archive.read_entry(w, e) for e in w.entries}
     assert got == {i.name.decode(): payloads[i.ordinal] for i in own}
@@ -61,9 +61,9 @@ def test_build_and_walk(family, compress):
 def test_truncation_is_rejected_not_raised(family):
     own, _ = items("stored")
     data = wire.build(family, own)
-    whole = wire.walk(data)
+    whole = scan.walk(data)
     for n in range(len(data)):
-        w = wire.walk(data[:n])
+        w = scan.walk(data[:n])
         ids = {d["id"] for d in w.diagnostics if d["severity"] == "ERROR"}
         assert ids or {d["id"] for d in w.diagnostics} >= {"ba2.missing-name-table"} or len(w.entries) == len(whole.entries)
 
@@ -73,15 +73,15 @@ def test_structural_faults_and_warnings():
     data = bytearray(wire.build("FO4_GENERAL_BA2", own))
     struct.pack_into("<I", data, 24 + 32, 1)
     struct.pack_into("<I", data, 24, 7)
-    ids = [d["id"] for d in wire.walk(bytes(data) + b"xx").diagnostics]
+    ids = [d["id"] for d in scan.walk(bytes(data) + b"xx").diagnostics]
     assert ids == ["ba2.basename-hash-mismatch", "gnrl.sentinel-mismatch", "ba2.trailing-data"]
     data[24 + 13] = 2
-    assert wire.walk(bytes(data)).diagnostics[-1]["id"] == "gnrl.invalid-chunk-count"
+    assert scan.walk(bytes(data)).diagnostics[-1]["id"] == "gnrl.invalid-chunk-count"
     twice = [i._replace(name=b"meshes\\a.nif") for i in own]
-    assert wire.walk(wire.build("TES3_BSA", twice)).diagnostics[-1]["id"] == "tes3.duplicate-name"
+    assert scan.walk(wire.build("TES3_BSA", twice)).diagnostics[-1]["id"] == "tes3.duplicate-name"
     overlap = bytearray(wire.build("TES3_BSA", own))
     struct.pack_into("<I", overlap, 12 + 8 * 2 + 4, 3)
-    assert wire.walk(bytes(overlap)).diagnostics[-1]["id"] == "tes3.overlapping-payloads"
+    assert scan.walk(bytes(overlap)).diagnostics[-1]["id"] == "tes3.overlapping-payloads"
 
 
 def dds_archive(version, kind):
@@ -104,7 +104,7 @@ def dds_archive(version, kind):
 @pytest.mark.parametrize(("version", "kind"), [(1, "zlib"), (8, "zlib"), (2, "zlib"), (3, "lz4_raw")])
 def test_textures_are_rebuilt(version, kind):
     data, expected = dds_archive(version, kind)
-    w = wire.walk(data)
+    w = scan.walk(data)
     assert w.diagnostics == [] and len(w.chunks) == 2
     assert archive.read_entry(w, w.entries[0]) == expected and w.entries[0]["decoded_size"] == len(expected)
 
@@ -116,7 +116,7 @@ def test_texture_archives_are_written(spark, family):
     struct.pack_into("<I", narrow, 88, 24)
     rows = [("a", "Textures/One.DDS", texture_file, 0), ("a", "textures\\two.dds", texture_file, 1), ("a", "textures\\three.dds", bytes(narrow) + bytes(range(12)), 2), ("a", "readme.txt", b"x", 3)]
     parts = pack.pack(spark.createDataFrame(rows, "archive string, name string, payload binary, seq long"), pack.PackOptions(family)).collect()
-    w = wire.walk(bytes(parts[0]["content"]))
+    w = scan.walk(bytes(parts[0]["content"]))
     assert w.diagnostics == [] and w.found.family == family.removesuffix("_V3")
     got = {e["identity"]: archive.read_entry(w, e) for e in w.entries}
     wide = texture.canonical_header(2, 2, 1, 88, False) + texture.widen_bgr24(bytes(range(12)))

@@ -15,9 +15,10 @@ SPELLINGS = ["Meshes/A.NIF", "meshes\\a.nif", "a", "", "..\\x", "a\\.\\b", "C:\\
 def rows(spark):
     n = F.col("name")
     base, folder = names.basename(names.canonical(n)), names.dirname(names.canonical(n))
-    df = spark.createDataFrame([(s,) for s in SPELLINGS], "name string").select(
+    hashed = names.with_bsa_hash(names.with_bsa_hash(spark.createDataFrame([(s,) for s in SPELLINGS], "name string"), "bsa", base, True), "folder", folder, False)
+    df = hashed.select(
         n, names.identity(n).alias("identity"), names.is_absolute(n).alias("absolute"), names.traversal_ordinal(n).alias("traversal"), names.is_windows_invalid(n).alias("windows"),
-        names.tes3_hash(names.canonical(n)).alias("tes3"), names.bsa_hash(base, True).alias("bsa"), names.bsa_hash(folder, False).alias("folder"), names.ba2_identity(n).alias("ba2"),
+        names.tes3_hash(names.canonical(n)).alias("tes3"), "bsa", "folder", names.ba2_identity(n).alias("ba2"),
         names.asset_class(names.identity(n)).alias("kind"), names.matches_masks(n, ["*.NIF", "?"]).alias("masked"), names.split_path(n, F.lit(2)).alias("split"),
     )
     return {r["name"]: r for r in df.collect()}

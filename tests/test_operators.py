@@ -141,3 +141,129 @@ def test_unmatched_overrides_and_decoded_bytes_are_rejected(spark):
         assert pack.pack(entries, pack.PackOptions(family, max_decoded=most)).count() == 2
         with pytest.raises(pack.PackError, match="operation.resource-limit"):
             pack.pack(entries, pack.PackOptions(family, max_decoded=most - 1))
+
+
+def test_failing_rollback_keeps_predecessors(spark, tmp_path, monkeypatch):
+    files = spark.createDataFrame([("a.bin", b"1"), ("b.bin", b"2")], "name string, content binary")
+    publish.publish(files, str(tmp_path / "t"))
+    newer = spark.createDataFrame([("a.bin", b"3"), ("b.bin", b"4")], "name string, content binary")
+    moves = []
+
+    class Store:
+        """Refuses the last move of the commit and the first one of the rollback."""
+
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def move(self, source, target):
+            moves.append((source, target))
+            if len(moves) in (4, 5):
+                raise OSError("no space")
+            self.inner.move(source, target)
+
+    of = publish.fs.FileSystem.from_uri
+
+    class Stores:
+        @staticmethod
+        def from_uri(uri):
+            store, path = of(uri)
+            return Store(store), path
+
+    class Fs:
+        FileSystem, FileType = Stores, publish.fs.FileType
+
+    monkeypatch.setattr(publish, "_stage", lambda folder, stage=publish._stage: stage(folder))
+    rows = publish.publish.__globals__
+    monkeypatch.setitem(rows, "fs", Fs)
+    monkeypatch.setitem(rows, "_stage", staged_by_driver(of))
+    with pytest.raises(OSError, match="no space"):
+        publish.publish(newer, str(tmp_path / "t"), "REPLACE")
+    left = {p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()}
+    assert {b"1", b"2"} <= left
+
+
+def staged_by_driver(of):
+    """The staging step with the real file system, whatever the module's is replaced by."""
+
+    def stage(folder):
+        def run(batches):
+            import uuid
+
+            import pyarrow as pa
+
+            store, root = of(folder)
+            store.create_dir(root, recursive=True)
+            for batch in batches:
+                names, staged, sizes = [], [], []
+                for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                    path = f"{root}/{uuid.uuid4().hex}"
+                    with store.open_output_stream(path, compression=None) as out:
+                        out.write(content)
+                    names.append(name), staged.append(path), sizes.append(len(content))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(staged, pa.string()), pa.array(sizes, pa.int64())], ["name", "staged", "size"])
+
+        return run
+
+    return stage
+
+
+def test_a_file_put_in_place_meanwhile_stays(spark, tmp_path):
+    files = spark.createDataFrame([("a.bin", b"1"), ("b.bin", b"2")], "name string, content binary")
+
+    def meanwhile(rows):
+        (tmp_path / "t").mkdir()
+        (tmp_path / "t/b.bin").write_bytes(b"other")
+
+    with pytest.raises(publish.PublicationError, match="target.exists"):
+        publish.publish(files, str(tmp_path / "t"), "FAIL", meanwhile)
+    assert (tmp_path / "t/b.bin").read_bytes() == b"other" and not (tmp_path / "t/a.bin").exists()
+
+
+def test_windows_invalid_names_are_not_extracted(spark, tmp_path):
+    rows = spark.createDataFrame([("p", 0, "meshes\\con.nif", "meshes\\con.nif", b"1", None), ("p", 1, "meshes\\b.nif", "meshes\\b.nif", b"1", None)], archive.CONTENTS)
+    with pytest.raises(publish.PublicationError, match="target.unsafe-name"):
+        publish.extract(rows, str(tmp_path / "tree"))
+    assert not list(tmp_path.iterdir())
+
+
+def test_shared_payloads_and_embedded_names(spark):
+    rows = [("a", "textures\\x.dds", b"same" * 50, 0), ("a", "textures\\y.dds", b"same" * 50, 1)]
+    entries = spark.createDataFrame(rows, "archive string, name string, payload binary, seq long")
+    parts = pack.pack(entries, pack.PackOptions("SSE_BSA", archive_flags=0x103)).select(F.col("archive").alias("path"), "content")
+    assert not [d for d in archive.diagnostics(parts).collect() if d["id"] == "bsa.embedded-name-mismatch"]
+    assert {bytes(r["content"]) for r in archive.contents(parts).collect()} == {b"same" * 50}
+    plain = pack.pack(entries, pack.PackOptions("SSE_BSA", compress=False)).select(F.col("archive").alias("path"), "content")
+    assert archive.entries(plain).select("offset").distinct().count() == 1
+
+
+def test_owners_are_charged_once_a_part(spark):
+    rows = [("a", f"meshes\\{i}.nif", b"p" * 1000 if i < 6 else bytes([i]) * 1000, i) for i in range(8)]
+    entries = spark.createDataFrame(rows, "archive string, name string, payload binary, seq long")
+    parts = pack.pack(entries, pack.PackOptions("FO4_GENERAL_BA2", compress=False, split=3000)).orderBy("part").collect()
+    assert [r["entries"] for r in parts] == [6, 2]  # 1000 + 6 * (200 + 12), then a part of its own
+    parts = pack.pack(entries, pack.PackOptions("FO4_GENERAL_BA2", compress=False, split=3000, share=False)).orderBy("part").collect()
+    assert [r["entries"] for r in parts] == [2, 2, 2, 2]
+
+
+def test_listed_files_are_scanned_without_payloads(spark, sources, tmp_path):
+    publish.publish_parts(pack.pack(sources, pack.PackOptions("SSE_BSA")), str(tmp_path / "out"), ".bsa")
+    whole, listed = archive.archives(spark, str(tmp_path / "out")), archive.listed(spark, str(tmp_path / "out"))
+    columns = ["ordinal", "identity", "decoded_size", "stored_size", "offset", "codec"]
+    key = lambda df: sorted(map(tuple, df.select(*columns).collect()))
+    assert key(archive.entries(whole)) == key(archive.entries(listed))
+    assert sorted(bytes(r["content"]) for r in archive.contents(listed).collect()) == sorted(bytes(r["content"]) for r in archive.contents(whole).collect())
+    with pytest.raises(ValueError, match="selection.duplicate-ordinal"):
+        archive.contents(listed, [0, 0])
+    (tmp_path / "out/one.bsa").write_bytes(b"changed")
+    with pytest.raises(Exception, match="source.changed"):
+        archive.entries(listed.select("path", "length", F.lit(0).cast("long").alias("modified"))).count()
+
+
+def test_empty_requests(spark, sources):
+    none = sources.filter("false")
+    assert pack.pack(none, pack.PackOptions("SSE_BSA")).count() == 0
+    with pytest.raises(pack.PackError, match="bsa.empty-entry-set"):
+        pack.pack(none, pack.PackOptions("SSE_BSA", require_entries=True))
