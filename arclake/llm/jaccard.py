@@ -467,3 +467,18 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     if not first.filter(F.col(times) > 1).isEmpty():  # a doc_id that occurs several times in one component
         kept = kept.union(keyed.join(first.filter(F.col(times) > 1), same, "left_semi").dropDuplicates([own, doc_id]))
     return kept.select(*quoted(kept, (own,)))
+
+
+ORACLE = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+t AS (SELECT DISTINCT doc_id, md5(array_to_string(w[s:s + 4], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(k, '' ORDER BY k)) AS own FROM t GROUP BY doc_id),
+o AS (SELECT own, min(doc_id) AS doc_id, any_value(n) AS n FROM n GROUP BY own),
+r AS (SELECT k, doc_id, n FROM t JOIN o USING (doc_id)),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM r a JOIN r b ON a.k = b.k AND a.doc_id < b.doc_id AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n GROUP BY ALL HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+c AS (SELECT doc_id AS u, doc_id AS v FROM o UNION SELECT c.u, e.v FROM c JOIN e ON c.v = e.u),
+m AS (SELECT u, min(v) AS component_id FROM c GROUP BY u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN o USING (own) LEFT JOIN m ON m.u = o.doc_id
+"""

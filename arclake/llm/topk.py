@@ -2,16 +2,16 @@
 
 A vector is cut into segments, coarse to fine; each keeps its mean and deviation.  For two vectors the inner product
 of a segment of m components is at most m (mean * mean + deviation * deviation), and more segments bound it tighter:
-with squared norms this is the familiar lower bound of the distance.  A block of queries meets a block of vectors;
-those with the best coarse bounds give each query a first threshold, survivors of one resolution go on to the next,
-and only survivors of the finest are scored exactly, in integers.
+with squared norms this is the familiar lower bound of the distance.  A block of queries goes through a group of vectors
+chunk by chunk and carries each query's k-th best score along: the first chunk is scored, later ones only where the bounds
+of one resolution after the other can still reach it.  Survivors of the finest are scored exactly, as integers.
 
-Blocks are rows of packed vectors.  Query blocks are dealt to the blocks of vectors, so no task holds all of either.
+Vectors are dealt to groups of bounded bytes, which are not copied; blocks of queries go to each group of their length.
 
 Edge cases: a vector that is null or holds null or non-finite components takes no part, nor does one of another
 length than the query's; a null vec_id takes no part; of equal scores the smaller vec_id wins; rows that repeat a
-vec_id are candidates of their own, but never a query's own id; fewer candidates than k give fewer rows; an empty
-table gives none; other columns are ignored.
+vec_id are queries and candidates of their own, each only without itself; fewer candidates than k give fewer rows; an
+empty table gives none; other columns are ignored.  A component or a score that a long cannot hold is an error.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from arclake.llm.common import materialize
 
 LEVELS = (1, 4, 16)
-VECTOR_BLOCK = 1024
-QUERY_BLOCK = 512
-HITS = "query_id long, vec_id long, score long"
+#: Bytes of a group of vectors and of a block of queries, and vectors of a chunk.
+VECTOR_BYTES, QUERY_BYTES, CHUNK = 8 << 20, 2 << 20, 1024
+HITS = "query_row long, query_id long, vec_id long, score long"
 
 
 def statistics(v: np.ndarray, segments: int) -> np.ndarray:
@@ -40,98 +40,120 @@ def statistics(v: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def best_of_block(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of the k best vectors of a block for each query of another."""
+class Exact:
+    """Inner products of integer vectors: by floating-point where every sum fits in 53 bits, else by wider integers."""
+
+    def __init__(self, q: np.ndarray, v: np.ndarray) -> None:
+        self.most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
+        self.kind = np.float64 if self.most < 2**53 else np.int64 if self.most < 2**62 else object
+
+    def of(self, a: np.ndarray, b: np.ndarray, form: str) -> np.ndarray:
+        out = np.einsum(form, a.astype(self.kind), b.astype(self.kind)) if self.kind is not np.float64 or form != "ij,kj->ik" else a.astype(np.float64) @ b.astype(np.float64).T
+        if self.kind is object and out.size and max(abs(int(x)) for x in out.ravel()) >= 1 << 63:
+            raise OverflowError("a score does not fit in a long")
+        return out.astype(np.int64)
+
+
+class Best:
+    """The k best (score, vec_id) of each query so far; ties to the smaller vec_id."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.n, self.k = n, k
+        self.query, self.ids, self.scores = (np.zeros(0, np.int64) for _ in range(3))
+        self.least = np.full(n, -np.inf)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        query, ids, scores = (np.concatenate(pair) for pair in ((self.query, query), (self.ids, ids), (self.scores, scores)))
+        order = np.lexsort((ids, -scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        first = np.searchsorted(query, np.arange(self.n))
+        keep = np.arange(len(query)) - first[query] < self.k
+        self.query, self.ids, self.scores = query[keep], ids[keep], scores[keep]
+        many = np.bincount(self.query, minlength=self.n)
+        full = np.flatnonzero(many == self.k)
+        self.least[full] = self.scores[np.cumsum(many)[full] - 1]
+
+
+def best_of_group(q: np.ndarray, q_rows: np.ndarray, v: np.ndarray, v_ids: np.ndarray, v_rows: np.ndarray, k: int, levels: tuple[int, ...] = LEVELS, chunk: int = CHUNK) -> Best:
+    """The k best vectors of a group for each query of a block."""
     levels = tuple(s for s in levels if s <= q.shape[1]) or (1,)
-    slack = 1e-6 * (1.0 + float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1])
-    coarse = statistics(q, levels[0]) @ statistics(v, levels[0]).T
-    finer = [(statistics(q, s), statistics(v, s)) for s in levels[1:]]
-    out: list[tuple[int, int, int]] = []
-    for i in range(len(q)):
-        own = np.flatnonzero(v_ids != q_ids[i])
-        if not len(own):
+    exact, best = Exact(q, v), Best(len(q), k)
+    slack = 1e-6 * (1.0 + exact.most)
+    of_queries = [statistics(q, s) for s in levels]
+    for at in range(0, len(v), chunk):
+        part, ids, rows = v[at : at + chunk], v_ids[at : at + chunk], v_rows[at : at + chunk]
+        if np.isinf(best.least).any():
+            i, j = np.nonzero(q_rows[:, None] != rows[None, :])
+            best.add(i, ids[j], exact.of(q, part, "ij,kj->ik")[i, j])
             continue
-        bound = coarse[i, own]
-        if len(own) > k:
-            seeds = own[np.argpartition(-bound, k - 1)[:k]]
-            least = float((v[seeds] @ q[i]).min())
-            alive = own[bound >= least - slack]
-            for sq, sv in finer:
-                bound = sv[alive] @ sq[i]
-                first = alive[np.argpartition(-bound, k - 1)[:k]]  # the seeds always survive: k at least
-                least = max(least, float((v[first] @ q[i]).min()))
-                alive = alive[bound >= least - slack]
-        else:
-            alive = own
-        scores = v[alive] @ q[i]
-        for j in np.lexsort((v_ids[alive], -scores))[:k]:
-            out.append((int(q_ids[i]), int(v_ids[alive[j]]), int(scores[j])))
-    return out
-
-
-def _packed(rows: DataFrame, blocks: int, kind: str, dim: int) -> DataFrame:
-    """Deal rows evenly to ``blocks`` and pack each: ``{kind}_block``, ``{kind}_ids`` and ``{kind}_data``."""
+        i, j = np.nonzero((of_queries[0] @ statistics(part, levels[0]).T >= best.least[:, None] - slack) & (q_rows[:, None] != rows[None, :]))
+        for of_query, s in zip(of_queries[1:], levels[1:], strict=True):
+            bound = np.einsum("ij,ij->i", of_query[i], statistics(part, s)[j])
+            alive = bound >= best.least[i] - slack
+            i, j = i[alive], j[alive]
+        if len(i):
+            best.add(i, ids[j], exact.of(q[i], part[j], "ij,ij->i"))
+    return best
+
+
+def _packed(rows: DataFrame, kind: str) -> DataFrame:
+    """Packs the rows of each (dim, block): ids, rows and data, in four bytes a component where they fit."""
 
     def pack(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        ids = part.column("id").to_numpy().astype("<i8")
-        data = np.ascontiguousarray(part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim), "<i8")
-        return pa.table({f"{kind}_block": pa.array([key[0].as_py()], pa.int32()), f"{kind}_ids": pa.array([ids.tobytes()], pa.binary()), f"{kind}_data": pa.array([data.tobytes()], pa.binary())})
+        dim, block = (k.as_py() for k in key)
+        data = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        data = data.astype("<i4") if len(data) and -(1 << 31) < data.min() and data.max() < 1 << 31 else data.astype("<i8")
+        blobs = [part.column(c).to_numpy().astype("<i8").tobytes() for c in ("id", "row")] + [data.tobytes()]
+        return pa.table({"dim": pa.array([dim], pa.int32()), f"{kind}_block": pa.array([block], pa.int32()), **{f"{kind}_{n}": pa.array([b], pa.binary()) for n, b in zip(("ids", "rows", "data"), blobs, strict=True)}})
 
-    dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), "id", "v")
-    return dealt.groupBy("block").applyInArrow(pack, f"{kind}_block int, {kind}_ids binary, {kind}_data binary")
+    return rows.groupBy("dim", "block").applyInArrow(pack, f"dim int, {kind}_block int, {kind}_ids binary, {kind}_rows binary, {kind}_data binary")
 
 
-def _scores(k: int, dim: int):
+def _scores(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits: list[tuple[int, int, int]] = []
-            for qi, qd, vi, vd in zip(*(batch.column(n).to_pylist() for n in ("q_ids", "q_data", "v_ids", "v_data")), strict=True):
-                q, v = (np.frombuffer(x, "<i8").reshape(-1, dim) for x in (qd, vd))
-                hits += best_of_block(q, np.frombuffer(qi, "<i8"), v, np.frombuffer(vi, "<i8"), k)
-            columns = list(zip(*hits, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                dim, *blobs = (batch.column(n)[i].as_py() for n in ("dim", "q_ids", "q_rows", "q_data", "v_ids", "v_rows", "v_data"))
+                (q_ids, q_rows, q), (v_ids, v_rows, v) = (
+                    (np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<i8"), np.frombuffer(data, f"<i{len(data) // (len(ids) // 8 * dim)}").reshape(-1, dim))
+                    for ids, rows, data in (blobs[:3], blobs[3:])
+                )
+                best = best_of_group(q, q_rows, v, v_ids, v_rows, k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_rows[best.query], q_ids[best.query], best.ids, best.scores)], ["query_row", "query_id", "vec_id", "score"])
 
     return run
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of all other vectors for every row that ``is_query`` marks."""
-    spark = vectors.sparkSession
     x = F.col(embedding)
     sound = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
     integers = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long"))
-    rows = vectors.filter(F.col(vec_id).isNotNull() & sound).select(F.col(vec_id).cast("long").alias("id"), integers.alias("v"), is_query.alias("is_query"))
+    rows = vectors.filter(F.col(vec_id).isNotNull() & sound).select(F.col(vec_id).cast("long").alias("id"), integers.alias("v"), is_query.alias("is_query"), F.size(x).alias("dim"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q"))
-    out = None
-    for dim, n, q in sorted(map(tuple, sizes.collect())):  # vectors of one length meet
-        if not q:
-            continue
-        same = rows.filter(F.size("v") == dim)
-        blocks = -(-n // VECTOR_BLOCK)
-        vectors_ = materialize(_packed(same, blocks, "v", dim))
-        queries = materialize(_packed(same.filter("is_query"), -(-q // QUERY_BLOCK), "q", dim))
-        dealt = queries.select("q_ids", "q_data", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("v_block"))
-        pairs = dealt.join(vectors_.hint("shuffle_hash"), "v_block").select("q_ids", "q_data", "v_ids", "v_data")
-        hits = pairs.mapInArrow(_scores(k, dim), HITS)
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        out = spark.createDataFrame([], HITS)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    blocks = lambda n, most: F.ceil(n * F.col("dim") * 8 / most).cast("int")
+    sizes = materialize(rows.groupBy("dim").agg(blocks(F.count(F.lit(1)), VECTOR_BYTES).alias("groups"), blocks(F.greatest(F.count_if("is_query"), F.lit(1)), QUERY_BYTES).alias("blocks")))
+    dealt = rows.join(sizes, "dim")
+    block = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int").alias("block")
+    groups = _packed(dealt.select("dim", block("groups"), "id", "row", "v"), "v")
+    queries = materialize(_packed(dealt.filter("is_query").select("dim", block("blocks"), "id", "row", "v"), "q"))
+    met = queries.join(sizes, "dim").withColumn("v_block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).join(materialize(groups), ["dim", "v_block"])
+    hits = met.select("dim", "q_ids", "q_rows", "q_data", "v_ids", "v_rows", "v_data").mapInArrow(_scores(k), HITS)
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.rid AS rid, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.rid <> q.rid AND len(q.e) = len(c.e)
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

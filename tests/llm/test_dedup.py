@@ -225,17 +225,20 @@ def distance_within_one(a, b):
 
 
 def brute_lines(rows, least=16):
+    """Occurrences are told apart by their row; of equal places the result may keep any one, so counts are compared."""
     first = {}
+    place = lambda i, at: (i is None, i or 0, at)
     for i, t in rows:
         for at, line in enumerate((t or "").split("\n") if t is not None else []):
             if re.search(r"\S", line, re.ASCII):
-                first[line] = min(first.get(line, (linededup.LAST, 0)), (linededup.LAST if i is None else i, at))
-    near = {a for a in first if len(a) >= least and any(first[b] < first[a] and len(b) >= least and a != b and distance_within_one(a, b) for b in first)}
-    out = Counter()
+                first[line] = min(first.get(line, (True, 1 << 63, 0)), place(i, at))
+    near = {a for a in first if any(first[b] < first[a] and a != b and max(len(a), len(b)) >= least and distance_within_one(a, b) for b in first)}
+    out, kept = Counter(), set()
     for i, t in rows:
         own = t.split("\n") if t is not None else []
         near_at = [at for at, x in enumerate(own) if x in near]
-        equal = [at for at, x in enumerate(own) if x in first and x not in near and first[x] != (linededup.LAST if i is None else i, at)]
+        equal = [at for at, x in enumerate(own) if x in first and x not in near and (first[x] != place(i, at) or x in kept)]
+        kept.update(x for at, x in enumerate(own) if x in first and x not in near and first[x] == place(i, at))
         out[(i, len(own), len(equal), len(near_at), tuple(sorted(equal + near_at)))] += 1
     return out
 
@@ -251,7 +254,7 @@ def test_line_dedup(spark, docs, rows, empty):
 
 def test_line_dedup_finds_every_single_edit(spark):
     rng = random.Random(5)
-    lines = ["".join(rng.choices("ab é", k=rng.choice([3, 15, 16, 17, 31, 48, 130, 400, 900]))) for _ in range(60)]
+    lines = ["".join(rng.choices("ab é", k=rng.choice([3, 14, 15, 16, 17, 31, 48, 130, 382, 383, 384, 385, 400, 512, 900, 17000]))) for _ in range(60)]
     for line in list(lines):
         k = rng.randrange(len(line) + 1)
         lines.append(rng.choice([line[:k] + line[k + 1 :], line[:k] + "x" + line[k:], line[:k] + "y" + line[k + 1 :], line]))
@@ -259,3 +262,27 @@ def test_line_dedup_finds_every_single_edit(spark):
     rng.shuffle(lines)
     rows = [(i, "\n".join(lines[i * 6 : i * 6 + 6])) for i in range(30)]
     assert found_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute_lines(rows)
+
+
+def test_short_lines_are_near_from_their_bound_on(spark):
+    rows = [(1, "abcdefghijklmno"), (2, "abcdefghijklmnop"), (3, "cat"), (4, "bat"), (5, "abcdefghijklmnx"), (6, "abcd"), (7, "abcde")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_lines(df) == brute_lines(rows)
+    for least in (1, 5):
+        got = Counter((r["doc_id"], r["n_lines"], r["n_equal"], r["n_near"], tuple(r["removed"])) for r in linededup.line_dedup(df, least=least).collect())
+        assert got == brute_lines(rows, least)
+
+
+def test_one_of_equal_places_stays(spark):
+    rows = [(None, "the same line of text"), (None, "the same line of text"), (4, "another line of text here"), (4, "another line of text here"), ((1 << 63) - 1, "the same line of text")]
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["n_equal"] for r in got) == 3 and [r["n_equal"] for r in got if r["doc_id"] == (1 << 63) - 1] == [0]
+
+
+@pytest.mark.parametrize("n", [50_000, 5_000_000])
+def test_very_long_lines_take_linear_work(spark, n):
+    rng = random.Random(8)
+    line = "".join(rng.choices("abcdef ", k=n))
+    rows = [(1, line), (2, line[: n // 2] + "x" + line[n // 2 + 1 :]), (3, line[:-7] + line[-6:])]
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_near"] for r in got} == {1: 0, 2: 1, 3: 1}
