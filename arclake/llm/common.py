@@ -78,6 +78,12 @@ def text_key(text: F.Column) -> F.Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
 
 
+def row_key(doc_id: F.Column, text: F.Column) -> F.Column:
+    """128 bits of the SHA-256 of a row's doc_id and text, null told from empty."""
+    known = F.concat(F.when(doc_id.isNull(), "n").otherwise("i"), F.when(text.isNull(), "n").otherwise("t"))
+    return F.unhex(F.substring(F.sha2(F.concat_ws("\x00", known, F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))).cast("binary"), 256), 1, 32))
+
+
 def quoted(df: DataFrame, but: tuple[str, ...] = ()) -> list[F.Column]:
     """The columns of ``df``, whatever their names hold."""
     return [df["`" + c.replace("`", "``") + "`"] for c in df.columns if c not in but]

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arclake.llm.common import materialize
+from arclake.llm.common import fresh, materialize, quoted
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK_BYTES = 4096
@@ -99,11 +99,17 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
 
 
 def keep_distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__print"))
-    own = docs.withColumn("__own", F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256))
-    same = (F.col("__own") == F.col("__print")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__id"))
-    return own.join(materialize(kept), same, "left_semi").dropDuplicates(["__own", doc_id]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns; of repeated rows with the kept doc_id one stays."""
+    own, id_, print_, times = fresh(docs, "own", "id", "print", "times")
+    groups = exact_dedup(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = groups.groupBy(F.col("text_sha256").alias(print_)).agg(F.first("doc_id").alias(id_), F.count(F.lit(1)).alias(times))
+    kept = materialize(kept)
+    keyed = docs.withColumn(own, F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256))
+    same = (F.col(own) == F.col(print_)) & F.col(doc_id).cast("long").eqNullSafe(F.col(id_))
+    out = keyed.join(kept.filter(F.col(times) == 1), same, "left_semi")
+    if not kept.filter(F.col(times) > 1).isEmpty():  # the kept doc_id stands on several rows
+        out = out.union(keyed.join(kept.filter(F.col(times) > 1), same, "left_semi").dropDuplicates([own, doc_id]))
+    return out.select(*quoted(out, (own,)))
 
 
 ORACLE = f"""

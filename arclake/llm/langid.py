@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arclake.llm.common import as_bytes, slices
+from arclake.llm.common import as_bytes, fresh, quoted, slices
 
 TOP = 300
 PER_LANGUAGE = 3000
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
+#: Scores below it are of no learned language.
+LEAST_SCORE = 0.2
 
 
 class Grams:
@@ -178,9 +180,9 @@ def _predictor(profiles: dict[str, list[int]], top: int):
     return predict
 
 
-def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", top: int = TOP) -> DataFrame:
-    """``docs`` with lang_pred and lang_score appended; no other column is read."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", top: int = TOP, out: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the predicted language and its score appended, under the names ``out``; no other column is read."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
     place = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +191,8 @@ def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], text: str
             found = [predict(x) for x in as_bytes(batch.column(place))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    plain = docs.select(*(c.alias(f"c{i}") for i, c in enumerate(quoted(docs))))  # whatever the names hold
+    return plain.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -203,7 +206,14 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return predict_languages(plain, profiles).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text is in a language that was learned, with all their columns."""
+def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text is in a language that was learned, with all their columns.
+
+    A text without letters goes, and one whose n-grams are so far from every profile that its score is below ``least``:
+    other scripts and letter junk.  Prose of the learned languages scores twice that and more.
+    """
     profiles = fit_profiles(docs.filter(~held_out(F.col(doc_id))), doc_id, text, lang)
-    return predict_languages(docs, profiles, text).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    pred, score = fresh(docs, "lang_pred", "lang_score")
+    found = predict_languages(docs, profiles, text, out=(pred, score))
+    found = found.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= least))
+    return found.select(*quoted(found, (pred, score)))

@@ -20,28 +20,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arclake.llm.common import as_bytes, materialize, ranked, slices
+from arclake.llm.common import as_bytes, fresh, materialize, quoted, ranked, row_key, slices
 
-#: Sources whose totals the driver holds; more is an error, not a sample.
-MAX_SOURCES = 1_000_000
+#: Places of the table of sums; for sources whose longest document has more words, sums are kept in steps of several.
+SUMS = 1 << 22
+
+
+def water_level(sizes: np.ndarray, weights: np.ndarray, total: float, most: float) -> float:
+    """Words a unit of weight gets when ``total`` is shared by weight and no share passes ``most`` times its size."""
+    order = np.argsort(most * sizes / weights, kind="stable")
+    sizes, weights = sizes[order].astype(float), weights[order].astype(float)
+    left = total - most * np.concatenate(([0.0], np.cumsum(sizes)))[:-1]  # if all before are full
+    weight = weights[::-1].cumsum()[::-1]
+    open_ = np.flatnonzero(left / weight <= most * sizes / weights)
+    return float(left[open_[0]] / weight[open_[0]]) if len(open_) else float("inf")
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
     """Share ``total`` by weight; a share stops at ``most`` times its size and the excess is shared again."""
-    targets, open_ = [0.0] * len(sizes), [i for i in range(len(sizes))]
-    left = float(total)
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / weight > most * sizes[i]]
-        if not full:
-            for i in open_:
-                targets[i] = left * weights[i] / weight
-            break
-        for i in full:
-            targets[i] = float(most * sizes[i])
-        left -= sum(most * sizes[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
-    return targets
+    if not sizes:
+        return []
+    level = water_level(np.array(sizes), np.array(weights), float(total), most)
+    return [min(float(most * s), level * w) for s, w in zip(sizes, weights, strict=True)]
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -69,31 +69,44 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             more = min(int(counts[i] - take[i]), (rest - window) // int(lengths[i]) + 1, rest // int(lengths[i]))
             take[i] += more
             rest -= more * int(lengths[i])
+    return take + nearest_sum(lengths, np.where(useful, counts - take, 0), rest)
+
+
+def nearest_sum(lengths: np.ndarray, counts: np.ndarray, rest: int, places: int = SUMS) -> np.ndarray:
+    """Bounded-knapsack dynamic programming: copies of each length whose sum is nearest to ``rest``.
+
+    Copies go in powers of two.  Each reachable sum keeps the first item that reaches it, in a table of ``places`` at most.
+    """
+    take = np.zeros(len(lengths), np.int64)
     most = rest + int(lengths.max())
-    items: list[tuple[int, int, int]] = []  # (index, copies, weight); copies split in powers of two
-    for i in np.flatnonzero(useful):
-        left, step = min(int(counts[i] - take[i]), most // int(lengths[i])), 1
+    step = -(-(most + 1) // places)
+    goal, width = rest // step, most // step + 1
+    items: list[tuple[int, int, int]] = []
+    for i in np.flatnonzero(counts > 0).tolist():
+        left, copies = min(int(counts[i]), most // int(lengths[i])), 1
         while left > 0:
-            step = min(step, left)
-            items.append((int(i), step, step * int(lengths[i])))
-            left -= step
-            step *= 2
-    mask, reached, firsts = (1 << (most + 1)) - 1, 1, []
-    for item in items:
-        grown = (reached | (reached << item[2])) & mask
-        if grown != reached:
-            firsts.append((grown & ~reached, item))
-            reached = grown
-        if reached >> rest & 1:
+            copies = min(copies, left)
+            items.append((i, copies, max(1, round(copies * int(lengths[i]) / step))))
+            left -= copies
+            copies *= 2
+    origin = np.full(width, -1, np.int32)
+    mask, reached = (1 << width) - 1, 1
+    for k, (_, _, weight) in enumerate(items):
+        new = (reached << weight) & mask & ~reached
+        if new:
+            bits = np.unpackbits(np.frombuffer(new.to_bytes(width // 8 + 1, "little"), np.uint8), bitorder="little")
+            origin[np.flatnonzero(bits[:width])] = k
+            reached |= new
+        if reached >> goal & 1:
             break
-    at = (reached & ((1 << (rest + 1)) - 1)).bit_length() - 1
-    above = reached >> (rest + 1)
-    if above and (beyond := (above & -above).bit_length()) < rest - at:
-        at = rest + beyond
-    for new, (i, copies, weight) in reversed(firsts):
-        if new >> at & 1:
-            take[i] += copies
-            at -= weight
+    at = (reached & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = reached >> (goal + 1)
+    if above and (beyond := (above & -above).bit_length()) < goal - at:
+        at = goal + beyond
+    while at > 0:
+        i, copies, weight = items[origin[at]]
+        take[i] += copies
+        at -= weight
     return take
 
 
@@ -101,7 +114,7 @@ def _sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             n = pa.array([len(x.split()) if x else 0 for x in as_bytes(part.column("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("h"), n], ["doc_id", "source", "h", "size"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("key"), n], ["doc_id", "source", "key", "size"])
 
 
 def _quotas(table: pa.Table) -> pa.Table:
@@ -112,47 +125,70 @@ def _quotas(table: pa.Table) -> pa.Table:
     return pa.table({"source": table.column("source"), "size": table.column("size"), "quota": pa.array(quota, pa.int64())})
 
 
+def source_plan(totals: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """Per source: its target, the whole repeats it takes, and the budget that is left; any number of sources.
+
+    Sources are numbered in their order partition by partition.  The water level is found by aggregates: at a level,
+    sources that are full give theirs, and the rest of the words over the rest of the weight is the next level, until no
+    more sources are full.
+    """
+    ordered = totals.withColumn("last", F.col("source").isNull()).repartitionByRange("last", "source").sortWithinPartitions("last", "source")
+    ordered = materialize(ordered.withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("id", 33)))
+    parts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("many"))  # one row for each partition of sources
+    parts = parts.select("part", F.coalesce(F.sum("many").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    number = F.col("first") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    cycle = F.array(*(F.lit(float(w)) for w in weights))
+    placed = materialize(ordered.join(parts, "part").select("source", "source_size", F.get(cycle, (number % len(weights)).cast("int")).alias("weight")))
+    full = F.col("source_size") * most
+    total = share * float(placed.agg(F.sum("source_size")).first()[0] or 0)
+    level, before = 0.0, -1.0
+    while level > before:
+        stopped = full < F.lit(level) * F.col("weight")
+        given, weight = placed.agg(F.sum(F.when(stopped, full)), F.sum(F.when(~stopped, F.col("weight")))).first()
+        level, before = (total - float(given or 0)) / weight if weight else float("inf"), level
+    target = F.least(full.cast("double"), F.lit(level) * F.col("weight"))
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(math.floor(most)))).otherwise(0).cast("long")
+    left = F.least(F.bround(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"), F.col("source_size"))
+    rows = placed.withColumn("target", F.coalesce(target, F.lit(0.0))).withColumn("whole", whole)
+    return rows.select(F.col("source").alias("p_source"), "source_size", "target", "whole", F.when(F.col("whole") >= most, 0).otherwise(left).cast("long").alias("budget"))
+
+
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3, seed: int = 17) -> DataFrame:
     """Words each document gives to the mix.
 
     Sources in code-point order (null last) get ``weights`` in turn and share ``share`` of all words; a target stops
     at ``most`` times its source's size.  Returns doc_id, source, size, source_size, target, repeats, taken.
     """
-    spark = docs.sparkSession
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("h"))
-    sized = materialize(plain.mapInArrow(_sizes, "doc_id long, source string, h long, size long"))
+    own = F.col(doc_id).cast("long")
+    plain = docs.select(own.alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"), row_key(own, F.col(text)).alias("key"))
+    sized = materialize(plain.mapInArrow(_sizes, "doc_id long, source string, key binary, size long")).withColumn("h", F.xxhash64(F.lit(seed), "key"))
     hist = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    totals = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [int(r["source_size"]) for r in totals]
-    targets = water_fill(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))], share * sum(sizes), most)
-    rows = []
-    for r, size, target in zip(totals, sizes, targets, strict=True):
-        whole = min(math.floor(target / size), math.floor(most)) if size else 0
-        budget = 0 if whole >= most else round(target - whole * size)
-        rows.append((r["source"], size, target, whole, min(budget, size)))
-    plan = spark.createDataFrame(rows, "p_source string, source_size long, target double, whole long, budget long")
-    plan = F.broadcast(plan)  # one row per source, at most MAX_SOURCES
+    plan = materialize(source_plan(hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most))
     planned = hist.join(plan, hist["source"].eqNullSafe(plan["p_source"]))
     quotas = planned.select("source", "size", "n", "budget").groupBy("source").applyInArrow(_quotas, "source string, size long, quota long")
     quotas = quotas.filter("quota > 0").select(F.col("source").alias("q_source"), F.col("size").alias("q_size"), "quota")
     quotas = materialize(quotas)
-    numbered = ranked(sized, ["source", "size"], ["h", "doc_id"], F.col("h"))
+    numbered = ranked(sized, ["source", "size"], ["h", "key"], F.col("h"))
     fits = numbered["source"].eqNullSafe(quotas["q_source"]) & (numbered["size"] == quotas["q_size"])
     chosen = numbered.join(quotas, fits, "left").join(plan, F.col("source").eqNullSafe(F.col("p_source")))
     repeats = F.col("whole") + F.when(F.col("rank") < F.coalesce("quota", F.lit(0)), 1).otherwise(0)
-    return chosen.select("doc_id", "source", "size", "source_size", "target", repeats.cast("long").alias("repeats"), (F.col("size") * repeats).cast("long").alias("taken"), "h")
+    return chosen.select("doc_id", "source", "size", "source_size", "target", repeats.cast("long").alias("repeats"), (F.col("size") * repeats).cast("long").alias("taken"), "key")
 
 
 def take_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, **how) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns."""
+    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns.
+
+    Rows are joined by 128 bits of doc_id and text; only rows that are repeated are numbered, to share their takes.
+    """
+    own, key, all_, rows, times = fresh(docs, "own", "key", "all", "rows", "times")
     taken = mix_sources(docs, doc_id, text, source, seed=seed, **how)
-    taken = taken.groupBy(F.col("h").alias("__h")).agg(F.sum("repeats").alias("__all"), F.count(F.lit(1)).alias("__rows")).filter("__all > 0")
-    own = docs.withColumn("__own", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
-    joined = own.join(materialize(taken), F.col("__own") == F.col("__h"))
-    place = F.row_number().over(Window.partitionBy("__own").orderBy("__own"))  # rows that are repeated share their takes
-    times = F.expr("__all div __rows") + F.when(place <= F.col("__all") % F.col("__rows"), 1).otherwise(0)
-    repeated = joined.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-    return repeated.select(*docs.columns)
+    taken = materialize(taken.groupBy(F.col("key").alias(key)).agg(F.sum("repeats").alias(all_), F.count(F.lit(1)).alias(rows)).filter(F.col(all_) > 0))
+    keyed = docs.withColumn(own, row_key(F.col(doc_id).cast("long"), F.col(text)))
+    single = keyed.join(taken.filter(F.col(rows) == 1), F.col(own) == F.col(key)).withColumn(times, F.col(all_))
+    if not taken.filter(F.col(rows) > 1).isEmpty():
+        several = keyed.join(taken.filter(F.col(rows) > 1), F.col(own) == F.col(key))
+        place = F.row_number().over(Window.partitionBy(own).orderBy(own))
+        single = single.unionByName(several.withColumn(times, F.floor(F.col(all_) / F.col(rows)) + F.when(place <= F.col(all_) % F.col(rows), 1).otherwise(0)))
+    copies = F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(own + "_copy")
+    repeated = single.filter(F.col(times) > 0).select(*quoted(single, (own, key, all_, rows, times)), copies)
+    return repeated.select(*quoted(repeated, (own + "_copy",)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arclake.llm import exactdedup, jaccard, linededup, substring, topk
+from arclake.llm import exactdedup, jaccard, linededup, substring, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,6 +67,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histories.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
+ORACLE_SQL["op5_warc"] = warc.ORACLE
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arclake.llm.mixing import mix_sources

@@ -2,9 +2,9 @@
 
 One pass over the texts finds base matches (assignments, access keys, hex strings) and further candidates: long
 tokens that look random.  Every candidate's value is hashed, and the hashes are counted by distinct owners and
-distinct repositories over the whole corpus.  A value that more than ``max_owners`` owners share is a widely copied
-example; one with fewer owners that looks live is an owner-specific credential.  Base spans are always reported;
-random-looking tokens only if they are owner-specific.
+distinct repositories over the whole corpus.  A value that more than ``max_owners`` owners share, or that stands in more
+than ``max_repos`` repositories of any, is a widely copied example; one with fewer that looks live is an owner-specific
+credential.  Base spans are always reported; random-looking tokens only if they are owner-specific.
 
 Edge cases: a null or empty text has no span; a null repository or owner counts as one unnamed owner; a null doc_id
 is kept; repeated rows get a result each; an empty table gives no rows; other columns are ignored.  Offsets are code
@@ -77,9 +77,12 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         found += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text)]
     found += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
-    covered = sorted((a, b) for _, a, b, _ in found)
-    for m in TOKEN.finditer(text):
-        if looks_random(m[0]) and not any(a < m.end() and m.start() < b for a, b in covered):
+    covered, at, reached = sorted((a, b) for _, a, b, _ in found), 0, 0
+    for m in TOKEN.finditer(text):  # tokens and spans both come in order, so one pass tells which meet
+        while at < len(covered) and covered[at][0] < m.end():
+            reached = max(reached, covered[at][1])
+            at += 1
+        if reached <= m.start() and looks_random(m[0]):
             found.append((3, m.start(), m.end(), m[0]))
     return sorted(found, key=lambda c: (c[1], c[0]))
 
@@ -109,7 +112,7 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_uses"))
 
 
-def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "source", owner: Column | None = None, max_owners: int = 2) -> DataFrame:
+def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "source", owner: Column | None = None, max_owners: int = 2, max_repos: int = 16) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base (spans), spans, n_owner_specific, n_widely_copied.
 
     ``owner`` defaults to what stands before the first ``/`` of the repository.
@@ -118,7 +121,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
     found = materialize(named.mapInArrow(_scan, FOUND).withColumn("row", F.monotonically_increasing_id()))
     frequency = materialize(ownership(found))
     each = found.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
-    judged = each.join(frequency, "value").withColumn("copied", F.col("n_owners") > max_owners).withColumn("own", ~F.col("copied") & F.col("live"))
+    judged = each.join(frequency, "value").withColumn("copied", (F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos)).withColumn("own", ~F.col("copied") & F.col("live"))
     place = F.struct("start", "kind", "stop")
     shown = (F.col("kind") < 3) | F.col("own")
     rows = judged.groupBy("row").agg(F.collect_list(F.when(shown, place)).alias("places"), F.count_if("own").alias("own"), F.count_if("copied").alias("copied"))

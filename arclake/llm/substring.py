@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arclake.llm.common import as_bytes, bucket_count, filter_of, materialize, mix64, new_seed, passes, rolling, slices, word_prints
+from arclake.llm.common import as_bytes, bucket_count, filter_of, materialize, mix64, new_seed, passes, rolling, row_key, slices, word_prints
 
 WINDOW = 50
 LAST = (1 << 63) - 1
@@ -359,7 +359,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per document: doc_id, n_words, n_removed, kept (the words left, or their SHA-256), spans (removed words), repeats."""
     spark, seed = docs.sparkSession, new_seed()
     own = F.col(doc_id).cast("long")
-    key = F.unhex(F.substring(F.sha2(F.concat_ws("\x00", F.coalesce(own.cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256), 1, 32))
+    key = row_key(own, F.col(text))
     plain = docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(LAST)).alias("at"), key.alias("key"), F.col(text).alias("text"))
     few = bucket_count(spark, 0)
     met = plain.select("at", "text").mapInArrow(_anchors(window, few, seed), "bucket int, " + ", ".join(f"{c} binary" for c in ANCHORS))

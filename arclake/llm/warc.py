@@ -1,10 +1,10 @@
 """WARC archives and their capture index, merged from locally sorted runs.
 
 Writing: every page is one record, in its own gzip member; of equal payloads one page is the response and the others
-revisit it.  Files are bounded in size, each sorted by URL key and time.  Reading: archives come in through Spark's
-own file source, records are parsed and digests verified, and every file yields a sorted run of index entries.  The
-runs are dealt to ranges of (URL key, time, page), and within a range a loser tree merges them k ways into globally
-ordered capture histories.
+revisit it.  Files are bounded in size, each sorted by URL key and time.  Reading: files are streamed, records parsed and
+digests verified, and every file yields a sorted run of index entries.  The runs are dealt to ranges of (URL key, time,
+page, file, place) of bounded size, and within a range a loser tree merges them k ways into globally ordered capture
+histories.
 
 Tasks report the files they finished, and only reported files are read, so files of lost or repeated attempts never
 count.
@@ -26,12 +26,14 @@ from datetime import UTC, datetime
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arclake.llm.common import as_bytes, materialize, shared_dir
 
 FILE_BYTES = 16 << 20
+#: Entries of a batch, and of a range of the merge.
+ROWS, RANGE = 10_000, 100_000
 #: Names of the record headers.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, url_key string, captured long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, place long"
@@ -84,18 +86,27 @@ def record(page: int | None, url: str | None, captured: int, payload: bytes, ref
 _URL_SAFE = "".join(chr(c) for c in range(33, 127))
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive of gzip members."""
-    while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data) + member.flush()
-        data = member.unused_data
-        head, _, rest = raw.partition(b"\r\n\r\n")
-        first, *lines = head.decode("utf-8").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        headers = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        yield headers, rest[: int(headers["content-length"])]
+def records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of an archive of gzip members, which come in chunks; one record is held at a time."""
+    member, raw = zlib.decompressobj(31), bytearray()
+    for chunk in chunks:
+        while chunk:
+            raw += member.decompress(chunk)
+            chunk = member.unused_data
+            if member.eof:
+                yield _parsed(bytes(raw))
+                member, raw = zlib.decompressobj(31), bytearray()
+    if raw:
+        raise ValueError("an archive ends inside a record")
+
+
+def _parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    first, *lines = head.decode("utf-8").split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError("not a WARC record")
+    headers = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    return headers, rest[: int(headers["content-length"])]
 
 
 def _writer(folder: str):
@@ -147,25 +158,43 @@ def write_warc(pages: DataFrame, folder: str | None = None, page_id: str = "page
     return folder, materialize(rows.mapInArrow(_writer(folder), "file string, n long"))
 
 
-def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "url", "url_key", "captured", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "place"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            rows = []
-            for place, (headers, block) in enumerate(records(content.as_py())):
-                kind, sha1 = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
-                length = int(headers["warc-payload-length"])
-                if kind == "response":
-                    payload = block.partition(b"\r\n\r\n")[2]
-                    if (len(payload), digest(payload)) != (length, sha1):
-                        raise ValueError(f"{path}: record {place} is damaged")
-                url = headers.get("warc-target-uri")
-                captured = int(datetime.strptime(headers["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC).timestamp())
-                refers_to = _page(headers["warc-refers-to"]) if kind == "revisit" else None
-                rows.append((_page(headers["warc-record-id"]), url, url_key(url), captured, length, sha1, kind, refers_to, path.rpartition("/")[2], place))
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+_KINDS = {"long": pa.int64(), "string": pa.string()}
+_SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in INDEX.split(", ")])
+
+
+def _entries(folder: str):
+    """Index entries of each file, in the file's own order."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for file in batch.column("file").to_pylist():
+                rows: list[tuple] = []
+                with store.open_input_stream(f"{path}/{file}", compression=None) as source:
+                    for place, (headers, block) in enumerate(records(iter(lambda source=source: source.read(1 << 20), b""))):
+                        rows.append(_entry(headers, block, file, place))
+                        if len(rows) == ROWS:
+                            yield _batch(rows)
+                            rows = []
+                if rows:
+                    yield _batch(rows)
+
+    return run
+
+
+def _entry(headers: dict[str, str], block: bytes, file: str, place: int) -> tuple:
+    kind, sha1 = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
+    length = int(headers["warc-payload-length"])
+    if kind == "response":
+        payload = block.partition(b"\r\n\r\n")[2]
+        if (len(payload), digest(payload)) != (length, sha1):
+            raise ValueError(f"{file}: record {place} is damaged")
+    url = headers.get("warc-target-uri")
+    captured = int(datetime.strptime(headers["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC).timestamp())
+    refers_to = _page(headers["warc-refers-to"]) if kind == "revisit" else None
+    return _page(headers["warc-record-id"]), url, url_key(url), captured, length, sha1, kind, refers_to, file, place
 
 
 class LoserTree:
@@ -203,44 +232,63 @@ class LoserTree:
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ascending runs of each file's entries, as they come, merged."""
-    schema, last, runs = None, {}, []
+    """Ascending runs of each file's entries, as they come, merged.  A range holds about ``RANGE`` entries."""
+    last: dict[str, list] = {}
+    runs: list[list] = []
     for batch in batches:
-        schema = batch.schema
-        keys = [batch.column(c).to_pylist() for c in ("url_key", "captured", "page_id", "file", "place")]
-        for key, row in zip(zip(*keys, strict=True), zip(*(c.to_pylist() for c in batch.columns), strict=True), strict=True):
-            order = (key[0], key[1], key[2] is not None, key[2] or 0, key[3], key[4])
-            run = last.get(key[3])
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            page, _, key, captured, *_, file, place = row
+            order = (key, captured, page is not None, page or 0, file, place)
+            run = last.get(file)
             if run is None or run[-1][0] > order:
-                run = last[key[3]] = []
+                run = last[file] = []
                 runs.append(run)
             run.append((order, row))
     block: list[tuple] = []
     for _, row in LoserTree([iter(r) for r in runs]):
         block.append(row)
-        if len(block) == 10_000:
-            yield _batch(block, schema)
+        if len(block) == ROWS:
+            yield _batch(block)
             block = []
     if block:
-        yield _batch(block, schema)
+        yield _batch(block)
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def read_warc(spark, folder: str, files: DataFrame | None = None) -> DataFrame:
-    """Index entries of the archives in a folder (or of ``files`` there), one sorted run a file."""
+def read_warc(spark: SparkSession, folder: str, files: DataFrame | None = None) -> DataFrame:
+    """Index entries of the archives in a folder (or of ``files`` there), one sorted run a file.
+
+    Only names go to the tasks, a file each; a task streams its file and holds one record and ``ROWS`` entries of it.
+    """
     if files is None:
-        source = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    else:
-        paths = [f"{folder}/{r['file']}" for r in files.select("file").toLocalIterator()]  # Spark lists these files anyway
-        if not paths:
-            return spark.createDataFrame([], INDEX)
-        source = spark.read.format("binaryFile").load(paths)
-    return source.select("path", "content").mapInArrow(_entries, INDEX)
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+        files = materialize(listed.select(F.substring_index("path", "/", -1).alias("file")))
+    names = files.select("file")
+    return names.repartition(max(1, names.count())).mapInArrow(_entries(folder), INDEX)
 
 
 def capture_histories(index: DataFrame) -> DataFrame:
-    """Globally ordered captures: range by range, each merged from its runs by a loser tree."""
-    return materialize(index).repartitionByRange("url_key", "captured", "page_id").mapInArrow(_merge, INDEX)
+    """Globally ordered captures: range by range, each merged from its runs by a loser tree.
+
+    There are as many ranges as hold ``RANGE`` entries each; file and place tell captures of equal key and time apart, so
+    no group of them is one range.
+    """
+    index = materialize(index)
+    ranges = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // RANGE))
+    return index.repartitionByRange(ranges, "url_key", "captured", "page_id", "file", "place").mapInArrow(_merge, INDEX)
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, octet_length(encode(html)) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS best FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to,
+  lower(array_to_string(list_reverse(string_split(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1), '.')), ',') || coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/:?#]*(:[0-9]+)', 1), ''), '') || ')'
+    || coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') || regexp_extract(url, '^[^?#]*([?][^#]*)', 1)) AS url_key,
+  page_id % 1000000000 AS captured
+FROM d
+"""

@@ -146,6 +146,41 @@ def test_budget_fitting():
         got = int((lengths * take).sum())
         near = min(abs(budget - x) for x in range(total + 1) if sums >> x & 1)
         assert (take <= counts).all() and near <= abs(got - budget) <= max(lengths)
+        if max(lengths) and budget:
+            exact = mixing.nearest_sum(lengths, np.where(lengths > 0, counts, 0), budget)
+            assert (exact <= counts).all() and abs(int((lengths * exact).sum()) - budget) == near
+            coarse = mixing.nearest_sum(lengths, np.where(lengths > 0, counts, 0), budget, places=64)
+            assert (coarse <= counts).all()
+
+
+def brute_targets(rows, weights=(1, 2, 3), most=3):
+    """Targets by giving the excess again until nobody is above."""
+    sizes = defaultdict(int)
+    for _, t, _, s, *_ in rows:
+        sizes[s] += len((t or "").split())
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    targets, open_, left = {}, set(order), sum(sizes.values())
+    while open_:
+        whole = sum(weight[s] for s in open_)
+        full = {s for s in open_ if left * weight[s] / whole > most * sizes[s]}
+        if not full:
+            targets |= {s: left * weight[s] / whole for s in open_}
+            break
+        targets |= {s: float(most * sizes[s]) for s in full}
+        left -= sum(most * sizes[s] for s in full)
+        open_ -= full
+    return targets
+
+
+def brute_error(rows, source, target, most=3):
+    """Least error of a source's taken words: whole repeats of all its documents, then any subset once more."""
+    sizes = [len((t or "").split()) for _, t, _, s, *_ in rows if s == source]
+    whole = min(int(target // sum(sizes)), most) if sum(sizes) else 0
+    rest, sums = (round(target - whole * sum(sizes)) if whole < most else 0), 1
+    for n in sizes:
+        sums |= sums << n
+    return min(abs(rest - x) for x in range(sum(sizes) + 1) if sums >> x & 1)
 
 
 def test_water_fill():
@@ -162,10 +197,9 @@ def test_mix(docs, rows, empty):
         assert r["taken"] == r["size"] * r["repeats"] and r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
         targets[r["source"]] = r["target"]
-    longest = defaultdict(int)
-    for r in got:
-        longest[r["source"]] = max(longest[r["source"]], r["size"])
-    assert all(abs(taken[s] - t) <= longest[s] for s, t in targets.items())
+    assert targets == pytest.approx(brute_targets(rows))
+    for s, t in targets.items():
+        assert brute_error(rows, s, t) - 1 <= abs(taken[s] - t) <= brute_error(rows, s, t) + 2
     again = mixing.mix_sources(docs.repartition(7)).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     mix = mixing.take_mix(docs)
@@ -173,6 +207,15 @@ def test_mix(docs, rows, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_many_sources_and_clashing_names(spark):
+    rows = [(i, "w " * (1 + i % 7), None, f"s{i % 700}", 0) for i in range(2000)]
+    df = spark.createDataFrame([(i, t, s, 0, 0, 0) for i, t, _, s, _ in rows], "doc_id long, text string, source string, own long, key long, `a.b` long")
+    got = mixing.mix_sources(df).collect()
+    assert {r["source"]: r["target"] for r in got} == pytest.approx(brute_targets(rows))
+    mix = mixing.take_mix(df.union(df.limit(3)))
+    assert mix.columns == df.columns and mix.filter("doc_id = 5").count() <= 3
+
+
 def slow_grams(text):
     out = Counter()
     for run in "".join(c if c.isalpha() else " " for c in text.lower()).split():
@@ -210,7 +253,11 @@ def test_languages_held_out(spark, docs, rows, empty):
     assert len(got) == len(rows)
     assert all((r["lang_pred"] == "und") == (r["score"] == 0) for r in got if r["doc_id"] in (0, 1, 2))
     assert {r["held_out"] for r in got if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2} <= {True}
-    assert langid.keep_known(docs).columns == docs.columns
+    clashing = docs.withColumn("lang_pred", F.lit("x")).withColumn("LANG_SCORE", F.lit(1)).withColumn("a.b", F.lit(1))
+    known = langid.keep_known(clashing)
+    assert known.columns == clashing.columns
+    other = docs.union(spark.createDataFrame([(900, "Съешь же ещё этих мягких французских булок", None, None, 0, *[0] * 4, "x", 0)], docs.schema))
+    assert known.count() == langid.keep_known(other).count()
     assert langid.identify(empty).count() == 0
 
 

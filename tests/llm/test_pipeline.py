@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from arclake.llm import langid
 from arclake.llm.common import materialize
 from arclake.llm.queries import tokenizer_path
 from test_corpus import brute_pieces, check_packing
@@ -16,7 +17,10 @@ def test_stages_against_brute_force(spark, docs, rows):
 
     known = materialize(stages["language_id"](spark, docs, ""))
     assert known.columns == docs.columns
-    lettered = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    profiles = langid.fit_profiles(docs.filter(~langid.held_out(docs["doc_id"])))
+    predict = langid._predictor(profiles, langid.TOP)
+    lettered = [r for r in rows if r[1] and any(c.isalpha() for c in r[1]) and predict(r[1].encode())[1] >= langid.LEAST_SCORE]
+    assert len(lettered) > 0.9 * sum(bool(r[1] and r[1].strip()) for r in rows)
     assert sorted(own(known), key=repr) == sorted(lettered, key=repr)
 
     distinct = materialize(stages["exact_dedup"](spark, known, ""))
@@ -42,5 +46,13 @@ def test_stages_against_brute_force(spark, docs, rows):
     assert tokenizer_path()
 
 
+def test_an_empty_table_goes_through(spark, empty):
+    docs = empty
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, ""))
+        assert docs.columns == empty.columns and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
