@@ -19,7 +19,7 @@ from arclake.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter; the predicted language and its score reject none."""
+    """Documents of a learned language: texts without letters and those far from every profile go."""
     return keep_known(docs)
 
 
