@@ -210,17 +210,25 @@ def synthetic_wire_name(ordinal: Column) -> Column:
     return F.concat(F.lit(f"{SYNTHETIC_WIRE}\\e"), _hex(ordinal, 8))
 
 
+def _numbers(keys: dict[str, int]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in keys.items() for x in pair))
+
+
+#: Class by root folder, and by extension where several classes know it the first of them.
+_BY_ROOT = {root: i for i, root in enumerate(ROOTS)}
+_BY_EXTENSION = {ext: i for i, known in reversed(list(enumerate(EXTENSIONS))) for ext in known.split(" ")}
+
+
 def asset_class(key: Column) -> Column:
-    """0 to 29 by root folder, else by final extension; 30 for the rest.  ``key`` is an identity."""
+    """0 to 29 by root folder, else by final extension; 30 for the rest.  ``key`` is an identity.
+
+    A root of two folders stands before the one of its first folder; both are looked up in literal maps.
+    """
     base = basename(key)
     ext = F.when(base.contains("."), F.concat(F.lit("."), F.substring_index(base, ".", -1)))
-    out = None
-    for i, root in enumerate(ROOTS):
-        fits = (key == root) | key.startswith(root + "\\")
-        out = F.when(fits, i) if out is None else out.when(fits, i)
-    for i, known in enumerate(EXTENSIONS):
-        out = out.when(ext.isin(known.split(" ")), i)
-    return out.otherwise(len(ROOTS))
+    roots, extensions = _numbers(_BY_ROOT), _numbers(_BY_EXTENSION)
+    folder = [F.try_element_at(roots, F.substring_index(key, "\\", n)) for n in (2, 1)]
+    return F.when(key.isNotNull(), F.coalesce(*folder, F.try_element_at(extensions, ext), F.lit(len(ROOTS)))).otherwise(F.lit(len(ROOTS)))
 
 
 def contribution(class_number: Column) -> Column:
