@@ -86,3 +86,29 @@ def impacted(paths: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return paths.withColumn("lanes", F.when(F.size(lanes) > 0, F.array_sort(F.array_distinct(lanes))).otherwise(F.array(F.lit("full"))))
 
 
+
+
+def size_ratio(decoded: Column, stored: Column) -> Column:
+    """Decoded over stored bytes; null where nothing is stored."""
+    return F.when(stored > 0, decoded / stored)
+
+
+def peak(value: str) -> Column:
+    return F.max(value)
+
+
+def scaling(one: Column, many: Column, workers: Column) -> Column:
+    """Efficiency of ``workers``: time of one over time of many, a worker."""
+    return one / workers / many
+
+
+def canonical_json(columns: list[str]) -> Column:
+    """Sorted keys, no blanks; null fields are kept."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
+def canonical_digests(rows: DataFrame, by: list[str], columns: list[str], order: str) -> DataFrame:
+    """SHA-256 of each group's records as one canonical JSON array; a group is a capsule's section, a few thousand records."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), canonical_json(columns).alias("j"))))
+    text = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["j"]), ","), F.lit("]"))
+    return rows.groupBy(*by).agg(F.sha2(text, 256).alias("digest"))
