@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arclake.llm.common import materialize
+from arclake.llm.common import materialize, tidied
 
 LEVELS = (1, 4, 16)
 #: Bytes of a group of vectors and of a block of queries, and vectors of a chunk.
-VECTOR_BYTES, QUERY_BYTES, CHUNK = 8 << 20, 2 << 20, 1024
+VECTOR_BYTES, QUERY_BYTES, CHUNK = 8 << 20, 1 << 19, 1024
+#: Pairs of a query and a vector whose components are held at once.
+PAIRS = 1 << 14
 HITS = "query_row long, query_id long, vec_id long, score long"
 
 
@@ -47,12 +49,23 @@ class Exact:
         self.most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
         self.kind = np.float64 if self.most < 2**53 else np.int64 if self.most < 2**62 else object
 
-    def of(self, a: np.ndarray, b: np.ndarray, form: str) -> np.ndarray:
-        out = np.einsum(form, a.astype(self.kind), b.astype(self.kind)) if self.kind is not np.float64 or form != "ij,kj->ik" else a.astype(np.float64) @ b.astype(np.float64).T
+    def whole(self, out: np.ndarray) -> np.ndarray:
         if self.kind is object and out.size and max(abs(int(x)) for x in out.ravel()) >= 1 << 63:
             raise OverflowError("a score does not fit in a long")
         return out.astype(np.int64)
 
+    def matrix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.whole(a.astype(self.kind) @ b.astype(self.kind).T)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.whole((a.astype(self.kind) * b.astype(self.kind)).sum(axis=1))
+
+
+def blocks(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs, ``PAIRS`` at a time; one empty block where there are none."""
+    for at in range(0, max(1, len(i)), PAIRS):
+        yield i[at : at + PAIRS], j[at : at + PAIRS]
+
 
 class Best:
     """The k best (score, vec_id) of each query so far; ties to the smaller vec_id."""
@@ -81,18 +94,20 @@ def best_of_group(q: np.ndarray, q_rows: np.ndarray, v: np.ndarray, v_ids: np.nd
     slack = 1e-6 * (1.0 + exact.most)
     of_queries = [statistics(q, s) for s in levels]
     for at in range(0, len(v), chunk):
-        part, ids, rows = v[at : at + chunk], v_ids[at : at + chunk], v_rows[at : at + chunk]
+        part, ids, other = v[at : at + chunk], v_ids[at : at + chunk], q_rows[:, None] != v_rows[at : at + chunk][None, :]
         if np.isinf(best.least).any():
-            i, j = np.nonzero(q_rows[:, None] != rows[None, :])
-            best.add(i, ids[j], exact.of(q, part, "ij,kj->ik")[i, j])
+            scores = exact.matrix(q, part)
+            floor = np.partition(np.where(other, scores, scores.min(initial=0)), max(0, len(part) - k - 1), axis=1)[:, max(0, len(part) - k - 1)]
+            i, j = np.nonzero(other & (scores >= floor[:, None]))
+            best.add(i, ids[j], scores[i, j])
             continue
-        i, j = np.nonzero((of_queries[0] @ statistics(part, levels[0]).T >= best.least[:, None] - slack) & (q_rows[:, None] != rows[None, :]))
-        for of_query, s in zip(of_queries[1:], levels[1:], strict=True):
-            bound = np.einsum("ij,ij->i", of_query[i], statistics(part, s)[j])
-            alive = bound >= best.least[i] - slack
+        of_part = [statistics(part, s) for s in levels]
+        i, j = np.nonzero((of_queries[0] @ of_part[0].T >= best.least[:, None] - slack) & other)
+        for a, b in zip(of_queries[1:], of_part[1:], strict=True):
+            alive = np.concatenate([np.einsum("ij,ij->i", a[x], b[y]) >= best.least[x] - slack for x, y in blocks(i, j)])
             i, j = i[alive], j[alive]
         if len(i):
-            best.add(i, ids[j], exact.of(q[i], part[j], "ij,ij->i"))
+            best.add(i, ids[j], np.concatenate([exact.pairs(q[x], part[y]) for x, y in blocks(i, j)]))
     return best
 
 
@@ -110,6 +125,7 @@ def _packed(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def _scores(k: int):
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
