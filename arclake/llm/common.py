@@ -6,12 +6,13 @@ Executors can be lost at any time, so lineage is cut only with Parquet tables in
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +123,7 @@ def filter_of(keys: DataFrame, key: str) -> np.ndarray:
     """
     words = 1 << max(6, min(FILTER_MOST, keys.count() * FILTER_BITS // 64 + 1).bit_length())
 
+    @tidied
     def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             word, bit = _filter_place(_key_words(batch.column(0)), words)
@@ -142,6 +144,7 @@ def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows whose 16-byte ``key`` may be among those of ``keys``, a table: others stay out of the shuffle that follows."""
     sent = rows.sparkSession.sparkContext.broadcast(filter_of(keys, key))
 
+    @tidied
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(passes(sent.value, _key_words(batch.column(key)))))
@@ -149,6 +152,40 @@ def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return rows.mapInArrow(through, rows.schema)
 
 
+def tidied(run: Callable) -> Callable:
+    """``run`` of a Python worker, which gives the memory it has freed back once a partition or group is done.
+
+    Workers are kept for later stages, and what their allocators hold on to would add up with those.
+    """
+
+    @wraps(run)
+    def wrapped(batches):
+        out = run(batches)
+        if isinstance(out, Iterator):
+            return _then_tidy(out)
+        _tidy()
+        return out
+
+    return wrapped
+
+
+def _then_tidy(out: Iterator) -> Iterator:
+    try:
+        yield from out
+    finally:
+        _tidy()
+
+
+def _tidy() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arclake.llm.common import materialize
+from arclake.llm.common import materialize, tidied
 
 EDGES = "u long, v long"
 
 
+@tidied
 def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each node of a batch with the smallest it is joined to there."""
     for batch in batches:

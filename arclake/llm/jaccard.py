@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arclake.llm.common import among, as_bytes, bucket_count, fresh, hash_words, materialize, mix64, new_seed, quoted, rolling, slices, text_key
+from arclake.llm.common import among, as_bytes, bucket_count, fresh, hash_words, materialize, mix64, new_seed, quoted, rolling, slices, text_key, tidied
 from arclake.llm.graph import components
 
 WORDS = 5
@@ -78,6 +78,7 @@ def least_overlap_column(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def _heavy(words: int, seed: bytes):
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -121,6 +122,7 @@ def _describe(words: int, seeds: int, num: int, den: int, hot, seed: bytes):
     multipliers = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(seeds)]
     mask = np.uint64((1 << 22) - 1)
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_tokens, hot_rank = hot.value
         maybe = np.zeros(1 << 22, bool)  # a quick look before the search
@@ -181,6 +183,7 @@ def combined(tokens: np.ndarray, stars: np.ndarray, small: np.ndarray, large: np
 def _post(n_buckets: int):
     """Index entries of each batch, packed per bucket of tokens."""
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = batch.column("prefix").to_pylist()
@@ -241,6 +244,7 @@ PAIRS = "u long, v long"
 
 
 def _join_bucket(num: int, den: int):
+    @tidied
     def run(part: pa.Table) -> pa.Table:
         pairs = star_pairs(*(np.frombuffer(b"".join(part.column(name).to_pylist()), kind) for name, kind in _POSTED), num, den)
         return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
@@ -266,12 +270,14 @@ def may_link(a: int, x: bytes, b: int, y: bytes, num: int = NUM, den: int = DEN)
     return int(np.isin(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)).sum()) >= shared_least(a, b, num, den)
 
 
+@tidied
 def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array([marks_of(x) for x in batch.column("prefix").to_pylist()], pa.binary())], ["node", "n", "marks"])
 
 
 def _enough(num: int, den: int):
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = zip(*(batch.column(c).to_pylist() for c in ("a", "x", "b", "y")), strict=True)
@@ -285,6 +291,7 @@ OVERLAPS = "u long, v long, a long, b long, both long"
 
 
 def _overlap(words: int, seed: bytes):
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))  # rows come sorted by u
         for batch in batches:
@@ -339,6 +346,7 @@ PACK = 512
 PACKED = "star long, node binary, n binary, extra binary, many binary, marks binary"
 
 
+@tidied
 def _pack(part: pa.Table) -> pa.Table:
     """Members of a star: their numbers, sizes, extra tokens, and the marks of their prefixes, one after the other."""
     marks = [marks_of(x) for x in part.column("prefix").to_pylist()]
@@ -350,6 +358,7 @@ def _pack(part: pa.Table) -> pa.Table:
 def _between(num: int, den: int):
     """Pairs of members of two stars that the leaders' overlap, their sizes and their marks leave possible."""
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arclake.llm.common import as_bytes, fresh, quoted, slices
+from arclake.llm.common import as_bytes, fresh, quoted, slices, tidied
 
 TOP = 300
 PER_LANGUAGE = 3000
@@ -125,6 +125,7 @@ def frequent(codes: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
     return codes[np.lexsort((codes, -counts))[:top]]
 
 
+@tidied
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
@@ -185,6 +186,7 @@ def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], text: str
     schema = T.StructType([*docs.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
     place = docs.columns.index(text)
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _predictor(profiles, top)
         for batch in batches:

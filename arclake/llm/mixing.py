@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arclake.llm.common import as_bytes, fresh, materialize, quoted, ranked, row_key, slices
+from arclake.llm.common import as_bytes, fresh, materialize, quoted, ranked, row_key, slices, tidied
 
 #: Places of the table of sums; for sources whose longest document has more words, sums are kept in steps of several.
 SUMS = 1 << 22
@@ -110,6 +110,7 @@ def nearest_sum(lengths: np.ndarray, counts: np.ndarray, rest: int, places: int
     return take
 
 
+@tidied
 def _sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
@@ -117,6 +118,7 @@ def _sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("key"), n], ["doc_id", "source", "key", "size"])
 
 
+@tidied
 def _quotas(table: pa.Table) -> pa.Table:
     """One source's histogram: how many documents of each length the rest of its target takes."""
     table = table.sort_by("size")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arclake.llm.common import as_bytes, materialize, ranked, slices
+from arclake.llm.common import as_bytes, materialize, ranked, slices, tidied
 
 CAPACITY = 4096
 #: Larger pieces are grouped; smaller ones fill the room that is left.
@@ -48,7 +48,7 @@ class WordIds(dict):
     is how the ids are dealt back to the words.  Words of other shapes are encoded one at a time.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 50_000) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -105,10 +105,11 @@ _WORDS: dict[str, WordIds] = {}
 def _pieces(path: str, capacity: int):
     end = END_ID.to_bytes(4, "little")
 
+    @tidied
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WORDS.get(path) or _WORDS.setdefault(path, WordIds(path))
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 ids, seeds, numbers, starts, lengths, crcs = [], [], [], [], [], []
                 texts = [known.split(text) for text in as_bytes(part.column("text"))]
                 known.learn(set().union(*texts))

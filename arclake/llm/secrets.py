@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arclake.llm.common import materialize, slices
+from arclake.llm.common import materialize, slices, tidied
 
 #: The kinds in their listed order, and the base patterns.
 KINDS = ("assign", "access", "hex", "token")
@@ -87,6 +87,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found, key=lambda c: (c[1], c[0]))
 
 
+@tidied
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     struct = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.binary()), ("live", pa.bool_())])
     for batch in batches:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arclake.llm.common import as_bytes, bucket_count, filter_of, materialize, mix64, new_seed, passes, rolling, row_key, slices, word_prints
+from arclake.llm.common import as_bytes, bucket_count, filter_of, materialize, mix64, new_seed, passes, rolling, row_key, slices, tidied, word_prints
 
 WINDOW = 50
 LAST = (1 << 63) - 1
@@ -121,6 +121,7 @@ ANCHORS = {"anchor": np.uint64, "least": np.int64, "most": np.int64, "n": np.int
 def _anchors(window: int, n_buckets: int, seed: bytes):
     """Per batch and anchor: smallest and largest document, and occurrences, packed per bucket of anchors."""
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -137,6 +138,7 @@ def _anchors(window: int, n_buckets: int, seed: bytes):
     return run
 
 
+@tidied
 def _shared(part: pa.Table) -> pa.Table:
     """Anchors that more than one document has, and their occurrences."""
     anchor, least, most, n = _unpacked(part, ANCHORS)
@@ -162,6 +164,7 @@ def _keys(part: pa.RecordBatch) -> np.ndarray:
 def _deal(window: int, n_buckets: int, sent, seed: bytes):
     """Runs of suffixes with their words, once for equal ones of a batch, packed per bucket of anchors."""
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, hot = sent.value
         for batch in batches:
@@ -236,6 +239,7 @@ def doc_bucket(key: np.ndarray, n_buckets: int) -> np.ndarray:
 def _subtrees(window: int, n_buckets: int):
     """Sorts the suffixes of a group and gives the repeats of later documents, dealt to the buckets of documents."""
 
+    @tidied
     def run(part: pa.Table) -> pa.Table:
         held = [x.as_py() for x in part.column("counts")]
         words, counts, own, doc, key1, key2, start = _unpacked(part, RUNS)
@@ -277,6 +281,7 @@ WINDOWS = "path1 long, path2 long, at long, key binary, start long"
 def _windows(window: int, sent, seed: bytes):
     """Every window of hot prefixes by itself."""
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, hot = sent.value
         for batch in batches:
@@ -292,6 +297,7 @@ def _windows(window: int, sent, seed: bytes):
 
 
 def _hot_flags(window: int, n_buckets: int):
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = _keys(batch)
@@ -315,6 +321,7 @@ _SPANS = pa.list_(pa.list_(pa.int64()))
 GATHERED = "at long, key binary, found array<array<bigint>>"
 
 
+@tidied
 def _gather(part: pa.Table) -> pa.Table:
     """One row per document: its maximal repeats, in order."""
     doc, key1, key2, start, stop, owner, owner_start = _unpacked(part, FLAGS)
@@ -332,6 +339,7 @@ KEPT = "doc_id long, n_words long, n_removed long, kept string, spans array<arra
 
 
 def _remove(digest: bool):
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arclake.llm.common import as_bytes, materialize, shared_dir
+from arclake.llm.common import as_bytes, materialize, shared_dir, tidied
 
 FILE_BYTES = 16 << 20
 #: Entries of a batch, and of a range of the merge.
@@ -110,6 +110,7 @@ def _parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _writer(folder: str):
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -165,6 +166,7 @@ _SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in INDEX.split("
 def _entries(folder: str):
     """Index entries of each file, in the file's own order."""
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -231,6 +233,7 @@ class LoserTree:
             self._replay(self.winner)
 
 
+@tidied
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ascending runs of each file's entries, as they come, merged.  A range holds about ``RANGE`` entries."""
     last: dict[str, list] = {}
