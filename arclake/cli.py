@@ -1,8 +1,11 @@
 """Command line: pack, unpack, list and dump archives.
 
-    arclake pack DIR[+DIR...] NAME --family FAMILY [--stored] [--split GIB] [--share yes|no] [--masks a;b] [--flags HEX] [--file-flags HEX] [--replace]
+    arclake [--workers N] [--progress] [--lenient] COMMAND
+    arclake pack SOURCE[+SOURCE...] NAME --family FAMILY [--stored] [--split GIB] [--share yes|no] [--masks a;b] [--flags HEX] [--file-flags HEX] [--replace]
     arclake unpack ARCHIVE [DIR] [--replace]
-    arclake list ARCHIVE [--dump]
+    arclake list ARCHIVE [--dump] [--masks a;b]
+
+A source is a folder, an archive, whose entries are packed, or a file.
 
 Exit codes: 0 done, 1 the archive or target refuses, 2 wrong usage, 130 interrupted.
 """
@@ -11,28 +14,17 @@ from __future__ import annotations
 
 import argparse
 import sys
-from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from arclake.operators import pack, publish
+from arclake import VERSION
+from arclake.operators import control, pack, publish, sources, staging, validate
+from arclake.plans import packing
 from arclake.sources import archive, wire
 
 
-def loose_files(spark: SparkSession, root: str, seq: int) -> DataFrame:
-    """Regular files below a folder (links are not followed) as (name, payload, seq); names use backslashes."""
-    top = Path(root).resolve()
-    paths = sorted(str(p) for p in ([top] if top.is_file() else top.rglob("*")) if p.is_file() and not p.is_symlink())
-    if not paths:
-        return spark.createDataFrame([], "name string, payload binary, seq long")
-    base = len(str(top.parent if top.is_file() else top)) + 1
-    files = spark.read.format("binaryFile").load(paths)
-    name = F.translate(F.substring(F.regexp_replace("path", "^file:/*", "/"), base + 1, 1 << 20), "/", "\\")
-    return files.select(name.alias("name"), F.col("content").alias("payload"), F.lit(seq).cast("long").alias("seq"))
-
-
 def _hex(text: str) -> int:
     value = int(text, 16)
     if not 0 <= value < 1 << 32:
@@ -42,6 +34,10 @@ def _hex(text: str) -> int:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="arclake")
+    top.add_argument("--version", action="version", version=f"arclake {VERSION}")
+    top.add_argument("--workers", type=int, help="threads on this machine, where no cluster is configured")
+    top.add_argument("--progress", action="store_true", help="count tasks on standard error")
+    top.add_argument("--lenient", action="store_true", help="read what the compatibility profile tolerates")
     commands = top.add_subparsers(dest="command", required=True)
     p = commands.add_parser("pack")
     p.add_argument("sources")
@@ -61,6 +57,7 @@ def parser() -> argparse.ArgumentParser:
     show = commands.add_parser("list")
     show.add_argument("archive")
     show.add_argument("--dump", action="store_true")
+    show.add_argument("--masks", default="")
     return top
 
 
@@ -68,31 +65,54 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     policy = "REPLACE" if getattr(args, "replace", False) else "FAIL"
     if args.command == "pack":
         target = Path(args.target).resolve()
-        layers = [loose_files(spark, s, i) for i, s in enumerate(args.sources.split("+"))]
-        entries = reduce(DataFrame.unionByName, layers).withColumn("archive", F.lit(target.stem))
+        paths = [sources.DetectedPath(s) for s in args.sources.split("+")]
+        entries = sources.entries(spark, paths, (str(target),), args.lenient).withColumn("archive", F.lit(target.stem))
         options = pack.PackOptions(args.family, not args.stored, args.share == "yes", args.split << 30 if args.split else None, tuple(m for m in args.masks.split(";") if m), args.flags, args.file_flags, leave_out=(), require_entries=True)
         done = publish.publish_parts(pack.pack(entries, options), str(target.parent), target.suffix, policy)
         return [f"{n}\t{size}" for n, size in done]
-    files = archive.archives(spark, args.archive)
+    files = archive.listed(spark, args.archive)
+    control.require(archive.entries(files, args.lenient), control.Limits(), ["path"])
     if args.command == "unpack":
-        return [f"{n}\t{size}" for n, size in publish.extract(archive.contents(files), str(Path(args.target).resolve()), policy)]
+        return [f"{n}\t{size}" for n, size in publish.extract(archive.contents(files, lenient=args.lenient), str(Path(args.target).resolve()), policy)]
+    found = archive.entries(files, args.lenient)
+    if args.masks:
+        found = packing.keep_masks(found, [m for m in args.masks.split(";") if m], "display")
     columns = ["ordinal", "display", "decoded_size", *(["stored_size", "codec", "offset", "hash"] if args.dump else [])]
-    lines = ["\t".join(map(str, r)) for r in archive.entries(files).orderBy("ordinal").select(*columns).toLocalIterator()]
-    notes = [f"{r['severity']}\t{r['id']}" for r in archive.diagnostics(files).orderBy("id", "ordinal").toLocalIterator()]
-    return lines + notes
+    lines = ["\t".join(map(str, r)) for r in found.orderBy("path", "ordinal").select(*columns).toLocalIterator()]
+    notes = validate.retain(archive.diagnostics(files, args.lenient).withColumns({"phase": F.lit(0), "location": F.col("field")}), ["path"], control.Limits().diagnostics)
+    lines += [f"{r['id']}{'' if r['omitted'] is None else chr(9) + str(r['omitted'])}" for r in notes.orderBy("path", "place").toLocalIterator()]
+    totals = archive.summary(files, args.lenient).orderBy("path").toLocalIterator()
+    return lines + [f"{r['family']}\t{r['entries']} entries\t{r['compressed']} compressed\t{r['decoded_bytes']} bytes" for r in totals]
+
+
+def watched(spark: SparkSession, args: argparse.Namespace) -> list[str]:
+    """The command as an operation whose tasks are counted on standard error, and which an interrupt cancels."""
+    operation = control.Operation(spark, lambda: run(spark, args))
+    try:
+        while operation.thread.is_alive():
+            operation.thread.join(1.0)
+            now = operation.progress()
+            if args.progress and now.tasks:
+                print(f"\r{now.done}/{now.tasks} tasks", end="", file=sys.stderr)
+    except KeyboardInterrupt:
+        operation.cancel()
+    return operation.wait()
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName("arclake").config("spark.ui.enabled", "false").getOrCreate()
+    builder = SparkSession.builder.appName("arclake").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    spark = (builder.master(f"local[{args.workers}]") if args.workers else builder).getOrCreate()
     try:
-        print("\n".join(run(spark, args)))
+        print("\n".join(watched(spark, args)))
         return 0
-    except (pack.PackError, publish.PublicationError, ValueError) as fault:
+    except control.Cancelled:
+        return 130
+    except (pack.PackError, publish.PublicationError, sources.SourceError, ValueError) as fault:
         print(fault, file=sys.stderr)
         return 1
-    except KeyboardInterrupt:
-        return 130
+    finally:
+        staging.release(spark)
 
 
 if __name__ == "__main__":
