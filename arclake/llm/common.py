@@ -9,8 +9,6 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
 
@@ -20,23 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arclake.operators import staging
+from arclake.operators.staging import release as release_tables  # noqa: F401
+from arclake.operators.staging import shared_folder as shared_dir  # noqa: F401
+
 #: A word is a maximal run of bytes other than these six, which is what ``bytes.split`` does too.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_WRITTEN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session has none and runs in one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="arclake-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 #: Rows of an Arrow batch while a table is written: texts are long, and a batch is held by the JVM and by Python.
 BATCH_ROWS = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -44,24 +32,13 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/arclake-{uuid.uuid4().hex}"
-    usual = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(usual)) if int(usual) > 0 else BATCH_ROWS))
+    conf = df.sparkSession.conf
+    usual = conf.get(_BATCH)
+    conf.set(_BATCH, str(min(BATCH_ROWS, int(usual)) if int(usual) > 0 else BATCH_ROWS))
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        return staging.stage(df)
     finally:
-        spark.conf.set(_BATCH, usual)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release_tables(spark: SparkSession) -> None:
-    """Delete every table that ``materialize`` wrote; call it once the results that read them are stored."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+        conf.set(_BATCH, usual)
 
 
 def bucket_count(spark: SparkSession, entries: int, most: int = 1 << 20) -> int:

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arclake.llm.common import as_bytes, materialize, shared_dir, tidied
+from arclake.operators import staging
 
 FILE_BYTES = 16 << 20
 #: Entries of a batch, and of a range of the merge.
@@ -149,7 +150,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, page_id: str = "page
 
     ``captured`` is the time of capture in seconds, 0 by default.  Payloads under ``least_bytes`` never revisit.
     """
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = folder or staging.to_release(f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
     payload = F.coalesce(F.col(html), F.lit(""))
     plain = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("print"), F.coalesce((F.lit(0) if captured is None else captured).cast("long"), F.lit(0)).alias("captured"))
     equal = plain.select("print", "page_id").groupBy("print").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("print", "best")
