@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arclake import vectors
 from arclake.functions import codec, dds, names, texture
-from arclake.operators import measures, pack, validate
+from arclake.operators import control, measures, pack, validate
 from arclake.plans import packing
 from arclake.queries import _FAILURES, _GRID, _SPANS, L, U, _class_sql, _failures, _grid, _spans, entries, named, query
 from arclake.sources import archive
@@ -253,3 +253,21 @@ def evidence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical JSON of each source's records, and its digest."""
     own = entries(spark, sf_dir).select("source", F.col("doc_id").alias("id"), "size")
     return measures.canonical_digests(own, ["source"], ["id", "size"], "id")
+
+
+@query("SELECT doc_id, CASE WHEN n > 4294967295 OR (n & 1073741824) <> 0 THEN 'bsa.wire-limit' END AS bsa, CASE WHEN n > 4294967295 THEN 'ba2.wire-limit' END AS ba2, CASE WHEN n > 4294967295 THEN 'tes3.wire-limit' END AS tes3 FROM (SELECT doc_id, doc_id * 10000019 AS n FROM e)")
+def size_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("doc_id") * 10000019
+    return entries(spark, sf_dir).select("doc_id", *(packing.size_limit(layout, size).alias(name) for layout, name in (("bsa", "bsa"), ("dds", "ba2"), ("tes3", "tes3"))))
+
+
+@query("""SELECT source, CASE WHEN n > 45 THEN 'entries' WHEN decoded > 130000 THEN 'decoded_bytes' END AS "limit" FROM (SELECT source, count(*) AS n, sum(size) AS decoded FROM e GROUP BY source) WHERE n > 45 OR decoded > 130000""")
+def resource_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = entries(spark, sf_dir).select("source", F.lit("FO4_GENERAL_BA2").alias("family"), F.col("name").alias("display"), F.col("size").alias("decoded_size"), F.col("size").alias("stored_size"))
+    return control.passed(own, control.Limits(entries=45, metadata_bytes=None, decoded_bytes=130_000, scratch_bytes=None), ["source"])
+
+
+@query("SELECT source, count(*) AS entries, CAST(sum(octet_length(encode(name)) + 38) AS BIGINT) AS metadata_bytes FROM e GROUP BY source")
+def metadata_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = entries(spark, sf_dir).select("source", F.lit("FO4_GENERAL_BA2").alias("family"), F.col("name").alias("display"), F.col("size").alias("decoded_size"), F.col("size").alias("stored_size"))
+    return control.measured(own, ["source"]).select("source", "entries", "metadata_bytes")

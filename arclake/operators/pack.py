@@ -145,6 +145,9 @@ def plan_entries(entries: DataFrame, options: PackOptions) -> DataFrame:
     owners = payloads_of(entries, rows.filter("owner = ordinal").select("archive", "identity", "seq", "owner", "codec"))
     stored = staging.stage(owners.select("archive", "owner", codecs.encode_column(F.col("payload"), F.col("codec")).alias("stored")))
     rows = rows.join(stored.select("archive", "owner", F.octet_length("stored").cast("long").alias("stored_size")), ["archive", "owner"])
+    refused = packing.size_limit(layout, framed_size(options) if layout == "bsa" else F.col("stored_size"))
+    if (fault := rows.select(refused.alias("id")).filter("id is not null").first()) is not None:
+        raise PackError(fault["id"])
     target = packing.SPLIT_TARGETS[layout] if options.split is None else options.split
     name_bytes = F.octet_length("identity")
     if layout in ("ba2", "dds"):
@@ -159,7 +162,7 @@ def plan_entries(entries: DataFrame, options: PackOptions) -> DataFrame:
 def framed_size(options: PackOptions) -> Column:
     """Stored bytes of a versioned entry with what stands before them: an embedded name, the decoded size."""
     name = F.octet_length("identity") + 1 if embeds_names(options) else F.lit(0)
-    return F.col("stored_size") + name + F.when(F.col("codec") != "stored", 4).otherwise(0)
+    return F.col("stored_size") + name + F.when(F.col("codec") != "stored", 4).otherwise(0).cast("long")
 
 
 def pack(entries: DataFrame, options: PackOptions) -> DataFrame:

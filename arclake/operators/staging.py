@@ -29,6 +29,12 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def to_release(path: str) -> str:
+    """A folder below the shared one that is deleted with the staged tables."""
+    _STAGED.append(path)
+    return path
+
+
 def release(spark: SparkSession) -> None:
     """Delete every staged table; call it once the results that read them are stored."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -198,3 +198,13 @@ def wire_limits(layout: str, embedded: bool = False, identity: str = "identity")
     if layout == "bsa":
         return F.when(folder > 254, "folder-name").when(F.lit(embedded) & (whole > 255), "full-name")
     return F.when(F.lit(layout in ("ba2", "dds")) & (whole > 65535), "ba2-name")
+
+
+def size_limit(layout: str, size: Column) -> Column:
+    """The id with which a family refuses a record of ``size`` bytes, or null: sizes have 32 bits, and in versioned archives
+    bit 30 tells that a record is compressed."""
+    beyond = (size < 0) | (size > 0xFFFFFFFF)
+    if layout == "bsa":
+        beyond |= size.bitwiseAND(F.lit(0x40000000).cast("long")) != 0
+    family = "ba2" if layout == "dds" else layout
+    return F.when(beyond, f"{family}.wire-limit")
