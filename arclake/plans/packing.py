@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arclake.functions import names
+from arclake.operators.staging import stage
 
 #: Default split targets, and bytes charged to an entry beside its payload and name.
 SPLIT_TARGETS = {"tes3": 2_147_483_647, "bsa": 2_147_483_647, "ba2": 0}
@@ -65,6 +66,7 @@ def in_archive_order(entries: DataFrame, family: str, by: list[str] | None = Non
         order, coarse = [*folder, names.unsigned(F.col("__base_hash")), F.col("__base").cast("binary")], [*folder, F.call_function("shiftrightunsigned", "__base_hash", F.lit(56))]
     else:
         rows, order, coarse = entries, [F.col("position")], [F.call_function("shiftright", "position", F.lit(16))]
+    rows = stage(rows) if family in ("tes3", "bsa") else rows  # hashed once, whatever reads it
     return ordinals(rows, [*order, *last], by, coarse).drop("__hash", "__folder", "__base", "__folder_hash", "__base_hash")
 
 
@@ -76,14 +78,16 @@ def ordinals(entries: DataFrame, order: list[Column], by: list[str] | None = Non
     """
     by, cuts = by or [], [f"__cut{i}" for i in range(len(coarse or []))]
     rows = entries.withColumns(dict(zip(cuts, coarse or [], strict=True)))
-    inside = F.row_number().over(Window.partitionBy(*(by + cuts or [F.lit(0)])).orderBy(*order)) - 1
+    group = Window.partitionBy(*(by + cuts or [F.lit(0)]))
+    inside = rows.withColumn("__row", F.row_number().over(group.orderBy(*order)) - 1)
     if not cuts:
-        return rows.withColumn("ordinal", inside.cast("long"))
-    sizes = rows.groupBy(*by, *cuts).agg(F.count(F.lit(1)).alias("__n"))
+        return inside.withColumn("ordinal", F.col("__row").cast("long")).drop("__row")
+    # The first row of a group tells its size, so that both sides of the join come from one exchange.
+    inside = inside.withColumn("__n", F.count(F.lit(1)).over(group))
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    joined = rows.withColumn("__row", inside).join(firsts, [*by, *cuts])
-    return joined.withColumn("ordinal", (F.col("__first") + F.col("__row")).cast("long")).drop("__first", "__row", *cuts)
+    firsts = inside.filter("__row = 0").select(*by, *cuts, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    joined = inside.join(firsts, [*by, *cuts])
+    return joined.withColumn("ordinal", (F.col("__first") + F.col("__row")).cast("long")).drop("__first", "__row", "__n", *cuts)
 
 
 def content_print(payload: Column) -> Column:
