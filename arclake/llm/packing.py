@@ -72,8 +72,8 @@ class WordIds(dict):
             self.old = dict(self)
             self.clear()
         plain, runs = [], []
-        for word in words:
-            if word not in self and word not in self.old and len(word) <= 64:
+        for word in [w for w in words.difference(self.old) if w not in self]:
+            if len(word) <= 64:
                 text = word.decode("utf-8", "replace")
                 if text.isalpha():
                     plain.append(word)
