@@ -25,6 +25,15 @@ def overlay(sources: DataFrame, key: str = "identity", order: str = "seq") -> Da
     return kept.select(key, "position", "row.*")
 
 
+def layers(sources: DataFrame, by: list[str], order: list[str], key: str = "identity") -> DataFrame:
+    """The layer of each row: how many rows of its identity come before it.
+
+    An archive holds an identity once, and ``overlay`` keeps the last row of each; archives of one layer keep them all.
+    Rows that tie in ``order`` should be equal in all that is packed.
+    """
+    return sources.withColumn("layer", F.row_number().over(Window.partitionBy(*by, key).orderBy(*order)) - 1)
+
+
 def keep_masks(entries: DataFrame, masks: list[str], name: str = "name") -> DataFrame:
     return entries.filter(names.matches_masks(F.col(name), masks))
 
