@@ -20,7 +20,7 @@ def repeats(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["roundtrip_fo4_zlib", "roundtrip_starfield_lz4"])
+@pytest.mark.parametrize("name", ["roundtrip_fo4_zlib", "roundtrip_starfield_lz4", "roundtrip_tes4_zlib"])
 def test_repeated_names_are_all_there(spark, repeats, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{repeats}/documents.parquet/*.parquet'")
