@@ -189,9 +189,10 @@ def contents(files: DataFrame, ordinals: list[int] | None = None, lenient: bool
     return _scan(files, CONTENTS, rows, lenient)
 
 
-def summary(files: DataFrame, lenient: bool = False) -> DataFrame:
-    """Per archive: entries, compressed entries, codecs, bytes."""
-    return entries(files, lenient).groupBy("path", "family").agg(
+def summary(files: DataFrame, lenient: bool = False, path: Column | None = None) -> DataFrame:
+    """Per archive: entries, compressed entries, codecs, bytes; archives for which ``path`` gives the same are added up."""
+    found = entries(files, lenient)
+    return (found if path is None else found.withColumn("path", path)).groupBy("path", "family").agg(
         F.count(F.lit(1)).alias("entries"), F.count_if(F.col("codec") != "stored").alias("compressed"),
         F.array_join(F.array_sort(F.collect_set("codec")), ",").alias("codecs"), F.sum("decoded_size").alias("decoded_bytes"), F.sum("stored_size").alias("stored_bytes"),
     )
