@@ -37,6 +37,7 @@ class PackOptions:
     masks: tuple[str, ...] = ()
     archive_flags: int | None = None
     file_flags: int | None = None
+    #: Compression of chosen entries: identity, compression, and archive where choices are of one archive.
     overrides: DataFrame | None = field(default=None, compare=False)
     max_decoded: int | None = None
     #: Entries left out instead of rejected; an empty tuple rejects every request the reference rejects.
@@ -87,13 +88,26 @@ def admit(entries: DataFrame, options: PackOptions) -> DataFrame:
         raise PackError(first["fault"])
     if options.require_entries and rows.isEmpty():
         raise PackError(f"{'ba2' if layout == 'dds' else layout}.empty-entry-set")
-    if options.overrides is not None and not packing.unmatched_overrides(rows, options.overrides).isEmpty():
-        raise PackError("pack.unmatched-entry-compression")
+    if options.overrides is not None:
+        check_choices(rows, options.overrides)
     if layout != "dds":
         check_decoded(rows.withColumnRenamed("position", "ordinal"), options, "size")
     return rows.select("archive", "identity", F.col("winner").alias("seq"), "position", "size", "print")
 
 
+def choice_keys(overrides: DataFrame) -> list[str]:
+    return [k for k in ("archive", "identity") if k in overrides.columns]
+
+
+def check_choices(rows: DataFrame, overrides: DataFrame) -> None:
+    """Each choice matches an entry, and no entry has two: a join would double it, and no reader takes such an archive."""
+    keys = choice_keys(overrides)
+    if not packing.unmatched_overrides(rows, overrides, keys).isEmpty():
+        raise PackError("pack.unmatched-entry-compression")
+    if not overrides.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise PackError("pack.repeated-entry-compression")
+
+
 def embeds_names(options: PackOptions) -> bool:
     layout, version, _ = WRITERS[options.family]
     return layout == "bsa" and version != 0x67 and bool((options.archive_flags or 0) & 0x100)
@@ -133,7 +147,7 @@ def plan_entries(entries: DataFrame, options: PackOptions) -> DataFrame:
     rows = admit(entries, options)
     default = F.lit(packed if options.compress else "stored")
     if options.overrides is not None and layout != "tes3":
-        rows = packing.with_overrides(rows, options.overrides, default, value="compression").withColumn("codec", F.when(F.col("compression") == "stored", "stored").otherwise(packed)).drop("compression")
+        rows = packing.with_overrides(rows, options.overrides, default, choice_keys(options.overrides), "compression").withColumn("codec", F.when(F.col("compression") == "stored", "stored").otherwise(packed)).drop("compression")
     else:
         rows = rows.withColumn("codec", default)
     rows = packing.in_archive_order(rows, layout, ["archive"])

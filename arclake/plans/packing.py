@@ -38,12 +38,12 @@ def keep_masks(entries: DataFrame, masks: list[str], name: str = "name") -> Data
     return entries.filter(names.matches_masks(F.col(name), masks))
 
 
-def with_overrides(entries: DataFrame, overrides: DataFrame, default: Column, key: str = "identity", value: str = "compression") -> DataFrame:
+def with_overrides(entries: DataFrame, overrides: DataFrame, default: Column, key: str | list[str] = "identity", value: str = "compression") -> DataFrame:
     """Per-entry choice where one is given, the default elsewhere.  The planner broadcasts small choice tables."""
     return entries.join(overrides, key, "left").withColumn(value, F.coalesce(F.col(value), default))
 
 
-def unmatched_overrides(entries: DataFrame, overrides: DataFrame, key: str = "identity") -> DataFrame:
+def unmatched_overrides(entries: DataFrame, overrides: DataFrame, key: str | list[str] = "identity") -> DataFrame:
     return overrides.join(entries, key, "left_anti")
 
 

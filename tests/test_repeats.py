@@ -7,6 +7,8 @@ import pytest
 from test_oracle import plain
 
 import __spark_entry__ as entry
+from arclake.operators import pack
+from arclake.sources import archive
 
 PERIOD = 13 * 64  # ids so far apart have names alike but for the number, which ids of 9 modulo 13 do not have
 
@@ -20,9 +22,21 @@ def repeats(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["roundtrip_fo4_zlib", "roundtrip_starfield_lz4", "roundtrip_tes4_zlib", "roundtrip_fo3_stored", "roundtrip_sse_lz4", "roundtrip_tes3_stored", "inspect_summary"])
+@pytest.mark.parametrize("name", ["roundtrip_fo4_zlib", "roundtrip_starfield_lz4", "roundtrip_tes4_zlib", "roundtrip_fo3_stored", "roundtrip_sse_lz4", "roundtrip_tes3_stored", "inspect_summary", "inspect_compressed"])
 def test_repeated_names_are_all_there(spark, repeats, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{repeats}/documents.parquet/*.parquet'")
     got, want = entry.queries()[name](spark, repeats).toPandas(), con.sql(entry.oracle_sql()[name]).df()
     assert plain(got, sorted(want.columns)) == plain(want, sorted(want.columns))
+
+
+def test_choices_of_one_archive_and_repeated_choices(spark):
+    rows = [(a, f"meshes\\{n}.nif", b"x" * 99, i) for i, (a, n) in enumerate([("one", "a"), ("one", "b"), ("two", "a")])]
+    entries = spark.createDataFrame(rows, "archive string, name string, payload binary, seq long")
+    choices = spark.createDataFrame([("one", "meshes\\a.nif", "stored")], "archive string, identity string, compression string")
+    parts = pack.pack(entries, pack.PackOptions("FO4_GENERAL_BA2", overrides=choices)).selectExpr("archive AS path", "content")
+    assert {(r["path"], r["identity"], r["codec"]) for r in archive.entries(parts).collect()} == {("one", "meshes\\a.nif", "stored"), ("one", "meshes\\b.nif", "zlib"), ("two", "meshes\\a.nif", "zlib")}
+    with pytest.raises(pack.PackError, match="pack.unmatched-entry-compression"):
+        pack.pack(entries, pack.PackOptions("FO4_GENERAL_BA2", overrides=choices.selectExpr("'two' AS archive", "'meshes\\\\b.nif' AS identity", "compression")))
+    with pytest.raises(pack.PackError, match="pack.repeated-entry-compression"):
+        pack.pack(entries, pack.PackOptions("FO4_GENERAL_BA2", overrides=choices.union(choices).drop("archive")))
