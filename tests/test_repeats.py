@@ -40,3 +40,14 @@ def test_choices_of_one_archive_and_repeated_choices(spark):
         pack.pack(entries, pack.PackOptions("FO4_GENERAL_BA2", overrides=choices.selectExpr("'two' AS archive", "'meshes\\\\b.nif' AS identity", "compression")))
     with pytest.raises(pack.PackError, match="pack.repeated-entry-compression"):
         pack.pack(entries, pack.PackOptions("FO4_GENERAL_BA2", overrides=choices.union(choices).drop("archive")))
+
+
+def test_order_tes3_leaves_only_ties_open(spark, repeats):
+    """The SQL orders by hash and name alone: names stand where it puts them, and equal ones here by their doc_id."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{repeats}/documents.parquet/*.parquet'")
+    named = {r["doc_id"]: r["identity"] for r in entry.queries()["name_identity"](spark, repeats).collect()}
+    got = entry.queries()["order_tes3"](spark, repeats).orderBy("ordinal").toPandas()["doc_id"].tolist()
+    want = con.sql(f"SELECT doc_id FROM ({entry.oracle_sql()['order_tes3']}) ORDER BY ordinal").df()["doc_id"].tolist()
+    assert [named[i] for i in got] == [named[i] for i in want]
+    assert len(set(named[i] for i in got)) < len(got) and all(a < b for a, b in zip(got, got[1:], strict=False) if named[a] == named[b])
