@@ -1,14 +1,20 @@
 """Packing as one plan: overlay, masks, order, codec, sharing, parts, assembly; and its inverse, extraction.
 
 Names, hashes, order, sharing and parts are planned without payloads; payloads are fetched and encoded in Arrow batches,
-each distinct one once; an archive part is assembled from its rows, whose size the split target bounds.
+each distinct one once; an archive part is assembled from its rows, whose size the split target bounds, or written
+through to a file, whatever its size (``pack_files``).
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +23,10 @@ from arclake.functions import names
 from arclake.operators import staging
 from arclake.plans import packing
 from arclake.functions.texture import analyze, canonical_header, widen_bgr24
-from arclake.sources.wire import WRITERS, Item, Texture, build, build_textures
+from arclake.sources.wire import WRITERS, Item, Texture, around, build, build_textures, embeds, frame
 
 PARTS = "archive string, part int, entries long, content binary"
+FILES = "archive string, part int, entries long, path string, length long, modified long"
 
 
 class PackError(ValueError):
@@ -110,7 +117,7 @@ def check_choices(rows: DataFrame, overrides: DataFrame) -> None:
 
 def embeds_names(options: PackOptions) -> bool:
     layout, version, _ = WRITERS[options.family]
-    return layout == "bsa" and version != 0x67 and bool((options.archive_flags or 0) & 0x100)
+    return embeds(layout, version, options.archive_flags or 0)
 
 
 def name_fault(layout: str, embedded: bool) -> Column:
@@ -137,8 +144,8 @@ def payloads_of(entries: DataFrame, wanted: DataFrame) -> DataFrame:
     return sources.join(wanted, ["archive", "identity", "seq"])
 
 
-def plan_entries(entries: DataFrame, options: PackOptions) -> DataFrame:
-    """archive, name, payload, seq -> ordered entries with identity, codec, owner, part, and the stored bytes of owners.
+def plan_entries(entries: DataFrame, options: PackOptions) -> tuple[DataFrame, DataFrame]:
+    """archive, name, payload, seq -> ordered entries with identity, codec, owner, part and flags, and the stored bytes of owners.
 
     Payloads are compared as they will be stored: with embedded names a payload's frame holds its own name, so nothing is
     shared.  In BA2 an entry whose owner is in its part already adds no payload to it.
@@ -170,7 +177,15 @@ def plan_entries(entries: DataFrame, options: PackOptions) -> DataFrame:
         parts = packing.split_parts(rows, target, packing.entry_cost(F.col("size") if layout == "tes3" else framed_size(options), name_bytes), ["archive"])
     # Of the rows of a part that share an owner, the first carries its bytes.
     carriers = parts.groupBy("archive", "part", "owner").agg(F.min("ordinal").alias("ordinal")).join(stored, ["archive", "owner"]).select("archive", "part", "ordinal", "stored")
-    return parts.join(carriers, ["archive", "part", "ordinal"], "left")
+    if layout == "bsa":
+        flags = packing.archive_flags(parts, version, ["archive", "part"], F.col("codec") != "stored")
+        for name in ("archive_flags", "file_flags"):
+            if (given := getattr(options, name)) is not None:
+                flags = flags.withColumn(name, F.lit(given).cast("long"))
+        parts = parts.join(flags, ["archive", "part"])
+    else:
+        parts = parts.withColumns({"archive_flags": F.lit(0).cast("long"), "file_flags": F.lit(0).cast("long")})
+    return parts, carriers
 
 
 def framed_size(options: PackOptions) -> Column:
@@ -185,15 +200,8 @@ def pack(entries: DataFrame, options: PackOptions) -> DataFrame:
     layout, version, _ = WRITERS[options.family]
     if layout == "dds":
         return pack_textures(entries, options)
-    planned = plan_entries(entries, options)
-    if layout == "bsa":
-        flags = packing.archive_flags(planned.drop("stored"), version, ["archive", "part"], F.col("codec") != "stored")
-        for name in ("archive_flags", "file_flags"):
-            if (given := getattr(options, name)) is not None:
-                flags = flags.withColumn(name, F.lit(given).cast("long"))
-        planned = planned.join(flags, ["archive", "part"])
-    else:
-        planned = planned.withColumns({"archive_flags": F.lit(0).cast("long"), "file_flags": F.lit(0).cast("long")})
+    parts, carriers = plan_entries(entries, options)
+    planned = parts.join(carriers, ["archive", "part", "ordinal"], "left")
     rows = planned.select("archive", "part", "identity", "ordinal", "owner", "stored", "codec", "size", "archive_flags", "file_flags")
     family = options.family
 
@@ -208,6 +216,69 @@ def pack(entries: DataFrame, options: PackOptions) -> DataFrame:
     return rows.groupBy("archive", "part").applyInArrow(assemble, PARTS)
 
 
+def _through(family: str, folder: str):
+    """Write rows through to files, an archive part each; those of a part come together, its entries before the payloads it
+    stores, both by ordinal.  Of a part only the index is held."""
+    layout, version, _ = WRITERS[family]
+    columns = ("archive", "part", "payloads", "ordinal", "identity", "owner", "codec", "size", "stored_size", "archive_flags", "file_flags")
+
+    def told(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in columns), batch.column("stored"), strict=True)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for (archive, part), own in groupby(told(batches), key=lambda r: r[:2]):
+            items: dict[int, Item] = {}
+            waiting: set[int] = set()
+            flags, embed, tail, length, name = (0, 0), False, b"", 0, uuid.uuid4().hex
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+                for payloads, rows in groupby(own, key=lambda r: r[2]):
+                    if not payloads:
+                        for _, _, _, ordinal, identity, owner, codec, size, stored_size, *flags, _ in rows:
+                            items[ordinal] = Item(identity.encode("ascii"), ordinal, owner, None, codec, size, stored_size)
+                        embed = embeds(layout, version, flags[0])
+                        head, tail = around(family, list(items.values()), *flags)
+                        out.write(head)
+                        length, waiting = len(head), {i.owner for i in items.values()}
+                        continue
+                    for _, _, _, ordinal, *_, stored in rows:
+                        before, data = frame(items[ordinal], layout, embed), stored.as_buffer()
+                        if data.size != items[ordinal].stored_size:
+                            raise PackError("pack.changed-payload")
+                        waiting.remove(items[ordinal].owner)
+                        out.write(before)
+                        out.write(data)
+                        length += len(before) + data.size
+                out.write(tail)
+            found = store.get_file_info(f"{root}/{name}")
+            if waiting or found.size != length + len(tail):
+                raise PackError("pack.missing-payload")
+            row = ([archive], pa.array([part], pa.int32()), pa.array([len(items)], pa.int64()), [f"{folder}/{name}"], pa.array([found.size], pa.int64()), pa.array([(found.mtime_ns or 0) // 1_000_000], pa.int64()))
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.string()) for x in row], [c.split()[0] for c in FILES.split(", ")])
+
+    return run
+
+
+def pack_files(entries: DataFrame, options: PackOptions, folder: str | None = None) -> DataFrame:
+    """Archive parts as files: archive, part, entries, and path, length, modified, which the scans take as ``listed``.
+
+    The bytes are those of ``pack``, but neither a row nor a worker holds a part: a task sorts its rows, which spills, and
+    writes each payload as it comes.  Files are below the shared folder by default and go with the staged tables;
+    attempts that were lost leave unlisted ones there.
+    """
+    check_options(options)
+    if WRITERS[options.family][0] == "dds":
+        raise PackError("archive.unsupported-encoding")
+    parts, carriers = plan_entries(entries, options)
+    folder = folder or staging.to_release(f"{staging.shared_folder(entries.sparkSession)}/packed-{uuid.uuid4().hex}")
+    index = parts.select("archive", "part", F.lit(False).alias("payloads"), "ordinal", "identity", "owner", "codec", "size", "stored_size", "archive_flags", "file_flags")
+    rows = index.unionByName(carriers.withColumn("payloads", F.lit(True)), allowMissingColumns=True)
+    rows = rows.repartition("archive", "part").sortWithinPartitions("archive", "part", "payloads", "ordinal")
+    return staging.stage(rows.mapInArrow(_through(options.family, re.sub("^file:/+", "file:///", folder)), FILES))
+
+
 TEXTURES = "archive string, identity string, ordinal long, texture struct<width:int,height:int,mips:int,format:int,cube:boolean,tile:int>, chunks array<struct<stored:binary,decoded:long,first:int,last:int>>, stored_size long, decoded_size long"
 
 

@@ -128,6 +128,11 @@ def restated(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInArrow(run, "path string, length long, modified long")
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """``listed`` rows over as many tasks as a shuffle has; they are so few that Spark would leave them to one."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
 def _scan(files: DataFrame, schema: str, rows_of, lenient: bool) -> DataFrame:
     columns = ["path", "content"] if "content" in files.columns else ["path", "length", "modified"]
     return files.select(*columns).mapInArrow(_rows(schema, rows_of, lenient), schema)
